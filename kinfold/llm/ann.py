@@ -174,7 +174,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     chunks = [max(1, -(-sizes.get(p, 0) // CHUNK)) for p in range(n_parts)]
     blocks = max(1, -(-n_asked * router.visits // (n_parts * BLOCK)))
     of = lambda p: F.element_at(F.array(*[F.lit(c) for c in chunks]), p + 1)
-    held = index.select("vec_id", "vec", F.col("order")[0].alias("p")).withColumn("c", F.pmod(F.xxhash64("vec_id"), of(F.col("p"))).cast("int"))
+    held = index.select(F.col("vec_id").alias("row_id"), F.col("vec").alias("held"), F.col("order")[0].alias("p")).withColumn("c", F.pmod(F.xxhash64("row_id"), of(F.col("p"))).cast("int"))
     held = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = index.filter("asks").select("vec_id", "vec", F.explode("order").alias("p")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     queries = queries.withColumn("c", F.explode(F.sequence(F.lit(0), of(F.col("p")) - 1)))
@@ -182,7 +182,7 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(v):
-            x, ids = np.stack(v["vec"]), v["vec_id"].to_numpy()
+            x, ids = np.stack(v["held"]), v["row_id"].to_numpy()
             asks, own = np.stack(q["vec"]), q["vec_id"].to_numpy()
             dots = asks @ x.T
             for i in range(len(q)):

@@ -32,7 +32,7 @@ Span = tuple[str, int, int]
 # Characters and classes of the base detectors.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 NUMBER = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -130,7 +130,7 @@ _ANY_DOT = rf"(?:{_B}(?:{_DOT}|\.){_E}|[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|\.)"
 #: An address in disguise.  The part before the at sign, the domain's labels, and a last label of letters.
 MAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<user>[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?)(?P<at>{_ANY_AT})"
-    rf"(?P<host>{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}?{_ANY_DOT}(?:[A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
+    rf"(?P<host>{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}{_ANY_DOT}(?:[A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
     re.I,
 )
 MAIL_HINT = re.compile(rf"[(\[{{<] ?(?:{_AT}|@|{_DOT}|\.) ?[)\]}}>]| (?:{_DOT}) | @ ", re.I)
@@ -211,7 +211,8 @@ def unmask_digits(text: str) -> list[Piece]:
 
 
 def _next_spelled(parts: list[Piece], k: int) -> bool:
-    for part, _, _ in parts[k + 1 :]:
+    for i in range(k + 1, len(parts)):
+        part = parts[i][0]
         if part not in " ,.-":
             return part.lower() in DIGITS or part.lower() in DOT or part.lower() == "dash"
     return False

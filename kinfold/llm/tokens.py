@@ -16,9 +16,9 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks a worker remembers (about 200 bytes each), and the longest it keeps.
-MEMO_CHUNKS, MEMO_LENGTH = 700_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 1_200_000, 48
 #: Chunks sent to the library as one string.
-JOINED = 5_000
+JOINED = 20_000
 
 
 def default_path() -> str:

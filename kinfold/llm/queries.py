@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, langid, lengths, packing, pii, quality, simhash, tokenbin, urlfilter
-from .common import crc_bucket, new_path, table
+from .common import crc_bucket, new_path, remove, settle, table
 
 
 def op1_learned_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,9 @@ def op3_pii_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pfor_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-blocks")
     tokenbin.write(table(spark, sf_dir, "documents", "doc_id", "text"), folder, end_id=2)
-    return tokenbin.digests(spark, folder)
+    found = settle(tokenbin.digests(spark, folder), "token-digests")
+    remove(spark, folder)  # the digests of its documents are written; the blocks would stay until the session ends
+    return found
 
 
 def op5_url_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:

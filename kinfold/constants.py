@@ -46,3 +46,23 @@ UOM_TABLE = (
 )
 UOM_BLANKS = ("", "-", "--", "NA", "NIL", "NONE", "NULL", "UNKNOWN", "?", "VALUE", "REF", "DIV0", "0", "XX", "TBD", "BLANK")
 MIN_ROWS_FOR_UNIT_OUTLIER, UNIT_OUTLIER_RATIO, SUSPECT_SPREAD_RATIO = 5, 1.25, 20.0
+# Words of a description that never name a class.
+CODE_STOPWORDS = (
+    "AND OR OF FOR WITH TO THE A AN IN ON TYPE SIZE GRADE CLASS MAKE MODEL SERIES SET NEW OLD OBSOLETE SPARE SPARES ASSY ASSEMBLY "
+    "HEAVY LIGHT SMALL LARGE LONG SHORT STD STANDARD MM CM INCH NB OD ID DIA THK LG"
+).split()
+# Materials, forms and finishes.
+CODE_MODIFIERS = (
+    "STAINLESS STEEL SS SS304 SS316 MS CS GI CI BRASS BRONZE COPPER ALUMINIUM ALUMINUM ALLOY IRON RUBBER NITRILE NEOPRENE PTFE TEFLON "
+    "NYLON PVC HDPE LDPE GRAPHITE CERAMIC GLASS PLASTIC CARBON GALVANISED GALVANIZED CHROME NICKEL ZINC TITANIUM "
+    "HEX HEXAGON HEXAGONAL HEXAGONL SQUARE ROUND FLAT SPIRAL SPRL WOUND WND SW THREADED PLAIN SLOTTED COUNTERSUNK CSK PAN CAP SOCKET HD "
+    "HEAD FULL HALF DOUBLE SINGLE HEAVYDUTY WHITE BLACK YELLOW BLUE RED GREEN RATCHET"
+).split()
+CODE_PREFIX, CODE_FALLBACK, CODE_SLUG, CODE_MIN_FAMILIES = "MTL", "GEN", 5, 2
+SPLIT_WEAK_GAP, ACCEPT_FLOOR = 0.10, 0.82
+# First bytes of files that aren't text.
+BINARY_SIGNATURES = (
+    ("89504E47", "a PNG image"), ("FFD8FF", "a JPEG image"), ("47494638", "a GIF image"), ("25504446", "a PDF"),
+    ("504B0304", "a ZIP or Office file (.xlsx, .docx)"), ("D0CF11E0", "a legacy Office file (.xls, .doc)"), ("1F8B", "a gzip archive"),
+    ("52617221", "a RAR archive"), ("7F454C46", "a binary executable"), ("424D", "a bitmap image"),
+)

@@ -148,13 +148,17 @@ def unit_counts(spark, d):
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("family_no").orderBy(F.desc("n"), "cpse")))
 
 
-def price_stats(spark, d):
-    """The price block of each family within its basis unit of measure: the modal one, ties to the first seen."""
-    records, _ = families(spark, d)
+def priced_in_basis(records):
+    """Priced records in their family's basis unit of measure: the modal one, ties to the first seen."""
     priced = records.filter("price > 0")
     per = priced.groupBy("family_no", "uom").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
     basis = per.groupBy("family_no").agg(F.max_by("uom", F.struct("n", -F.col("first"))).alias("basis_uom"), F.sum("n").alias("all_priced"), F.count(F.lit(1)).alias("uom_forms"))
-    inside = priced.join(basis, "family_no").filter("uom = basis_uom")
+    return priced.join(basis, "family_no").filter("uom = basis_uom")
+
+
+def price_block(records):
+    """The price block of each family within its basis unit of measure."""
+    inside = priced_in_basis(records)
     block = inside.groupBy("family_no", "basis_uom", "all_priced", "uom_forms").agg(F.count(F.lit(1)).alias("priced"), F.sum("price").alias("spend"), F.min("price").alias("low"), F.max("price").alias("high"), F.median("price").alias("mid"))
     excess = inside.join(block.select("family_no", "mid"), "family_no").groupBy("family_no").agg(F.sum(F.greatest(F.col("price") - F.col("mid"), F.lit(0.0))).alias("excess"))
     return block.join(excess, "family_no").select(
@@ -164,6 +168,10 @@ def price_stats(spark, d):
     )
 
 
+def price_stats(spark, d):
+    return price_block(families(spark, d)[0])
+
+
 def savings_totals(spark, d):
     s = price_stats(spark, d)
     return s.agg(F.round(F.sum("spend"), 1).alias("spend"), F.round(F.sum("savings"), 1).alias("savings"), F.round(F.sum("excess"), 1).alias("excess"), F.count(F.lit(1)).alias("n_families"))

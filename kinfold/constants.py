@@ -66,3 +66,45 @@ BINARY_SIGNATURES = (
     ("504B0304", "a ZIP or Office file (.xlsx, .docx)"), ("D0CF11E0", "a legacy Office file (.xls, .doc)"), ("1F8B", "a gzip archive"),
     ("52617221", "a RAR archive"), ("7F454C46", "a binary executable"), ("424D", "a bitmap image"),
 )
+VERBS, MAX_NAME, REVERSIBLE_ROWS, KEEP_RUNS = ("approve", "split", "merge"), 64, 20_000, 40
+GRAPH_FAMILIES, GRAPH_BUDGET = 900, 6000
+MAX_HEADER_SCAN, MIN_TABLE_COLUMNS = 20, 2
+# Column names that are a role's own.
+ROLE_NAMES = {
+    "description": ("Description", "Material Description", "Material_Description", "MaterialDescription", "Item Description", "Item_Description", "Long Description", "Short Text", "Material Text"),
+    "unit": ("CPSE", "CPSE Name", "CPSE_Name", "Organization", "Organisation", "Company", "Business Unit", "Owning Unit", "Source", "Plant", "Refinery"),
+    "code": ("Material Code", "Material_Code", "MaterialCode", "Code", "Item Code", "Item_Code", "Material Number", "Material_Number"),
+}
+# Words of a column name that speak for a role, and how much.
+ROLE_TOKENS = {
+    "description": {
+        "description": 6.0, "desc": 5.0, "material text": 5.0, "short text": 5.0, "long text": 4.0, "item text": 4.0, "text": 2.0, "nomenclature": 5.0, "particular": 4.0, "narration": 3.5,
+        "itemname": 4.0, "item name": 4.0, "material": 2.0, "item": 1.5, "name": 1.0, "title": 1.0, "spec": 1.5, "maktx": 6.0, "maktg": 5.0, "txz01": 4.5,
+    },
+    "unit": {
+        "cpse": 6.0, "organisation": 5.0, "organization": 5.0, "company": 4.5, "source_system": 5.0, "source system": 5.0, "sourcesystem": 5.0, "business unit": 4.5, "owning unit": 4.5,
+        "refinery": 4.0, "plant": 3.5, "location": 3.0, "entity": 3.5, "division": 3.0, "site": 3.0, "source": 3.0, "system": 2.5, "org": 2.5, "unit": 1.0, "depot": 3.0, "werks": 5.0, "bukrs": 5.0,
+    },
+    "price": {
+        "unit price": 6.0, "unit_price": 6.0, "unitprice": 6.0, "rate": 5.0, "price": 5.5, "amount": 4.0, "value": 3.0, "cost": 5.0, "landed": 4.0, "net price": 5.5, "po value": 4.5,
+        "inr": 2.0, "rupees": 2.5, "usd": 1.5, "netpr": 4.5, "peinh": 2.0,
+    },
+    "code": {
+        "material code": 6.0, "material number": 6.0, "matnr": 6.0, "item code": 5.5, "item_code": 5.5, "material_code": 6.0, "part number": 5.0, "sku": 4.5, "code": 3.5, "number": 2.0,
+        "no.": 1.5, "id": 1.5, "ref": 1.5, "bismt": 4.0,
+    },
+    "measure": {
+        "uom": 6.0, "unit of measure": 6.0, "unitofmeasure": 6.0, "u/m": 5.0, "base unit": 5.0, "baseunit": 5.0, "order unit": 4.5, "issue unit": 4.5, "stock unit": 4.5, "measure": 4.0,
+        "uom code": 5.0, "meins": 6.0, "bstme": 4.5, "unit": 1.5,
+    },
+    "label": {
+        "gold": 6.0, "ground truth": 6.0, "groundtruth": 6.0, "truth": 5.0, "label": 5.0, "verified": 4.5, "confirmed": 4.0, "approved": 3.5, "true group": 6.0, "true_group": 6.0, "correct": 4.0,
+        "canonical": 3.0, "master code": 3.5, "parent": 2.5, "cluster": 3.0, "group": 2.5, "dedup": 4.5, "duplicate of": 5.0, "same as": 4.5,
+    },
+}
+# Cells that show a column holds units of measure.
+UOM_CELLS = (
+    "NOS NO NOS. PCS PC PIECE PIECES EA EACH SET SETS PAIR BOX PKT PACK KG KGS GM GRAM TON MT LTR LTRS LITRE LITER ML MTR MTRS METER METRE CM MM INCH FT SQM CUM "
+    "ROLL COIL DRUM BAG BTL BOTTLE CAN TUBE REAM DOZ DOZEN UNIT"
+).split()
+LABEL_MIN_GROUPS, LABEL_MAX_DISTINCT, LABEL_MIN_COVERAGE = 2, 0.92, 0.60

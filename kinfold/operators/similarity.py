@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stage import settle
+
 #: Vectors of a block of the dense self-join.
 BLOCK = 2048
 
@@ -64,3 +66,26 @@ def numbered(members: DataFrame) -> DataFrame:
     """seed, deg, size, family_no: families by size, then the order of their seeds."""
     sized = members.groupBy("seed", "deg").agg(F.count(F.lit(1)).alias("size"))
     return sized.withColumn("family_no", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("deg"), "seed")))
+
+
+def communities_mis(edges: DataFrame) -> DataFrame:
+    """member, seed, deg where seeds don't reach each other: the first maximal independent set by most neighbours, then smallest id.
+
+    Peeling: of the points still open, those that come before all open
+    neighbours are seeds; they and what they reach are closed.  Each round
+    writes its table, and the rounds end when no point is open.
+    """
+    deg = degrees(edges)
+    rank = lambda p: F.struct(-F.col(f"d{p}"), F.col(p))
+    ranked = settle(edges.join(deg.withColumnRenamed("deg", "di"), "i").join(deg.select(F.col("i").alias("j"), F.col("deg").alias("dj")), "j").select("i", "j", "di", "dj"), "ranked")
+    open_, seeds = ranked, None
+    while not open_.isEmpty():
+        first = open_.groupBy("i").agg(F.min(rank("j")).alias("best"), F.first("di").alias("di")).filter(F.col("best") == rank("i"))
+        found = settle(first.select("i"), "seeds")
+        seeds = found if seeds is None else seeds.union(found)
+        closed = open_.join(found, "i", "left_semi").select("j").distinct()
+        open_ = settle(open_.join(closed, "j", "left_anti").join(closed.withColumnRenamed("j", "i"), "i", "left_anti"), "open")
+    if seeds is None:
+        return edges.select(F.col("j").alias("member"), F.col("i").alias("seed"), F.lit(0).cast("long").alias("deg")).limit(0)
+    reach = ranked.join(seeds, "i", "left_semi")
+    return reach.groupBy(F.col("j").alias("member")).agg(F.min_by(F.struct("i", "di"), rank("i")).alias("s")).select("member", F.col("s.i").alias("seed"), F.col("s.di").alias("deg"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
 from ..operators import codes
 from ..operators import similarity as S
+from ..operators.runs import seams, weak
 from .oracle import _FAM, _PRICE, ORACLE as _BASE
 from .queries import eval_pairwise, families, price_block, priced_in_basis
 
@@ -16,19 +16,9 @@ from .queries import eval_pairwise, families, price_block, priced_in_basis
 PROBE = "red bolt, economy"
 
 
-def seams(records: DataFrame) -> DataFrame:
-    """The widest gap between neighbouring scores of each family, ties to the lower; scores in ten-thousandths."""
-    points = records.groupBy("family_no", F.round(F.col("score") * 10000).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    turn = Window.partitionBy("family_no").orderBy("p")
-    cuts = points.select("family_no", "p", F.lead("p").over(turn).alias("q"), F.sum("n").over(turn).alias("below"), F.sum("n").over(Window.partitionBy("family_no")).alias("members"))
-    best = F.max_by(F.struct("p", "q", "below", "members"), F.struct(F.col("q") - F.col("p"), -F.col("p")))
-    return cuts.filter("q IS NOT NULL").groupBy("family_no").agg(best.alias("s")).select("family_no", "s.*")
-
-
 def plan_split(spark, d):
     """Where each family would be split, the size of both sides, and whether the seam is weak."""
-    weak = (F.col("q") - F.col("p") < round(C.SPLIT_WEAK_GAP * 10000)) & (F.col("p") >= round(C.ACCEPT_FLOOR * 10000))
-    return seams(families(spark, d)[0]).select("family_no", (F.col("p") / 10000).alias("lower"), (F.col("q") / 10000).alias("upper"), "below", (F.col("members") - F.col("below")).alias("keep"), weak.alias("weak"))
+    return seams(families(spark, d)[0]).select("family_no", (F.col("p") / 10000).alias("lower"), (F.col("q") / 10000).alias("upper"), "below", (F.col("members") - F.col("below")).alias("keep"), weak(F.col("p"), F.col("q")).alias("weak"))
 
 
 def unit_medians(spark, d):

@@ -19,7 +19,7 @@ def binary_kind(name: Column, content: Column) -> Column:
     return kind.when(nul, "a binary file")
 
 
-def _windows(latin: Column) -> Column:
+def windows(latin: Column) -> Column:
     """Latin-1 text as windows-1252 has its bytes; as it is where it holds a byte that has no character there."""
     high = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
     free = "".join(c for c, real in high if not real)
@@ -30,7 +30,7 @@ def _windows(latin: Column) -> Column:
 def decode(content: Column) -> Column:
     """UTF-8 without its byte order mark where the bytes are that; else windows-1252, else Latin-1."""
     body = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
-    return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(_windows(F.decode(content, "ISO-8859-1")))
+    return F.when(F.is_valid_utf8(body.cast("string")), F.decode(body, "UTF-8")).otherwise(windows(F.decode(content, "ISO-8859-1")))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

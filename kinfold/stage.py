@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` (a folder of our own where that is unset) and read it back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under ``spark.checkpoint.dir`` (a folder of our own where that is unset), removed when the JVM ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="kinfold-")
@@ -18,5 +17,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{base.rstrip('/')}/kinfold/{label}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

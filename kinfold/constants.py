@@ -108,3 +108,8 @@ UOM_CELLS = (
     "ROLL COIL DRUM BAG BTL BOTTLE CAN TUBE REAM DOZ DOZEN UNIT"
 ).split()
 LABEL_MIN_GROUPS, LABEL_MAX_DISTINCT, LABEL_MIN_COVERAGE = 2, 0.92, 0.60
+UNATTRIBUTED = "unattributed"
+# The fields of a standard description, in order, and cells that stand for none.
+STANDARD_FIELDS = ("item", "type", "material", "size", "rating", "standard")
+NULL_WORDS = ("null", "none", "n/a")
+FAMILIES_PER_CALL, STANDARDS_PER_CALL, PAIRS_PER_CALL, ASKED_FAMILIES, ASKED_LINES = 6, 10, 12, 60, 8

@@ -31,7 +31,7 @@ FORMAT = 1
 EVENT = "seq long, at timestamp, by string, verb string, family_no long, related_no long, affected long, summary string, reversible boolean, moves string"
 MOVE = "moves string, row_id long, family_no long, golden string, score double"
 UNDONE = "seq long, at timestamp, by string"
-RECORD = ("row_id", "description", "text", "cpse", "price", "uom", "label", "family_no", "golden", "score")
+RECORD = ("row_id", "description", "text", "cpse", "code", "price", "uom", "label", "family_no", "golden", "score")
 
 
 class ReviewError(Exception):
@@ -81,7 +81,8 @@ class Run:
         """Write a run's records under ``root``; the manifest comes last, so a half-written run is none."""
         spark = records.sparkSession
         run = cls(spark, f"{root.rstrip('/')}/{name or uuid.uuid4().hex}")
-        records.select(*RECORD).write.mode("overwrite").parquet(f"{run.path}/records")
+        full = records if "code" in records.columns else records.withColumn("code", F.lit(""))
+        full.select(*RECORD).write.mode("overwrite").parquet(f"{run.path}/records")
         manifest = {"format": FORMAT, "created": time.time(), "stats": stats or {}}
         spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{run.path}/manifest")
         return run

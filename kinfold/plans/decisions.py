@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import graph, runs
+from ..operators import enrich, graph, runs
 from ..operators import similarity as S
-from ..sources import roles
+from ..sources import roles, sinks
 from ..stage import new_path
 from ..streaming import assign
 from .oracle import _FAM, _STATUS
@@ -127,7 +127,23 @@ def family_detail(spark, d):
     return records.filter("family_no = 1").select("row_id", "description", "cpse", "score", (F.col("text") == F.col("golden")).alias("is_golden")).orderBy(F.desc("score"), "row_id").limit(200)
 
 
-QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, assign_new, unit_rail, family_detail)}
+def export_mapping(spark, d):
+    """The published mapping of a fresh run."""
+    return sinks.mapping(fresh_run(spark, d)).drop("family_no")
+
+
+def export_audited(spark, d):
+    """The mapping after an approval, a split and an undone merge; times left out."""
+    return sinks.audited(reviewed_run(spark, d)).select("row_id", "Family_ID", "Golden_Record", "Review_State", "Reviewed_By", "Merged_From", "Split_From")
+
+
+def merge_candidates(spark, d):
+    """The sixty largest families written in more than one way, and their first eight ways."""
+    records, _ = families(spark, d)
+    return enrich.merge_candidates(records).select("family_no", "golden", "members", F.array_join("ways", "|").alias("ways"))
+
+
+QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, assign_new, unit_rail, family_detail, export_mapping, export_audited, merge_candidates)}
 
 _SEAM = f"""{_FAM}, pt AS (SELECT family_no, round(score * 10000)::INT p, count(*) n FROM r GROUP BY 1, 2),
 cu AS (SELECT family_no, p, lead(p) OVER w q, sum(n) OVER w below FROM pt WINDOW w AS (PARTITION BY family_no ORDER BY p)),
@@ -168,4 +184,12 @@ ORACLE = {
       SELECT row_id, text, family_no, round(cos, 4) score, coalesce(cos >= 0.75, false) merges FROM nw LEFT JOIN bb ON tx = text""",
     "unit_rail": f"WITH {_FAM} SELECT cpse, count(DISTINCT family_no) n_families, count(*) n_records FROM r GROUP BY cpse ORDER BY n_records DESC, cpse LIMIT 40",
     "family_detail": f"WITH {_FAM} SELECT row_id, description, cpse, score, text = golden is_golden FROM r WHERE family_no = 1 ORDER BY score DESC, row_id LIMIT 200",
+    "export_mapping": f"""WITH {_FAM} SELECT row_id, 'FAM_' || lpad(family_no::VARCHAR, 5, '0') "Family_ID", 'MTL-' || lpad(family_no::VARCHAR, 7, '0') "Canonical_Code", description "Original_Description", text "Normalized_Description", golden "Golden_Record",
+      score "Semantic_Similarity", CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END "Confidence", cpse "CPSE", '' "Original_Material_Code" FROM r""",
+    "export_audited": f"""WITH {_SEAM}, lv AS (SELECT r.* FROM r JOIN fs ON r.family_no = fs.fno WHERE round(score * 10000) <= cut), gn AS (SELECT arg_max(text, (length(text), score, -row_id)) ng FROM lv), nn AS (SELECT max(family_no) + 1 nf FROM f),
+      cu2 AS (SELECT r.row_id, CASE WHEN lv.row_id IS NULL THEN r.family_no ELSE (SELECT nf FROM nn) END family_no, CASE WHEN lv.row_id IS NULL THEN r.golden ELSE (SELECT ng FROM gn) END golden FROM r LEFT JOIN lv ON lv.row_id = r.row_id)
+      SELECT row_id, 'FAM_' || lpad(family_no::VARCHAR, 5, '0') "Family_ID", golden "Golden_Record", CASE WHEN family_no IN ((SELECT fno FROM fs), (SELECT nf FROM nn)) THEN 'split' WHEN family_no = 3 THEN 'confirmed' ELSE 'unreviewed' END "Review_State",
+      CASE WHEN family_no IN ((SELECT fno FROM fs), (SELECT nf FROM nn)) THEN 'Bo B' WHEN family_no = 3 THEN 'Ann' ELSE '' END "Reviewed_By", '' "Merged_From", CASE WHEN family_no = (SELECT nf FROM nn) THEN 'FAM_' || lpad((SELECT fno FROM fs)::VARCHAR, 5, '0') ELSE '' END "Split_From" FROM cu2""",
+    "merge_candidates": f"""WITH {_FAM}, wy AS (SELECT family_no, golden, description way, count(*) n, min(row_id) fr FROM r GROUP BY 1, 2, 3), ko AS (SELECT *, row_number() OVER (PARTITION BY family_no ORDER BY fr) k FROM wy)
+      SELECT family_no, golden, sum(n)::BIGINT members, string_agg(way, '|' ORDER BY k) FILTER (k <= 8) ways FROM ko GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY members DESC, family_no LIMIT 60""",
 }

@@ -126,14 +126,17 @@ def _split(distance: int) -> Column:
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, row_key, fp and component_id (the smallest doc_id reachable) of each document."""
+    """doc_id, row_key, fp, root (the class's own fingerprint) and component_id (the smallest doc_id reachable) of each document.
+
+    Only ``root`` tells classes apart: component_id is null where all ids of a class are, and a repeated id may name two.
+    """
     prints = settle(fingerprints(docs), "fingerprints")
     distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(distinct.select("fp"), distance, blocks))
     members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     members = settle(members, "members")
     ids = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(members.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "row_key", "fp", "component_id")
+    return prints.join(members.join(ids, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "row_key", "fp", "root", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
@@ -144,7 +147,7 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     """One document of each class, the one with the smallest doc_id, with all its columns."""
     key, turn = "__kinfold_key", "__kinfold_turn"
     found = classes(docs, distance, blocks)
-    first = found.groupBy("component_id").agg(F.min_by("row_key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias(key)).select(key).distinct()
+    first = found.groupBy("root").agg(F.min_by("row_key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias(key)).select(key).distinct()
     kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(first, key, "left_semi")
     from pyspark.sql import Window
 

@@ -87,3 +87,11 @@ def test_keep_one_keeps_one_row_of_each_class(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = simhash.classes(docs).agg(F.countDistinct("component_id")).first()[0]
     assert simhash.keep_one(docs).count() == n
+
+
+def test_keep_one_tells_classes_with_one_id_apart(spark):
+    """Unrelated texts without ids, or under one id that repeats, are classes of their own."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("ash", "birch", "cedar", "elm", "fir")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[0]), (8, texts[4])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted((i or 0, t) for i, t in rows[:5])

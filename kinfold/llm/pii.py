@@ -5,8 +5,10 @@ numbers as written.  Each runs in time linear in the text.
 
 A transducer then rewrites the parts of a text that look disguised: look-alike
 letters and digits of other alphabets and widths, invisible characters,
-spelled digits ("plus one eight three"), and "(at)", "[dot]", "at ... dot"
-disguises.  Each rewritten piece keeps the span it came from.  The detectors
+spelled digits ("plus one 8 three"), dots and dashes in disguise between
+numerals ("192 dot 168", "10[.]0"), and "(at)", "[dot]", "at ... dot"
+disguises.  Hints spare a text the rewriting; they pass all that it accepts,
+and the detectors' length, range and Luhn checks decide.  Each rewritten piece keeps the span it came from.  The detectors
 run on the rewritten text; what they find there, and not in the source, is
 mapped back and added.  Base spans stay.
 
@@ -133,15 +135,24 @@ MAIL = re.compile(
     rf"(?P<host>{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}{_ANY_DOT}(?:[A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
     re.I,
 )
-MAIL_HINT = re.compile(rf"[(\[{{<] ?(?:{_AT}|@|{_DOT}|\.) ?[)\]}}>]| (?:{_DOT}) | @ ", re.I)
+#: What any disguise of MAIL holds; for lower-cased text, like RUN_HINT.
+MAIL_HINT = re.compile(rf"[(\[{{<] {{0,2}}(?:{_AT}|@|{_DOT}|\.) {{0,2}}[)\]}}>]| (?:{'|'.join(AT[1:])}|{_DOT}|@) ")
 _AT_SIGN, _DOT_SIGN = re.compile(_ANY_AT, re.I), re.compile(_ANY_DOT, re.I)
 _HIDDEN_AT = re.compile(rf"[(\[{{<]|(?:{'|'.join(AT[1:])})| @ ", re.I)
-_HIDDEN_DOT = re.compile(rf"[(\[{{<]|(?:{_DOT})", re.I)
-#: A run of digits of which some are words.
+_HIDDEN_DOT = re.compile(rf"[(\[{{<]|[ ](?:{_DOT})[ ]", re.I)
+#: A run of digits of which some, or dots and dashes between them, may be words or in brackets.
+#: What separates two numbers is matched in one way only, so that time stays linear.
 _GAP = r"(?:[ ,.-]{1,2}|[ ]?[()][ ]?)"
-RUN = re.compile(rf"(?<![\w])(?:plus[ ]|\+[ ]?)?\(?(?:{_WORD}|[0-9]+)(?:{_GAP}(?:{_WORD}|[0-9]+|{_DOT}|dash))*{_GAP}(?:{_WORD}|[0-9]+)(?!\w)", re.I)
-RUN_HINT = re.compile(rf"(?:{_WORD})(?:{_GAP}(?:dot{_GAP})?(?:{_WORD})){{2}}", re.I)
-_RUN_PART = re.compile(rf"plus[ ]|(?:{_WORD})(?!\w)|[0-9]+|(?:{_DOT}|dash)(?!\w)|.", re.I | re.S)
+_SIGN = rf"(?:{_B}(?:{_DOT}|dash|[.-]){_E}|[ ]{{0,2}}(?:{_DOT}|dash)[ ]{{0,2}})"
+_BETWEEN = rf"(?>{_GAP}(?:(?:{_DOT}|dash){_GAP})+|{_SIGN}|{_GAP})"
+_NUMBER = rf"(?:(?:{_WORD})(?!\w)|[0-9]++(?:(?!\w)|(?=(?:{_DOT}|dash)[0-9])))"
+RUN = re.compile(rf"(?<![\w])(?:plus[ ]|\+[ ]?)?\(?{_NUMBER}(?:{_BETWEEN}{_NUMBER})+", re.I)
+_RUN_PART = re.compile(rf"plus[ ]|\+[ ]|(?:{_WORD})(?!\w)|[0-9]+|{_SIGN}|.", re.I | re.S)
+_ANY_GAP = r"[ ,.()\[\]{}<>-]{1,12}"
+RUN_HINT = re.compile(
+    rf"\b(?:{_WORD}){_ANY_GAP}(?:(?:{_WORD})\b|[0-9]|{_DOT}|dash)"
+    rf"|[0-9](?:{_ANY_GAP}(?:(?:{_WORD})\b|{_DOT}|dash)|(?:{_DOT}|dash)[0-9]|{_B}[.-]{_E}[0-9])"
+)
 
 Piece = tuple[str, int, int]
 
@@ -183,39 +194,57 @@ def unmask_letters(text: str) -> Rewritten:
     return Rewritten([*pieces, (text[since:], since, len(text))])
 
 
-def unmask_digits(text: str) -> list[Piece]:
-    """Spelled digits: in a run, words become digits and the gaps between two words go."""
+def unmask_digits(text: str, joined: bool = False) -> list[Piece]:
+    """Runs with a word or a disguised sign: words become digits, and the gaps between two words go.
+
+    ``joined`` is the other reading of a run: gaps between a word and a numeral go as well, and a dot without
+    spaces stays.
+    """
     pieces, since = [], 0
     for m in RUN.finditer(text):
-        if not RUN_HINT.search(m.group()):
+        parts = [(p.group(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_PART.finditer(m.group())]
+        said = [_said(part) for part, _, _ in parts]
+        if not any(said):
             continue
         pieces.append((text[since : m.start()], since, m.start()))
-        parts, spelled = [(p.group(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_PART.finditer(m.group())], False
+        spelled = before = False  # what stands before the gap is a word; is a word or a numeral
         for k, (part, a, b) in enumerate(parts):
-            low = part.lower()
-            if low in DIGITS:
-                pieces.append((DIGITS[low], a, b))
-            elif low == "plus ":
+            if part in " ,.-":
+                after = _next(parts, k)
+                word_after = after is not None and said[after] is not None
+                if joined:
+                    tight = part == "." and after == k + 1 and parts[k - 1][0] not in " ,.-"
+                    gone = part != "-" and not tight and before and after is not None and (spelled or word_after)
+                else:
+                    gone = part != "-" and spelled and word_after
+                pieces.append(("" if gone else part, a, b))
+                continue
+            if part.lower() == "plus " or part == "+ ":
                 pieces.append(("+", a, b))
-            elif low in DOT:
-                pieces.append((".", a, b))
-            elif low == "dash":
-                pieces.append(("-", a, b))
-            elif part in " ,." and spelled and _next_spelled(parts, k):
-                pieces.append(("", a, b))
             else:
-                pieces.append((part, a, b))
-            spelled = low in DIGITS or low in DOT or low == "dash" or spelled and part in " ,.-"
+                pieces.append((said[k] or part, a, b))
+            spelled, before = said[k] is not None, said[k] is not None or part.isdigit()
         since = m.end()
     return [*pieces, (text[since:], since, len(text))]
 
 
-def _next_spelled(parts: list[Piece], k: int) -> bool:
+def _said(part: str) -> str | None:
+    """What a spelled digit or a disguised sign stands for."""
+    low = part.lower().strip(" ()[]{}<>")
+    if low in DIGITS:
+        return DIGITS[low]
+    if low in DOT or low == "." and part != "." and part[0] in " ([{<":
+        return "."
+    return "-" if low == "dash" or low == "-" and part[0] in " ([{<" else None
+
+
+def _next(parts: list[Piece], k: int) -> int | None:
+    """The first part after ``k`` that is a number or a sign, if only gaps come before it."""
     for i in range(k + 1, len(parts)):
         part = parts[i][0]
         if part not in " ,.-":
-            return part.lower() in DIGITS or part.lower() in DOT or part.lower() == "dash"
-    return False
+            return i if part.isdigit() or _said(part) is not None else None
+    return None
 
 
 def unmask_signs(text: str) -> list[Piece]:
@@ -244,23 +273,30 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only after rewriting, in offsets of the source."""
     lower_hint = not text.isascii() and any(c > "\x7f" and _plain(c) != c for c in set(text))
     now = unmask_letters(text) if lower_hint else None
-    seen = now.text if now else text
-    steps = []
-    if RUN_HINT.search(seen):
-        steps.append(unmask_digits)
-    if MAIL_HINT.search(seen):
-        steps.append(unmask_signs)
-    if not now and not steps:
+    low = (now.text if now else text).lower()
+    runs, signs = RUN_HINT.search(low), MAIL_HINT.search(low)
+    if not now and not runs and not signs:
         return []
     now = now or Rewritten([(text, 0, len(text))])
-    for step in steps:
-        now = now.then(step(now.text))
-    known, out = set(base), []
-    for kind, a, b in base_spans(now.text):
-        span = (kind, *now.source(a, b))
-        if span not in known and text[span[1] : span[2]] != now.text[a:b]:
-            out.append(span)
-    return out
+    readings = [now]
+    if runs:
+        readings = [now.then(unmask_digits(now.text))]
+        other = now.then(unmask_digits(now.text, joined=True))
+        readings += [other] if other.text != readings[0].text else []
+    known, found = set(base), []
+    for k, read in enumerate(readings):
+        read = read.then(unmask_signs(read.text)) if signs else read
+        spans = []
+        for kind, a, b in base_spans(read.text):
+            span = (kind, *read.source(a, b))
+            if span not in known and text[span[1] : span[2]] != read.text[a:b]:
+                spans.append(span)
+        known.update(spans)
+        found.append(spans)
+    if len(found) == 2:  # where both readings see one identifier, the longer span stands
+        more = found[1]
+        return more + [s for s in found[0] if not any(s[0] == t[0] and t[1] <= s[1] and s[2] <= t[2] for t in more)]
+    return found[0]
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:

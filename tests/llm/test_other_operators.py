@@ -108,6 +108,56 @@ def test_near_matches_allow_a_slop(spark):
     assert {r["doc_id"] for r in decontam.near_matches(docs, bench, 2).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize(
+    "text, kind, shown",
+    [
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192[.]168[.]0[.]1 is up", "ip", "192[.]168[.]0[.]1"),
+        ("host 192.168[.]0.1:80", "ip", "192.168[.]0.1"),
+        ("host 10(dot)0(dot)0(dot)5 is up", "ip", "10(dot)0(dot)0(dot)5"),
+        ("host 10 { dot } 0  [dot]  0 punkt 5", "ip", "10 { dot } 0  [dot]  0 punkt 5"),
+        ("host 10dot0dot0dot5 is up", "ip", "10dot0dot0dot5"),
+        ("host 1 nine 2 dot one 68 dot zero dot 1 is up", "ip", "1 nine 2 dot one 68 dot zero dot 1"),
+        ("host 192.168.zero.one is up", "ip", "192.168.zero.one"),
+        ("host 5 one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("call plus 1 eight three 9 five five 5 one seven 2 four.", "phone", "plus 1 eight three 9 five five 5 one seven 2 four"),
+        ("call + 1 eight 3 9 five 5 5 one 7 2 4.", "phone", "+ 1 eight 3 9 five 5 5 one 7 2 4"),
+        ("card four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1 end", "card", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+        ("card four, 111 1111 1111 1111 end", "card", "four, 111 1111 1111 1111"),
+        ("card 4111 1111 1111 111 one end", "card", "4111 1111 1111 111 one"),
+        ("card 4111 dash 1111 dash 1111 dash 1111 end", "card", "4111 dash 1111 dash 1111 dash 1111"),
+        ("mail ana arroba example.com now", "email", "ana arroba example.com"),
+        ("mail ANA ARROBA example.com now", "email", "ANA ARROBA example.com"),
+        ("mail ana arobase exemple.fr now", "email", "ana arobase exemple.fr"),
+        ("mail jo ( at ) example.com now", "email", "jo ( at ) example.com"),
+        ("mail jo [  at  ] example.com now", "email", "jo [  at  ] example.com"),
+    ],
+)
+def test_disguised_in_part(text, kind, shown):
+    assert [(k, text[a:b]) for k, a, b in pii.find(text)[1]] == [(kind, shown)]
+
+
+@pytest.mark.parametrize("text", ["rows 300 dot 1 dot 2 dot 3 and one 2 three", "card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 2", "jo at dotshop.example and arroba"])
+def test_parts_of_disguises_have_no_spans(text):
+    assert pii.find(text)[1] == []
+
+
+def test_hints_pass_all_that_is_rewritten():
+    import random
+
+    rng = random.Random(4)
+    bits = ["one", "Two", "un", "FÜNF", "7", "192", " ", "  ", ".", "-", ",", "(", ")", "[", "]", "<", "dot", "punkt", "dash", "at", "arroba", "AROBASE", "@", "plus ", "+", "jo", "com", "( at )", "[  .  ]", " dot ", " at "]
+    for _ in range(40_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(2, 9)))
+        for step, hint in ((pii.unmask_digits, pii.RUN_HINT), (pii.unmask_signs, pii.MAIL_HINT)):
+            assert "".join(p[0] for p in step(text)) == text or hint.search(text.lower()), text
+
+
+def test_long_disguises_take_linear_time():
+    for text in ("1(dot)" * 30_000, "1 dot " * 30_000 + "x", "one 1 " * 30_000, "1 ( " * 50_000, "one[.]" * 30_000 + "two", "1dot" * 50_000, "1" * 200_000 + "x", " dash " * 50_000, "1 arroba " * 20_000):
+        pii.find(text)
+
+
 def test_op2_and_op9_on_held_out_rows(spark, sf):
     big = "/root/testdata/sf0.1"
     judged = queries.op2_quality_qda(spark, big).filter("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()

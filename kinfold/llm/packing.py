@@ -8,9 +8,11 @@ piece then finds its place from its rank among the pieces of its length.  The
 histogram is all that reaches the driver, whatever the corpus holds.
 
 The search: best-fit decreasing gives the incumbent.  If it has more sequences
-than the lower bound, a branch-and-bound takes the largest piece left,
-enumerates the undominated fillings around it, least waste first, and gives up
-a branch whose waste cannot lead to fewer sequences than the incumbent.
+than the lower bound, a branch-and-bound takes the largest piece left and
+enumerates the undominated fillings around it, of any number of pieces and
+least waste first, one at a time as they are asked for.  It branches on the
+filling and on how many sequences have it, and gives up a branch whose waste
+cannot lead to fewer sequences than the incumbent.
 
 Null text is empty: the document is its end id.  Repeated rows are packed each.
 """
@@ -18,6 +20,9 @@ Null text is empty: the document is its end id.  Repeated rows are packed each.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +34,12 @@ from . import tokens
 from .common import prepare, settle
 
 CAPACITY = 2048
-#: Fillings the branch-and-bound looks at before it keeps the incumbent.
-NODES = 4000
-#: Largest pieces around which three-piece fillings are enumerated.
-TRIPLES = 16
+#: Fillings that each pass of the branch-and-bound looks at before it keeps the incumbent.
+NODES = 16_000
+#: Fillings of a piece that the first of the two passes tries; the second tries all.
+NARROW = 3
+#: Levels of the search that keep their enumeration in memory.
+LIVE = 64
 
 Filling = tuple[int, ...]
 
@@ -83,79 +90,153 @@ def best_fit(counts: np.ndarray) -> list[tuple[Filling, int]]:
     return list(merged.items())
 
 
-def completions(counts: np.ndarray, room: int) -> list[Filling]:
-    """Undominated fillings of ``room``, least waste first: of one, two or three pieces beside the largest.
+def _set_of(present: np.ndarray) -> int:
+    """The indexes where ``present`` holds, as bits of a number."""
+    return int.from_bytes(np.packbits(present, bitorder="little").tobytes(), "little")
 
-    Among fillings with the same larger pieces only the one with the largest
-    last piece is kept; it dominates the others.  Three pieces are tried where
-    two leave waste.
+
+def dominated(filling: Filling, waste: int, spare: int) -> bool:
+    """Whether a spare length (bits of ``spare``) can replace some pieces that are together no longer, or none.
+
+    Then the filling with the replacement is at least as good (Martello and
+    Toth).  One replacement at a time finds every dominated filling.
+    """
+    some = several = 0  # sums of at least one and at least two pieces
+    for size in filling:
+        several |= some << size
+        some |= some << size | 1 << size
+    shorter, by = (some | 1) << 1, 1  # lengths above a sum of pieces by 1 to waste
+    if not waste:
+        return bool(several & spare)
+    while by < waste:
+        step = min(by, waste - by)
+        shorter |= shorter << step
+        by += step
+    return bool((shorter | several) & spare)
+
+
+def completions(counts: np.ndarray, room: int, most: int | None = None) -> Iterator[Filling | None]:
+    """Undominated fillings of ``room`` that waste ``most`` at most, least waste first, longer pieces first.
+
+    None stands for a dominated one, so that the caller can count it.  The
+    sums that shorter lengths can make are known, so no choice is a dead end.
+    """
+    sizes = np.flatnonzero(counts[: room + 1] > 0).tolist()
+    have = [min(int(counts[s]), room // s) for s in sizes]
+    every = (1 << room + 1) - 1
+    sums = [1]  # sums of lengths before each one, as bits; all from the last on
+    for size, n in zip(sizes, have):
+        made, k = sums[-1], 1
+        if made == every:
+            break
+        while n:
+            made |= made << size * min(k, n) & every
+            n, k = n - min(k, n), 2 * k
+        sums.append(made)
+
+    def exact(total: int, upto: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
+            return
+        for j in range(bisect_right(sizes, total, 0, upto) - 1, -1, -1):
+            size, below = sizes[j], sums[min(j, len(sums) - 1)]
+            for k in range(min(have[j], total // size), 0, -1):
+                if below >> total - k * size & 1:
+                    for more in exact(total - k * size, j):
+                        yield (size,) * k + more
+
+    for waste in range(room + 1 if most is None else min(room, most) + 1):
+        if sums[-1] >> room - waste & 1:
+            for filling in exact(room - waste, len(sizes)):
+                left = counts[: room + 1] > 0
+                for size in set(filling):
+                    left[size] = counts[size] > filling.count(size)
+                yield None if dominated(filling, waste, _set_of(left)) else filling
+
+
+def choices(left: np.ndarray, most: int, banned: set[Filling], narrow: bool) -> Iterator[tuple[Filling, int] | None]:
+    """Fillings around the largest piece and the number of sequences that have them, down to one; None as above.
+
+    If ``narrow``, NARROW fillings only, each in as many sequences as it can be.
     """
-    have = np.flatnonzero(counts[: room + 1] > 0)
-    if not len(have):
-        return [()]
-    below = np.zeros(room + 1, np.int64)  # the largest length at hand up to each
-    below[have] = have
-    below = np.maximum.accumulate(below)
-    found: dict[int, Filling] = {}
-
-    def add(first: Filling, b: np.ndarray):
-        """Fillings of ``first``, each b, and the largest piece that still fits and is no longer than b."""
-        left = room - sum(first)
-        c = below[np.minimum(b, left - b)]
-        taken = (c == b).astype(np.int64) + sum((c == a).astype(np.int64) for a in first)
-        c = np.where((c > 0) & (counts[c] > taken), c, below[np.maximum(c - 1, 0)])
-        taken = (c == b).astype(np.int64) + sum((c == a).astype(np.int64) for a in first)
-        good = (c > 0) & (counts[c] > taken)
-        for x, y in zip(b[good].tolist(), c[good].tolist()):
-            filling = (*first, x, y)
-            if filling > found.get(left - x - y, ()):
-                found[left - x - y] = filling
-
-    found[room - int(have[-1])] = (int(have[-1]),)
-    add((), have)
-    if min(found) > 0:
-        for a in have[::-1][:TRIPLES].tolist():
-            b = have[: np.searchsorted(have, min(a, room - a), "right")]
-            add((a,), b[(counts[b] > (b == a))])
-            if 0 in found:
+    given = 0
+    size = int(left.nonzero()[0][-1])
+    rest, room = left.copy(), len(left) - 1 - size
+    rest[size] -= 1
+    for others in completions(rest, room, most):
+        if others is None or (size, *others) in banned:
+            yield None
+            continue
+        filling, waste = (size, *others), room - sum(others)
+        times = min(int(left[s]) // filling.count(s) for s in set(filling))
+        for n in range(min(times, most // waste) if waste else times, 0, -1):
+            yield filling, n
+            if narrow:
                 break
-    return [found[w] for w in sorted(found)]
+        given += 1
+        if narrow and given == NARROW:
+            return
 
 
 def complete(counts: np.ndarray, incumbent: list[tuple[Filling, int]], bound: int) -> list[tuple[Filling, int]]:
-    """Branch-and-bound over completions; the incumbent if none is better."""
+    """Branch-and-bound over completions; the incumbent if none is better.
+
+    A narrow pass comes first, as it goes back to early choices soon; the whole search starts from what it found.
+    """
+    for narrow in (True, False):
+        incumbent = search(counts, incumbent, bound, narrow)
+    return incumbent
+
+
+def search(counts: np.ndarray, incumbent: list[tuple[Filling, int]], bound: int, narrow: bool) -> list[tuple[Filling, int]]:
+    """One pass over at most NODES choices, over all of them if there are fewer and it isn't narrow."""
     c, total = len(counts) - 1, int((counts * np.arange(len(counts))).sum())
-    best, nodes = incumbent, 0
+    best, looked, left, used, waste = incumbent, 0, counts.copy(), 0, 0
     bins = sum(m for _, m in best)
-    stack: list[tuple[np.ndarray, list, int, int]] = [(counts.copy(), [], 0, 0)]
-    while stack and bins > bound and nodes < NODES:
-        left, made, used, waste = stack.pop()
-        size = int(left.nonzero()[0][-1]) if left.any() else 0
-        if not size:
-            if used < bins:
-                best, bins = made, used
+    made: list[tuple[Filling, int]] = []
+    # A filling chosen for fewer sequences than it could have has that number for good: it is banned further down.
+    banned: set[Filling] = set()
+    # Waste that was allowed, choices taken, the choices: all but the last LIVE are made anew when they are needed.
+    stack = [[(bins - 1) * c - total, 0, None]]
+    while stack and bins > bound and looked < NODES:
+        level = stack[-1]
+        if level[2] is None:
+            level[2] = islice(choices(left, level[0], banned, narrow), level[1], None)
+        choice = next(level[2], ())
+        if choice == ():
+            stack.pop()
+            if made:
+                filling, times = made.pop()
+                banned.discard(filling)
+                used, waste = used - times, waste - times * (c - sum(filling))
+                for s in filling:
+                    left[s] += times
+            continue
+        level[1] += 1
+        looked += 1
+        if choice is None:
             continue
-        if waste > (bins - 1) * c - total:
+        filling, times = choice
+        now = waste + times * (c - sum(filling))
+        most = (bins - 1) * c - total - now
+        if most < 0:
             continue
-        nodes += 1
-        children = []
-        for filling in completions_with(left, size)[:3]:
-            piece_counts = {s: filling.count(s) for s in filling}
-            times = min(int(left[s]) // k for s, k in piece_counts.items())
-            rest = left.copy()
-            for s, k in piece_counts.items():
-                rest[s] -= k * times
-            children.append((rest, [*made, (filling, times)], used + times, waste + times * (c - sum(filling))))
-        stack += children[::-1]
+        for s in filling:
+            left[s] -= times
+        if not left.any():
+            best, bins = [*made, choice], used + times
+            for s in filling:
+                left[s] += times
+            continue
+        made.append(choice)
+        banned.add(filling)
+        used, waste = used + times, now
+        stack.append([most, 0, None])
+        if len(stack) > LIVE:
+            stack[-LIVE - 1][2] = None
     return best
 
 
-def completions_with(left: np.ndarray, size: int) -> list[Filling]:
-    rest = left.copy()
-    rest[size] -= 1
-    return [(size, *filling) for filling in completions(rest, len(left) - 1 - size)]
-
-
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Filling, int]]:
     """Fillings and the number of sequences of each for a histogram of piece lengths."""
     counts = np.zeros(capacity + 1, np.int64)

@@ -170,3 +170,57 @@ def test_length_curve(spark, sf, odd_docs, no_docs, encode):
     assert lengths.histogram(odd_docs).agg({"n_docs": "sum"}).first()[0] == odd_docs.count()
     empty = lengths.curve(lengths.histogram(no_docs))
     assert empty.count() == 0 and lengths.at_limits(empty, [5]).count() == 0 and lengths.quantiles(empty, [0.5]).count() == 0
+
+
+def every_filling(sizes, room):
+    """All multisets of ``sizes`` that fit, longer pieces first."""
+    found = {()}
+    for size in sorted(sizes, reverse=True):
+        found |= {(*f, size) for f in found if sum(f) + size <= room}
+    return found
+
+
+def fits_into(pieces, places):
+    """Whether the pieces can be dealt into the places, each place taking no more than its length."""
+    if not pieces:
+        return True
+    return any(fits_into(pieces[1:], (*places[:i], p - pieces[0], *places[i + 1 :])) for i, p in enumerate(places) if p >= pieces[0])
+
+
+def test_completions_are_the_undominated_fillings():
+    rng = random.Random(8)
+    longest = 0
+    for _ in range(60):
+        room = rng.randint(6, 24)
+        sizes = [rng.randint(1, 9) for _ in range(rng.randint(1, 9))]
+        fillings = every_filling(sizes, room)
+        want = {f for f in fillings if not any(g != f and fits_into(f, g) for g in fillings)}
+        got = [f for f in packing.completions(np.bincount(sizes, minlength=room + 1), room) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+        longest = max(longest, *map(len, got))
+    assert longest > 4
+
+
+@pytest.mark.parametrize("seed", [8, 11, 24, 25])
+def test_sequences_of_many_pieces_are_filled(seed):
+    """Ten full sequences of six or seven pieces each are packed without waste; best fit needs one more."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(10):
+        cuts = sorted(rng.sample(range(1, 100), rng.choice((5, 6))))
+        sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
+    assert sum(t for _, t in packing.solve({s: sizes.count(s) for s in sizes}, 100)) == 10
+
+
+@pytest.mark.parametrize(
+    "histogram, least",
+    [({18: 1, 19: 2, 11: 5, 16: 1, 10: 6, 25: 2}, 4), ({13: 4, 15: 3, 25: 2, 27: 2, 20: 3, 9: 4}, 5), ({15: 2, 25: 2, 10: 5, 29: 4, 12: 5, 18: 6}, 7), ({13: 3, 18: 5, 15: 1, 14: 5, 11: 4, 9: 3}, 5)],
+)
+def test_small_histograms_reach_the_lower_bound(histogram, least):
+    assert sum(t for _, t in packing.solve(histogram, 60)) == least
+
+
+def test_fillings_branch_on_the_number_of_sequences():
+    counts = np.bincount([6, 6, 6, 4, 4, 4, 3, 3], minlength=11)
+    made = [c for c in packing.choices(counts, 100, frozenset(), False) if c is not None]
+    assert made[:3] == [((6, 4), 3), ((6, 4), 2), ((6, 4), 1)]

@@ -32,7 +32,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         encode = tokens.encoder(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(encode.count(tokens.texts_of(batch.column(0))), pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(encode.count(batch.column(0)), pa.int64())], ["n_tokens"])
 
     return docs.select("text").mapInArrow(run, "n_tokens long")
 

@@ -276,7 +276,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, path: str
         end = np.array([end_id], np.uint32)
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(tokens.texts_of(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
                 ids = np.concatenate([ids, end]).astype("<u4")
                 cut = len(ids) - (len(ids) - 1) // capacity * capacity
                 bounds = [0, *range(cut, len(ids) + 1, capacity)]

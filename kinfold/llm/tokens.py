@@ -1,24 +1,30 @@
 """Byte-level BPE ids of whole texts through the ``tokenizers`` library.
 
-The pre-tokenizer always breaks before a single space that stands between two
-non-space characters, so the ids of a text are the ids of its space-led chunks
-in turn.  Each worker keeps the ids of chunks it has met and sends only new
-chunks to the library.  A text in which a space is followed by white space or
-by the end is encoded whole.  ``encode`` equals ``Tokenizer.encode`` on every
-text; ``tests/llm`` compares them on random and awkward ones.
+The pre-tokenizer always breaks before a space that a non-space character
+follows, so the ids of a text are the ids of its space-led chunks in turn.
+Arrow splits a batch at its spaces and numbers the distinct chunks; each worker
+keeps the ids of chunks it has met and sends only new ones to the library, many
+at once.  Where a space is followed by white space or by the end, the chunks on
+both sides are one.  ``encode`` equals ``Tokenizer.encode`` on every text;
+``tests/llm`` compares them on random and awkward ones.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks a worker remembers (about 200 bytes each), and the longest it keeps.
 MEMO_CHUNKS, MEMO_LENGTH = 1_200_000, 48
 #: Chunks sent to the library as one string.
-JOINED = 20_000
+JOINED = 200
+#: Where a text that has spaces beside other white space is cut.
+_BREAK = re.compile(r" (?=\S)")
 
 
 def default_path() -> str:
@@ -57,12 +63,13 @@ class Encoder:
     def _clear(self):
         self.memo = _Memo()
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+        # Chunks that can't stand alone have a length of -1.
         self.lengths = self.starts = np.empty(0, np.int64)
 
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
 
-    def _joined(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, chunks: list[str]) -> tuple[list[int], np.ndarray]:
         """Ids of the chunks, each led by a space, and the number of ids of each, found from their bytes."""
         text = " " + " ".join(chunks)
         ids = self._whole(text)
@@ -73,7 +80,7 @@ class Encoder:
         at = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(sizes + 1)) + 1
         return ids, np.diff(at, prepend=0)
 
-    def _keep(self, ids: np.ndarray) -> int:
+    def _keep(self, ids: list[int]) -> int:
         """Append ids to the store; the place of the first."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
@@ -82,7 +89,7 @@ class Encoder:
         return at
 
     def _learn(self):
-        """Get the ids of the chunks that wait; unsafe chunks get a length of -1."""
+        """Get the ids of the chunks that wait."""
         new, self.memo.new = self.memo.new, []
         lengths, starts = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
         led = [k for k, c in enumerate(new) if c.__class__ is str and c and not c[0].isspace()]
@@ -91,51 +98,67 @@ class Encoder:
             ids, counts = self._joined([new[k] for k in some])
             lengths[some] = counts
             starts[some] = self._keep(ids) + np.cumsum(counts) - counts
-        heads = [k for k, c in enumerate(new) if c.__class__ is tuple]  # first chunks of texts
-        for k, got in zip(heads, self.library.encode_batch_fast([new[k][0] for k in heads], add_special_tokens=False)):
-            ids = np.array(got.ids, np.uint32)
-            lengths[k], starts[k] = len(ids), self._keep(ids)
+        for k, c in enumerate(new):
+            if c.__class__ is tuple:  # the first chunk of a text
+                ids = self._whole(c[0])
+                lengths[k], starts[k] = len(ids), self._keep(ids)
         self.lengths = np.concatenate([self.lengths, lengths])
         self.starts = np.concatenate([self.starts, starts])
 
-    def _numbers(self, texts: list[str]):
+    def _numbers(self, chunks: pa.Array) -> np.ndarray:
+        """The numbers of chunks, with those too long to be kept taken as the empty chunk, which can't stand alone."""
+        some = pc.if_else(pc.greater(pc.utf8_length(chunks), MEMO_LENGTH), "", chunks).to_numpy(zero_copy_only=False)
+        return np.fromiter(map(self.memo.__getitem__, some), np.int64, len(some))
+
+    def _chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the chunks of all texts, and where each text's begin; the last place is the end."""
         if len(self.memo) > MEMO_CHUNKS:
             self._clear()
-        get, numbers = self.memo.__getitem__, []
-        for text in texts:
-            pieces = text.split(" ")
-            if max(map(len, pieces)) <= MEMO_LENGTH:
-                pieces[0] = (pieces[0],)
-                numbers.append(np.fromiter(map(get, pieces), np.int64, len(pieces)))
-            else:
-                numbers.append(None)
+        split = pc.split_pattern(column, " ")
+        chunks, bounds = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(chunks)
+        numbers = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
+        heads = chunks.take(pa.array(bounds[:-1])).to_pylist()
+        numbers[bounds[:-1]] = [self.memo[h,] if len(h) <= MEMO_LENGTH else self.memo[""] for h in heads]
+        if self.memo.new:
+            self._learn()
+        return numbers, bounds
+
+    def _apart(self, text: str) -> np.ndarray:
+        """The ids of a text with chunks that are too long or can't stand alone."""
+        first, *rest = _BREAK.split(text)
+        numbers, out, since = self._numbers(pa.array(rest, pa.string())), [self._whole(first)], 0
         if self.memo.new:
             self._learn()
-        return numbers
-
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        texts = list(texts)
-        out = []
-        for text, numbers in zip(texts, self._numbers(texts)):
-            if numbers is None or (lengths := self.lengths[numbers]).min() < 0:
-                out.append(self._whole(text) if text else np.empty(0, np.uint32))
-                continue
-            total = int(lengths.sum())
-            first = np.cumsum(lengths) - lengths
-            out.append(self.ids[np.repeat(self.starts[numbers] - first, lengths) + np.arange(total)])
-        return out
-
-    def count(self, texts: Iterable[str]) -> list[int]:
+        for k in [*np.flatnonzero(self.lengths[numbers] < 0).tolist(), len(rest)]:
+            out.append(self._gathered(numbers[since:k]))
+            out.append(self._whole(" " + rest[k]) if k < len(rest) else [])
+            since = k + 1
+        return np.concatenate([np.asarray(x, np.uint32) for x in out])
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
+        first = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(self.starts[numbers] - first, lengths) + np.arange(int(lengths.sum()))]
+
+    def _runs(self, texts: Iterable[str]):
+        """Per text: numbers of its chunks, or its ids if some can't stand alone."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())
+        column = pc.fill_null(column, "")
+        if not len(column):
+            return
+        numbers, bounds = self._chunks(column)
+        odd = np.minimum.reduceat(self.lengths[numbers], bounds[:-1]) < 0
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            yield (None, self._apart(column[k].as_py())) if odd[k] else (numbers[a:b], None)
+
+    def encode(self, texts: Iterable[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, null counting as empty."""
+        return [self._gathered(numbers) if ids is None else ids for numbers, ids in self._runs(texts)]
+
+    def count(self, texts: Iterable[str] | pa.Array) -> list[int]:
         """The number of ids of each text."""
-        texts = list(texts)
-        out = []
-        for text, numbers in zip(texts, self._numbers(texts)):
-            if numbers is None or (lengths := self.lengths[numbers]).min() < 0:
-                out.append(len(self._whole(text)) if text else 0)
-            else:
-                out.append(int(lengths.sum()))
-        return out
+        return [int(self.lengths[numbers].sum()) if ids is None else len(ids) for numbers, ids in self._runs(texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

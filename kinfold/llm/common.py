@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch.  Documents can be long; a batch must fit beside the heap.
 ARROW_ROWS = 400
 
+#: Bytes of its files that a shuffled partition of texts may come from, and the most partitions asked for on that ground.
+PARTITION_BYTES, MOST_PARTITIONS = 64 << 20, 2_000_000
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +53,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_of(df: DataFrame, each: int = PARTITION_BYTES) -> int | None:
+    """How many partitions of ``each`` bytes hold what ``df`` reads, by Spark's estimate; None if the session's setting is enough."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = -(-size // each)
+    return wanted if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < wanted <= MOST_PARTITIONS else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

@@ -1,22 +1,26 @@
 """Token ids in patched frame-of-reference blocks.
 
-File format.  A data set is a folder of Parquet files with one row per block:
-``shard``, ``block`` (from 0 in its shard), ``first`` (the position of its
-first id in the shard's stream), ``count``, ``payload`` and the documents that
-start in it: ``doc_ids``, ``doc_first``, ``doc_tokens``.  ``first`` is the
-index of block starts.  Shards follow one another in ascending doc_id order.
-
-Payload, little-endian: minimum u32, width u8, number of exceptions u32;
-``count`` values of ``width`` bits, packed from the highest bit, holding the
-low bits of id - minimum; exception places u32 each, then their full
-id - minimum u32 each.  The width is that of the ``PERCENTILE`` value of
-id - minimum, so rare large ids become exceptions and do not widen the block.
+File format.  A data set is a folder of Parquet files.  A row holds whole
+documents, ``ROW`` ids or a little more: ``shard``, ``first`` (the position of
+its first id in the shard's stream), ``count``, ``doc_ids``, ``doc_tokens``,
+the ``payload``, which is blocks of ``BLOCK`` ids (the last one shorter) one
+after another, and ``block_at``, the byte at which each block starts.  Shards
+follow one another in ascending doc_id order, rows by ``first`` in a shard.
+Every row can be decoded alone, so files are read in any order and split
+anywhere, and nothing is moved to put documents together again.
+
+A block, little-endian: minimum u32, width u8, number of exceptions u32; its
+values of ``width`` bits, packed from the highest bit, holding the low bits of
+id - minimum; exception places u32 each, then their full id - minimum u32
+each.  The width is that of the ``PERCENTILE`` value of id - minimum, so rare
+large ids become exceptions and do not widen the block.
 
 Spark's commit protocol writes the files, so a lost executor or a repeated
 task leaves neither gaps nor doubles.
 
 Null text is empty: the document is its end id alone.  Rows that repeat a
-doc_id are kept, in any order among themselves.  Null doc_ids sort first.
+doc_id are kept, in any order among themselves.  Null doc_ids sort first.  An
+empty table gives an empty data set.  Other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import prepare
+from .common import partitions_of, prepare
 
-BLOCK, PERCENTILE = 8192, 0.97
+BLOCK, ROW, PERCENTILE = 8192, 4 * 8192, 0.97
 HEADER = struct.Struct("<IBI")
-FORMAT = "shard int, block long, first long, count int, payload binary, doc_ids array<long>, doc_first array<long>, doc_tokens array<long>"
+FORMAT = "shard int, first long, count long, doc_ids array<long>, doc_tokens array<long>, block_at array<long>, payload binary"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -49,78 +53,72 @@ def pack(ids: np.ndarray) -> bytes:
     return HEADER.pack(low, width, len(odd)) + np.packbits(bits).tobytes() + odd.astype("<u4").tobytes() + delta[odd].astype("<u4").tobytes()
 
 
-def unpack(payload: bytes, count: int) -> np.ndarray:
-    """The ids of a payload."""
-    low, width, n_odd = HEADER.unpack_from(payload)
-    size = (count * width + 7) // 8
+def unpack(payload: bytes, count: int, at: int = 0) -> np.ndarray:
+    """The ids of the block that starts at a byte of a payload."""
+    low, width, n_odd = HEADER.unpack_from(payload, at)
+    size, at = (count * width + 7) // 8, at + HEADER.size
     bits = np.zeros((count, 32), np.uint8)
-    packed = np.frombuffer(payload, np.uint8, size, HEADER.size)
+    packed = np.frombuffer(payload, np.uint8, size, at)
     bits[:, 32 - width :] = np.unpackbits(packed, count=count * width).reshape(count, width)
     delta = np.packbits(bits).view(">u4").astype(np.uint32)
-    at = np.frombuffer(payload, "<u4", n_odd, HEADER.size + size)
-    delta[at] = np.frombuffer(payload, "<u4", n_odd, HEADER.size + size + 4 * n_odd)
+    places = np.frombuffer(payload, "<u4", n_odd, at + size)
+    delta[places] = np.frombuffer(payload, "<u4", n_odd, at + size + 4 * n_odd)
     return delta + np.uint32(low)
 
 
-def encode_blocks(docs: DataFrame, end_id: int = 2, path: str | None = None) -> DataFrame:
+def pack_stream(ids: np.ndarray) -> tuple[list[int], bytes]:
+    """Where each block of a stream starts, and the blocks."""
+    blocks = [pack(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    return np.cumsum([0, *map(len, blocks[:-1])]).tolist(), b"".join(blocks)
+
+
+def unpack_stream(payload: bytes, count: int, block_at: list[int]) -> np.ndarray:
+    """The ids of all blocks."""
+    return np.concatenate([unpack(payload, min(BLOCK, count - k * BLOCK), at) for k, at in enumerate(block_at)])
+
+
+def encode_rows(docs: DataFrame, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Rows of the file format for ``docs``, ordered by doc_id over the shards."""
     prepare(docs.sparkSession)
     path = path or tokens.default_path()
 
     def run(batches):
-        encode, shard = tokens.encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], np.uint32)
-        rest, docs_here, written, block = np.empty(0, np.uint32), [], 0, 0
-
-        def rows(stream, starts, first, number):
-            """Blocks of ``stream`` and the documents that start in each."""
-            out, d = [], 0
-            for i in range(0, len(stream), BLOCK):
-                ids = stream[i : i + BLOCK]
-                e = d
-                while e < len(starts) and starts[e][1] < first + i + len(ids):
-                    e += 1
-                out.append((shard, number, first + i, len(ids), pack(ids), *([s[k] for s in starts[d:e]] for k in range(3))))
-                d, number = e, number + 1
-            return out
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
-
-        at = 0
-        for batch in batches:
-            parts = [rest]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.encode(tokens.texts_of(batch.column(1)))):
+        encode, shard, first = tokens.encoder(path), TaskContext.get().partitionId(), 0
+        end, parts, doc_ids, sizes, held = np.array([end_id], np.uint32), [], [], [], 0
+        for batch in _with_end(batches):
+            out = []
+            for doc_id, ids in [] if batch is None else zip(batch.column(0).to_pylist(), encode.encode(batch.column(1))):
                 parts += [ids, end]
-                docs_here.append((doc_id, at, len(ids) + 1))
-                at += len(ids) + 1
-            stream = np.concatenate(parts)
-            whole = len(stream) // BLOCK * BLOCK
-            if whole:
-                yield batch_of(rows(stream[:whole], docs_here, written, block))
-                written, block = written + whole, block + whole // BLOCK
-                docs_here = [d for d in docs_here if d[1] >= written]
-            rest = stream[whole:]
-        if len(rest):
-            yield batch_of(rows(rest, docs_here, written, block))
-
-    key = ["doc_id", "tie", "row"]
-    return (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
-        .repartitionByRange(*key)
-        .sortWithinPartitions(*key)
-        .select("doc_id", "text")
-        .mapInArrow(run, FORMAT)
-    )
-
-
-NAMES = ["shard", "block", "first", "count", "payload", "doc_ids", "doc_first", "doc_tokens"]
-KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+                doc_ids.append(doc_id)
+                sizes.append(len(ids) + 1)
+                held += len(ids) + 1
+                if held >= ROW:
+                    out.append((shard, first, held, doc_ids, sizes, *pack_stream(np.concatenate(parts))))
+                    first, parts, doc_ids, sizes, held = first + held, [], [], [], 0
+            if batch is None and held:
+                out.append((shard, first, held, doc_ids, sizes, *pack_stream(np.concatenate(parts))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
+
+    key, more = ["doc_id", "tie", "row"], partitions_of(docs)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(more, *key) if more else keyed.repartitionByRange(*key)
+    return dealt.sortWithinPartitions(*key).select("doc_id", "text").mapInArrow(run, FORMAT)
+
+
+def _with_end(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
+NAMES = ["shard", "first", "count", "doc_ids", "doc_tokens", "block_at", "payload"]
+KINDS = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
 
 def write(docs: DataFrame, folder: str, end_id: int = 2, path: str | None = None) -> None:
-    """Write ``docs`` as a data set of the file format."""
-    encode_blocks(docs, end_id, path).write.option("compression", "none").parquet(folder)
+    """Write ``docs`` as a data set of the file format.  Its payload is packed already, so Parquet packs nothing."""
+    encode_rows(docs, end_id, path).write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,39 +133,22 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def _decoded(spark: SparkSession, folder: str, column: str, of, kind) -> DataFrame:
     prepare(spark)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind]
+    names = ["shard", "doc_id", "first", "n_tokens", column.split()[0]]
 
     def run(batches):
-        shard, rest, base, queue = None, np.empty(0, np.uint32), 0, []
         for batch in batches:
-            rows, out = batch.to_pylist(), []
-            parts = [rest]
-            for row in [*rows, None]:
-                if row is None or row["shard"] != shard:
-                    stream = np.concatenate(parts)
-                    k = 0
-                    while k < len(queue) and queue[k][1] + queue[k][2] - base <= len(stream):
-                        doc_id, first, n = queue[k]
-                        out.append((shard, doc_id, first, n, of(stream[first - base : first - base + n])))
-                        k += 1
-                    queue = queue[k:]
-                    keep = queue[0][1] if queue else base + len(stream)
-                    rest, base = stream[keep - base :], keep
-                    parts = [rest]
-                    if row is None:
-                        break
-                    assert not queue, "a document is longer than its shard"
-                    shard, rest, base, parts = row["shard"], np.empty(0, np.uint32), 0, []
-                    parts = [rest]
-                parts.append(unpack(row["payload"], row["count"]))
-                queue += zip(row["doc_ids"], row["doc_first"], row["doc_tokens"])
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.int64(), pa.int64(), pa.int64(), kind])],
-                    names=["shard", "doc_id", "first", "n_tokens", column.split()[0]],
-                )
-
-    blocks = spark.read.schema(FORMAT).parquet(folder)
+            for row in range(batch.num_rows):
+                shard, first, count, doc_ids, sizes, block_at, payload = (c[row].as_py() for c in batch.columns)
+                ids, ends = unpack_stream(payload, count, block_at), np.cumsum(sizes)
+                starts = ends - sizes
+                values = [of(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                columns = [[shard] * len(sizes), doc_ids, starts + first, sizes, values]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    rows = spark.read.schema(FORMAT).parquet(folder)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.groupBy("shard").agg(F.sum("count").alias("size")).select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    documents = blocks.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, f"shard int, doc_id long, first long, n_tokens long, {column}")
+    # One row for each shard, of which there are as many as tasks that wrote.
+    offsets = rows.groupBy("shard").agg(F.sum("count").alias("size")).select("shard", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    documents = rows.mapInArrow(run, f"shard int, doc_id long, first long, n_tokens long, {column}")
     return documents.join(offsets, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", column.split()[0])

@@ -6,16 +6,23 @@ a small classifier learns which parts hold a vector's neighbours.  The
 classifier then places every vector in its most probable part and sends every
 query to its most probable parts, where all vectors are compared exactly.
 
-The number of parts a query visits is the least with which queries of the
-sample find ``RECALL`` of their true neighbours in the sample.
+The number of parts grows with the rows, as far as the sample can tell parts
+apart.  A query visits at least as many parts as queries of the sample that
+had no say in the fit need to find ``RECALL`` of their true neighbours, and
+goes on to less probable parts until those it visits hold ``k`` candidates
+other than itself, or to all of them: every query gets ``k`` neighbours, or
+all there are.
 
-Parts that hold many vectors are dealt out in chunks, and queries in blocks,
-so a task sees at most ``CHUNK`` vectors and ``BLOCK`` queries.
+Parts that hold many vectors are dealt out in chunks, and the queries that
+visit a part in blocks, so a task sees at most about ``CHUNK`` vectors and
+``BLOCK`` queries, whatever share of the rows one part holds.
 
 Vectors that are null, zero, of another length than most of the sample, or
 that hold a null or non-finite component take no part, and neither do rows
 with a null id.  Rows that repeat an id are one candidate, with their best
-score; a query's own id is never its neighbour.
+score; a query's own id is never its neighbour.  Ties in score go to the
+smaller id.  Without two usable vectors the answer is empty.  Other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -31,10 +38,13 @@ from pyspark.sql import functions as F
 
 from .common import prepare, settle
 
-#: Vectors of the sample at most; parts; neighbours of a vector in the graph.
-SAMPLE, PARTS, DEGREE = 4096, 16, 10
+#: Vectors of the sample: so many, or a share of a larger table up to the second.  One in HELD_OUT does not fit.
+SAMPLE, MOST_SAMPLE, SAMPLE_SHARE, HELD_OUT = 4096, 16_384, 1 / 64, 8
+#: Parts of a small table, rows of a part beyond that, sample rows that a part takes at least; neighbours of a vector in the graph.
+PARTS, PART_ROWS, PART_SAMPLE, DEGREE = 16, 2048, 16, 10
 RECALL, SLACK = 0.95, 0.05
 CHUNK, BLOCK = 2048, 2048
+STEPS, BATCH = 300, 4096
 
 
 @dataclass(frozen=True)
@@ -49,6 +59,16 @@ class Router:
         """The parts of each vector, most probable first."""
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that holds each vector."""
+        return np.argmax(x @ self.weights + self.bias, axis=1)
+
+    def route(self, x: np.ndarray, held: np.ndarray, least: int) -> list[list[int]]:
+        """The parts that each vector visits: ``visits``, and more until they hold ``least`` candidates or are all."""
+        order = self.order(x)
+        enough = (np.cumsum(held[order], axis=1) < least).sum(axis=1) + 1
+        return [row[: max(self.visits, n)] for row, n in zip(order.tolist(), enough.tolist())]
+
 
 def neighbour_graph(x: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     """The places of each vector's neighbours of largest inner product."""
@@ -96,35 +116,39 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 12
     return label
 
 
-def fit(x: np.ndarray, k: int, parts: int = PARTS, recall: float = RECALL) -> Router:
-    """The router of a sample of vectors (rows)."""
-    parts = max(1, min(parts, len(x) // 8))
-    if parts == 1:
+def part_count(rows: int, sample: int) -> int:
+    """The number of parts of a table."""
+    return max(1, min(max(PARTS, rows // PART_ROWS), sample // PART_SAMPLE))
+
+
+def fit(x: np.ndarray, k: int, parts: int, recall: float = RECALL) -> Router:
+    """The router of a sample of vectors (rows), in no particular order."""
+    asked, x = x[::HELD_OUT], np.delete(x, np.s_[::HELD_OUT], axis=0)
+    if parts == 1 or len(x) < 2 * parts:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     near = neighbour_graph(x)
     label = balanced_parts(x, near, parts)
-    want = np.eye(parts)[label] + np.stack([np.bincount(label[row], minlength=parts) for row in near])
+    want = np.zeros((len(x), parts))
+    want[np.arange(len(x)), label] = 1
+    np.add.at(want, (np.arange(len(x))[:, None], label[near]), 1)
     want /= want.sum(axis=1, keepdims=True)
     scale = 1 / max(np.sqrt((x * x).sum(axis=1)).mean(), 1e-12)
-    w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
-    m, v = np.zeros((x.shape[1] + 1, parts)), np.zeros((x.shape[1] + 1, parts))
-    xs = np.hstack([x * scale, np.ones((len(x), 1))])
-    theta = np.vstack([w, b])
-    for step in range(1, 301):  # softmax regression on the parts of a vector and its neighbours, by Adam
-        z = xs @ theta
+    theta = np.zeros((x.shape[1] + 1, parts))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    xs, rng = np.hstack([x * scale, np.ones((len(x), 1))]), np.random.default_rng(11)
+    for step in range(1, STEPS + 1):  # softmax regression on the parts of a vector and its neighbours, by Adam
+        some = rng.choice(len(x), BATCH, replace=False) if len(x) > BATCH else slice(None)
+        z = xs[some] @ theta
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = xs.T @ (p - want) / len(x) + 1e-5 * theta
+        g = xs[some].T @ (p - want[some]) / len(z) + 1e-5 * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     router = Router(theta[:-1] * scale, theta[-1], parts)
-    asked = np.arange(0, len(x), max(1, len(x) // 512))
-    order, home = router.order(x[asked]), router.order(x)[:, 0]
-    dots = x[asked] @ x.T
-    dots[np.arange(len(asked)), asked] = -np.inf
-    kk = min(k, len(x) - 1)
+    home, dots = router.home(x), asked @ x.T
+    kk = min(k, len(x))
     true = np.argpartition(-dots, kk - 1, axis=1)[:, :kk]
-    turn = np.argsort(order, axis=1)  # of each part, when a query comes to it
+    turn = np.argsort(router.order(asked), axis=1)  # of each part, when a query comes to it
     late = np.take_along_axis(turn, home[true], axis=1)
     found = [(late < visits).mean() for visits in range(1, parts + 1)]
     return Router(router.weights, router.bias, next((i + 1 for i, r in enumerate(found) if r >= recall), parts))
@@ -137,70 +161,81 @@ def usable(rows: DataFrame) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.coalesce("asks", F.lit(False)).alias("asks"))
 
 
-def _rank(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best of distinct ids: largest score, then smallest id."""
-    order = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)[:k]]
-
-
-def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", parts: int = PARTS) -> DataFrame:
+def nearest(asks: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, and ids and scores of their ``k`` best rows of other ids; a row's score is summed on its own."""
+    dots = asks @ x.T
+    dots[own[:, None] == ids[None, :]] = -np.inf
+    rows = k * np.unique(ids, return_counts=True)[1].max()  # hold k ids, however they repeat
+    if rows < len(ids):  # what rounding could bring among the best stays; exact scores decide
+        least = -np.partition(-dots, rows - 1, axis=1)[:, rows - 1]
+        least = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
+    else:
+        least = np.full(len(asks), -np.inf)
+    i, j = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
+    scores, ids = (x[j] * asks[i]).sum(axis=1), ids[j]
+    order = np.lexsort((-scores, ids, i))  # the best row of each id
+    i, ids, scores = i[order], ids[order], scores[order]
+    first = np.r_[True, (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])] if len(i) else np.zeros(0, bool)
+    i, ids, scores = i[first], ids[first], scores[first]
+    order = np.lexsort((ids, -scores, i))
+    i, ids, scores = i[order], ids[order], scores[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[best], ids[best], scores[best]
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query row."""
     spark = rows.sparkSession
     prepare(spark)
-    named = rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks"))
-    good = usable(named)
-    sample = [r["vec"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]  # of a bounded size
-    schema = "query_id long, rank int, vec_id long, score double"
+    good = usable(rows.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("embedding"), is_query.alias("asks")))
+    n_rows = rows.count()
+    size = int(min(MOST_SAMPLE, max(SAMPLE, n_rows * SAMPLE_SHARE)))
+    sample = [r["vec"] for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()]  # of a bounded size
     if len(sample) < 2:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = Counter(map(len, sample)).most_common(1)[0][0]
-    router = fit(np.array([v for v in sample if len(v) == dim]), k, parts)
+    fitted = np.array([v for v in sample if len(v) == dim])
+    router = fit(fitted, k, parts or part_count(n_rows, len(fitted)))
     n_parts = router.weights.shape[1]
 
+    def vectors(batch) -> np.ndarray:
+        return batch.column("vec").flatten().to_numpy().reshape(-1, dim)
+
     def place(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = np.concatenate(batch.column("vec").to_pylist()).reshape(n, dim)
-            order = router.order(x)[:, : router.visits]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("asks"), pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["vec_id", "vec", "asks", "order"])
-
-    placed = good.filter(F.size("vec") == dim).mapInArrow(place, "vec_id long, vec array<double>, asks boolean, order array<int>")
-    index = settle(placed, "vectors")
-    sizes = {r["p"]: r["n"] for r in index.groupBy(F.col("order")[0].alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a part
-    n_asked = index.filter("asks").count()
-    chunks = [max(1, -(-sizes.get(p, 0) // CHUNK)) for p in range(n_parts)]
-    blocks = max(1, -(-n_asked * router.visits // (n_parts * BLOCK)))
-    of = lambda p: F.element_at(F.array(*[F.lit(c) for c in chunks]), p + 1)
-    held = index.select(F.col("vec_id").alias("row_id"), F.col("vec").alias("held"), F.col("order")[0].alias("p")).withColumn("c", F.pmod(F.xxhash64("row_id"), of(F.col("p"))).cast("int"))
-    held = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = index.filter("asks").select("vec_id", "vec", F.explode("order").alias("p")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    queries = queries.withColumn("c", F.explode(F.sequence(F.lit(0), of(F.col("p")) - 1)))
+            if batch.num_rows:
+                home = pa.array(router.home(vectors(batch)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, home], names=["vec_id", "vec", "asks", "p"])
+
+    index = settle(good.filter(F.size("vec") == dim).mapInArrow(place, "vec_id long, vec array<double>, asks boolean, p int"), "vectors")
+    # One row for each part.  An id that stands in several parts counts in one of them.
+    sizes = {r["p"]: r["n"] for r in index.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = {r["p"]: r["n"] for r in index.groupBy("vec_id").agg(F.min("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.array([distinct.get(p, 0) for p in range(n_parts)])
+
+    def send(batches):
+        for batch in batches:
+            if batch.num_rows:
+                routes = pa.array(router.route(vectors(batch), held, k + 1), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), routes], names=["vec_id", "vec", "route"])
+
+    asking = settle(index.filter("asks").select("vec_id", "vec").mapInArrow(send, "vec_id long, vec array<double>, route array<int>"), "routes")
+    visited = {r["p"]: r["n"] for r in asking.select(F.explode("route").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = lambda counts, each: F.array(*[F.lit(max(1, -(-counts.get(p, 0) // each))) for p in range(n_parts)])
+    chunks, blocks = F.element_at(share(sizes, CHUNK), F.col("p") + 1), F.element_at(share(visited, BLOCK), F.col("p") + 1)
+    stored = index.select(F.col("vec_id").alias("row_id"), F.col("vec").alias("held"), "p").withColumn("c", F.pmod(F.xxhash64("row_id"), chunks).cast("int"))
+    stored = stored.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    queries = asking.select("vec_id", "vec", F.explode("route").alias("p")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int"))
+    queries = queries.withColumn("c", F.explode(F.sequence(F.lit(0), chunks - 1)))
 
     def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(v):
-            x, ids = np.stack(v["held"]), v["row_id"].to_numpy()
-            asks, own = np.stack(q["vec"]), q["vec_id"].to_numpy()
-            dots = asks @ x.T
-            for i in range(len(q)):
-                other = np.flatnonzero(ids != own[i])
-                row = dots[i, other]
-                if len(other) > k:  # what rounding could bring among the k best stays; exact scores decide
-                    distinct = np.sort(row)[-k]
-                    if (row >= distinct).sum() >= k:
-                        near = other[row >= distinct - 1e-9 * max(1.0, abs(distinct))]
-                        if len(np.unique(ids[near])) >= k:
-                            other = near
-                scores = (x[other] * asks[i]).sum(axis=1)
-                best = _rank(ids[other], scores, k)
-                out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[other][best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        i, ids, scores = nearest(np.stack(q["vec"]), q["vec_id"].to_numpy(), np.stack(v["held"]), v["row_id"].to_numpy(), k)
+        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "vec_id": ids, "score": scores})
 
     keys = ["p", "c", "b"]
-    found = queries.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

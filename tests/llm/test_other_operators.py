@@ -209,6 +209,69 @@ def test_ann_odd_vectors_and_ties(spark):
     assert ann.search(frame.limit(0), F.lit(True)).count() == 0
 
 
+def neighbours_by_all_pairs(ids, x, k, asks):
+    """The k nearest other ids of each query id, with their scores."""
+    out = {}
+    for q in np.unique(ids[asks]):
+        best = {}
+        for mine in np.flatnonzero(asks & (ids == q)):
+            for i, s in zip(ids.tolist(), (x * x[mine]).sum(axis=1).tolist()):
+                if i != q:
+                    best[i] = max(s, best.get(i, -np.inf))
+        out[int(q)] = sorted(best.items(), key=lambda c: (-c[1], c[0]))[:k]
+    return out
+
+
+def found_by(spark, ids, x, asks, k=20, **more):
+    frame = spark.createDataFrame([(int(i), v.tolist(), bool(a)) for i, v, a in zip(ids, x, asks)], "vec_id long, embedding array<double>, asks boolean")
+    got = {}
+    for r in ann.search(frame, F.col("asks"), k=k, **more).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_ann_gives_every_query_its_fill_on_skewed_clusters(spark, seed):
+    """One tight cluster of 3,000 and 12 others far from it."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=16) + 0.02 * rng.normal(size=(3000, 16)), rng.normal(size=(12, 16))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(len(x))
+    asks = (ids % 20 == 0) | (np.arange(len(x)) >= 3000)
+    got, want = found_by(spark, ids, x, asks), neighbours_by_all_pairs(ids, x, 20, asks)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_ann_on_a_table_several_times_its_sample(spark, monkeypatch):
+    """Rows that the fit has not seen are found: 8,000 rows of 40 clusters, a sample of 1,000."""
+    for name, value in (("SAMPLE", 1000), ("MOST_SAMPLE", 1000), ("PART_ROWS", 200), ("CHUNK", 100), ("BLOCK", 50)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 8000)] + 0.6 * rng.normal(size=(8000, 24))
+    ids = np.arange(8000)
+    asks = ids % 20 == 0
+    assert ann.part_count(8000, 1000) == 40
+    got, want = found_by(spark, ids, x, asks), neighbours_by_all_pairs(ids, x, 20, asks)
+    assert all(len(got[q]) == 20 and all(abs(s - dict(want[q]).get(i, s)) < 1e-9 for i, s in got[q]) for q in want)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_ann_on_few_rows_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (15, 3)).astype(float) + 0.5
+    ids = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 3, 3, 20, 20, 9, 0])
+    asks = ids % 20 == 0
+    assert found_by(spark, ids, x, asks) == neighbours_by_all_pairs(ids, x, 20, asks)
+    x = rng.integers(-1, 2, (300, 4)) + 0.5  # many ties, ids in threes
+    ids = rng.integers(0, 100, 300)
+    asks = ids % 20 == 0
+    got, want = found_by(spark, ids, x, asks, k=5, parts=1), neighbours_by_all_pairs(ids, x, 5, asks)
+    assert got == want
+    assert {q: len(v) for q, v in found_by(spark, ids, x, asks, k=90, parts=4).items()} == {q: min(90, len(set(ids.tolist())) - 1) for q in want}
+
+
 def test_urls(spark):
     urls = ["HTTP://WWW.Example.ORG/en/12?x", "http://a.example.org/es/1", "http://example.org", "https://b.com/fr/1#t", "https://b.com/de/1", "no scheme", None, "", "https://casino-win.example.net/en/4", "http://x.example.net/EN/a/b?c://d"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")

@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ Span = tuple[str, int, int]
 # Characters and classes of the base detectors.
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 NUMBER = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -105,7 +107,9 @@ DIGITS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-AT, DOT = ("at", "arroba", "arobase"), ("dot", "punkt", "punto", "point")
+AT, DOT = ("at", "arroba", "arobase", "ät"), ("dot", "punkt", "punto", "point")
+# Letters written for a digit beside digits, in lower case.
+LETTER_DIGITS = str.maketrans("oli", "011")
 
 
 @lru_cache(maxsize=65_536)
@@ -127,70 +131,81 @@ _WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
 _AT, _DOT = "|".join(AT), "|".join(DOT)
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _B, _E = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
-_ANY_AT = rf"(?:{_B}(?:{_AT}|@){_E}|[ ]{{1,2}}(?:{_AT})[ ]{{1,2}}|[ ]{{1,2}}@[ ]{{1,2}}|@)"
-_ANY_DOT = rf"(?:{_B}(?:{_DOT}|\.){_E}|[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|\.)"
+_ANY_AT = rf"(?:{_B}(?:{_AT}|@){_E}|[ ]{{1,2}}(?:{_AT})[ ]{{1,2}}|[ ]{{1,2}}@[ ]{{1,2}}|[_-](?:{_AT})[_-]|@)"
+_ANY_DOT = rf"(?:{_B}(?:{_DOT}|\.){_E}|[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|[_-](?:{_DOT})[_-]|\.)"
 #: An address in disguise.  The part before the at sign, the domain's labels, and a last label of letters.
 MAIL = re.compile(
     rf"(?<![A-Za-z0-9._%+-])(?P<user>[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?)(?P<at>{_ANY_AT})"
     rf"(?P<host>{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}{_ANY_DOT}(?:[A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
     re.I,
 )
-#: What any disguise of MAIL holds; for lower-cased text, like RUN_HINT.
-MAIL_HINT = re.compile(rf"[(\[{{<] {{0,2}}(?:{_AT}|@|{_DOT}|\.) {{0,2}}[)\]}}>]| (?:{'|'.join(AT[1:])}|{_DOT}|@) ")
+#: What any disguise of MAIL holds; for lower-cased text, like RUN_HINTS.
+MAIL_HINTS = (
+    re.compile(rf"[(\[{{<] {{0,2}}(?:{_AT}|@|{_DOT}|\.) {{0,2}}[)\]}}>]"),
+    re.compile(rf" (?:{'|'.join(AT[1:])}|{_DOT}|@) "),
+    re.compile(rf"[_-](?:{_AT}|{_DOT})[_-]"),
+)
 _AT_SIGN, _DOT_SIGN = re.compile(_ANY_AT, re.I), re.compile(_ANY_DOT, re.I)
 _HIDDEN_AT = re.compile(rf"[(\[{{<]|(?:{'|'.join(AT[1:])})| @ ", re.I)
-_HIDDEN_DOT = re.compile(rf"[(\[{{<]|[ ](?:{_DOT})[ ]", re.I)
+_HIDDEN_DOT = re.compile(rf"[(\[{{<]|[ _-](?:{_DOT})[ _-]", re.I)
+#: Dots that no sentence holds; the other words for a dot are words of a language too.
+_SURE_DOT = re.compile(rf"[(\[{{<]|[ _-]{DOT[0]}[ _-]", re.I)
 #: A run of digits of which some, or dots and dashes between them, may be words or in brackets.
 #: What separates two numbers is matched in one way only, so that time stays linear.
-_GAP = r"(?:[ ,.-]{1,2}|[ ]?[()][ ]?)"
+_GAP = r"(?:[ ]?[()][ ]?|[ ,.-]{1,2})"
 _SIGN = rf"(?:{_B}(?:{_DOT}|dash|[.-]){_E}|[ ]{{0,2}}(?:{_DOT}|dash)[ ]{{0,2}})"
 _BETWEEN = rf"(?>{_GAP}(?:(?:{_DOT}|dash){_GAP})+|{_SIGN}|{_GAP})"
-_NUMBER = rf"(?:(?:{_WORD})(?!\w)|[0-9]++(?:(?!\w)|(?=(?:{_DOT}|dash)[0-9])))"
+_MIXED = r"(?=[oli]*+[0-9])[0-9oli]++(?!\w)"
+_NUMBER = rf"(?:(?:{_WORD})(?!\w)|[0-9]++(?:(?!\w)|(?=(?:{_DOT}|dash)[0-9]))|{_MIXED})"
 RUN = re.compile(rf"(?<![\w])(?:plus[ ]|\+[ ]?)?\(?{_NUMBER}(?:{_BETWEEN}{_NUMBER})+", re.I)
-_RUN_PART = re.compile(rf"plus[ ]|\+[ ]|(?:{_WORD})(?!\w)|[0-9]+|{_SIGN}|.", re.I | re.S)
+_RUN_PART = re.compile(rf"plus[ ]|\+[ ]|(?:{_WORD})(?!\w)|{_MIXED}|[0-9]+|{_SIGN}|.", re.I | re.S)
+_VALUE = re.compile(rf"(?:{_WORD})(?!\w)|[0-9oli]+", re.I)
+#: A run shorter than this in numbers and in digits is no identifier, if no plus sign stands in the text.
+_NUMBERS, _DIGITS = 4, 8
 _ANY_GAP = r"[ ,.()\[\]{}<>-]{1,12}"
-RUN_HINT = re.compile(
-    rf"\b(?:{_WORD}){_ANY_GAP}(?:(?:{_WORD})\b|[0-9]|{_DOT}|dash)"
-    rf"|[0-9](?:{_ANY_GAP}(?:(?:{_WORD})\b|{_DOT}|dash)|(?:{_DOT}|dash)[0-9]|{_B}[.-]{_E}[0-9])"
+_FIRST = "".join(sorted({w[0] for w in DIGITS}))
+#: What any disguise of RUN holds, in a text that a space was put before.
+RUN_HINTS = (
+    re.compile(rf"[^a-z0-9_à-öø-ÿ](?=[{_FIRST}])(?:{_WORD}){_ANY_GAP}(?:(?:{_WORD})\b|[0-9oli]|{_DOT}|dash)"),
+    re.compile(rf"[0-9oli](?:{_ANY_GAP}(?:(?:{_WORD})\b|{_DOT}|dash)|(?:{_DOT}|dash)[0-9]|{_B}[.-]{_E}[0-9])"),
+    re.compile(r"[0-9][oli]|[oli][0-9]"),
 )
 
 Piece = tuple[str, int, int]
 
 
 class Rewritten:
-    """A text as pieces (what it says now, the span of the source it came from)."""
+    """A text as pieces (what it says now, the span it came from in the text below)."""
 
-    def __init__(self, pieces: list[Piece]):
+    def __init__(self, pieces: list[Piece], below: "Rewritten | None" = None):
+        self.pieces, self.below = pieces, below
         self.text = "".join(p[0] for p in pieces)
-        self.starts, self.ends, self.changed = [], [], []
-        for said, a, b in pieces:
-            same = b - a == len(said)
-            self.starts += range(a, b) if same else [a] * len(said)
-            self.ends += range(a + 1, b + 1) if same else [b] * len(said)
+        self.at = [0, *accumulate(len(p[0]) for p in pieces)]
+
+    def _piece(self, place: int) -> tuple[Piece, int]:
+        """The piece that a character is in, and its place there."""
+        k = bisect_right(self.at, place) - 1
+        return self.pieces[k], place - self.at[k]
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        """The span of the first source that a span of this text came from."""
+        (said, a, b), i = self._piece(start)
+        first = a + i if b - a == len(said) else a
+        (said, a, b), i = self._piece(end - 1)
+        last = a + i + 1 if b - a == len(said) else b
+        return self.below.source(first, last) if self.below else (first, last)
 
     def then(self, pieces: list[Piece]) -> "Rewritten":
-        """The rewriting of this text by ``pieces``, with spans of the first source."""
-        out = []
-        for said, a, b in pieces:
-            if a == b:
-                continue
-            if b - a == len(said):
-                out += [(said[i], self.starts[a + i], self.ends[a + i]) for i in range(b - a)]
-            else:
-                out.append((said, *self.source(a, b)))
-        return Rewritten(out)
+        """The rewriting of this text by ``pieces``; itself if they change nothing."""
+        return Rewritten(pieces, self) if len(pieces) > 1 else self
 
 
-def unmask_letters(text: str) -> Rewritten:
-    """Look-alike and invisible characters."""
+def unmask_letters(text: str, odd: set[str]) -> Rewritten:
+    """Look-alike and invisible characters, which ``odd`` is made of."""
     pieces, since = [], 0
-    for i, char in enumerate(text):
-        if char > "\x7f" and (plain := _plain(char)) != char:
-            pieces += [(text[since:i], since, i), (plain, i, i + 1)]
-            since = i + 1
+    for m in re.finditer(f"[{re.escape(''.join(odd))}]", text):
+        pieces += [(text[since : m.start()], since, m.start()), (_plain(m.group()), m.start(), m.end())]
+        since = m.end()
     return Rewritten([*pieces, (text[since:], since, len(text))])
 
 
@@ -201,7 +216,11 @@ def unmask_digits(text: str, joined: bool = False) -> list[Piece]:
     spaces stays.
     """
     pieces, since = [], 0
+    plus = "+" in text or "plus " in text.lower()
     for m in RUN.finditer(text):
+        numbers = _VALUE.findall(m.group())
+        if not plus and len(numbers) < _NUMBERS and sum(1 if n.lower() in DIGITS else len(n) for n in numbers) < _DIGITS:
+            continue
         parts = [(p.group(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_PART.finditer(m.group())]
         said = [_said(part) for part, _, _ in parts]
         if not any(said):
@@ -228,11 +247,16 @@ def unmask_digits(text: str, joined: bool = False) -> list[Piece]:
     return [*pieces, (text[since:], since, len(text))]
 
 
+_MIX = frozenset("0123456789oli")
+
+
 def _said(part: str) -> str | None:
     """What a spelled digit or a disguised sign stands for."""
     low = part.lower().strip(" ()[]{}<>")
     if low in DIGITS:
         return DIGITS[low]
+    if low[:1] in _MIX and not low.isdigit() and low.strip("0123456789oli") == "":
+        return low.translate(LETTER_DIGITS)
     if low in DOT or low == "." and part != "." and part[0] in " ([{<":
         return "."
     return "-" if low == "dash" or low == "-" and part[0] in " ([{<" else None
@@ -248,11 +272,17 @@ def _next(parts: list[Piece], k: int) -> int | None:
 
 
 def unmask_signs(text: str) -> list[Piece]:
-    """At and dot disguises; a bare "at" counts only where a dot is disguised too."""
+    """At and dot disguises; a bare "at" counts only beside a dot in brackets, the word "dot", or two other words for it."""
     pieces, since = [], 0
     for m in MAIL.finditer(text):
         at, user, host = m.group("at"), m.group("user"), m.group("host")
-        if not (_HIDDEN_AT.search(at) or _HIDDEN_DOT.search(host) and at.strip()) or (at.strip().lower() == AT[0] and not _HIDDEN_DOT.search(host)):
+        if at == "@":
+            hidden = _HIDDEN_DOT.search(host) or _SURE_DOT.search(user)
+        elif at.strip(" _-").lower() == AT[0]:  # a word that any sentence may hold
+            hidden = _SURE_DOT.search(host) or len(_HIDDEN_DOT.findall(host)) > 1
+        else:
+            hidden = _HIDDEN_AT.search(at)
+        if not hidden:
             continue
         pieces.append((text[since : m.start()], since, m.start()))
         for name in ("user", "at", "host"):
@@ -271,13 +301,12 @@ def unmask_signs(text: str) -> list[Piece]:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only after rewriting, in offsets of the source."""
-    lower_hint = not text.isascii() and any(c > "\x7f" and _plain(c) != c for c in set(text))
-    now = unmask_letters(text) if lower_hint else None
-    low = (now.text if now else text).lower()
-    runs, signs = RUN_HINT.search(low), MAIL_HINT.search(low)
-    if not now and not runs and not signs:
+    odd = set() if text.isascii() else {c for c in set(text) if c > "\x7f" and _plain(c) != c}
+    now = unmask_letters(text, odd) if odd else Rewritten([(text, 0, len(text))])
+    low = " " + now.text.lower()
+    runs, signs = any(h.search(low) for h in RUN_HINTS), any(h.search(low) for h in MAIL_HINTS)
+    if not odd and not runs and not signs:
         return []
-    now = now or Rewritten([(text, 0, len(text))])
     readings = [now]
     if runs:
         readings = [now.then(unmask_digits(now.text))]
@@ -286,6 +315,9 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     known, found = set(base), []
     for k, read in enumerate(readings):
         read = read.then(unmask_signs(read.text)) if signs else read
+        if not read.below and not odd:
+            found.append([])  # the hints were wrong
+            continue
         spans = []
         for kind, a, b in base_spans(read.text):
             span = (kind, *read.source(a, b))

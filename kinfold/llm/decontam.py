@@ -6,20 +6,28 @@ its anchors.  The index stores (term, document, position) for training tokens;
 candidates come from the postings of a window's rarest term, moved by the
 term's offset, and are intersected with the offset-adjusted postings of the
 next rarest ones.  What is left is compared word by word with the documents,
-so the result is exact.  Proximity matches let positions differ by a slop.
+so the result is exact.  ``write_index`` stores the postings of all tokens for
+several benchmarks; without a stored index those of the anchors are made for
+the call.
+
+Proximity matches allow a slop: the rarest term of a window (the first of
+equally rare ones) stands at its place and every other term within ``slop``
+words of its own.
 
 Terms are 64-bit hashes inside the index; the comparison at the end makes
-collisions harmless.  Windows and terms are broadcast only up to
-``BROADCAST_ROWS`` rows, counted first; beyond that the joins shuffle.
+collisions harmless.  Windows, terms and keys of documents with candidates are
+broadcast only up to ``BROADCAST_ROWS`` rows, counted first; beyond that the
+joins shuffle.  Documents without candidates are not shuffled.
 
 Everything here is DataFrame functions.  Null text has no words.  Rows that
 are alike in doc_id and text give alike results, each once per row.  Without
-items, or without documents, nothing is hit.
+items, or without documents, nothing is hit.  Other columns of documents stay,
+whatever they are called; those of items are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, settle
@@ -62,9 +70,19 @@ def token_postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame
     return postings if terms is None else postings.join(terms, "term", "left_semi")
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Occurrences in ``docs`` of the given terms: term, times."""
-    return token_postings(docs, terms).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+def write_index(docs: DataFrame, folder: str) -> None:
+    """Store the postings of all tokens, in order of their terms, so that reading some terms skips the rest."""
+    order = ["term", "key", "pos"]  # a term with very many postings is cut between documents
+    token_postings(docs).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("term long, key long, pos int").parquet(folder)
+
+
+def term_counts(postings: DataFrame) -> DataFrame:
+    """Occurrences of each term: term, times."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def anchored(wins: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
@@ -96,42 +114,73 @@ def intersect(postings: DataFrame, anchors_of: DataFrame, slop: int = 0, anchors
     return found.select("key", "wid", "start")
 
 
-def candidates(docs: DataFrame, wins: DataFrame, slop: int = 0) -> DataFrame:
-    """key, wid, start of the windows that the index finds in the documents."""
+def candidates(docs: DataFrame, wins: DataFrame, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """key, wid, start of the windows that the index (a stored one, or one made here) finds in the documents."""
+    some = lambda terms: token_postings(docs, terms) if index is None else index.join(terms, "term", "left_semi")
     vocabulary = settle(wins.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
-    counts = settle(term_counts(docs, _small(vocabulary)), "term-counts")
+    counts = settle(term_counts(some(_small(vocabulary))), "term-counts")
     anchors_of = settle(anchored(wins, counts), "anchors")
     terms = anchors_of.select(F.explode("anchors.term").alias("term")).distinct()
-    index = settle(token_postings(docs, _small(terms)), "postings")
-    return intersect(index, anchors_of, slop)
+    return intersect(settle(some(_small(terms)), "postings"), anchors_of, slop)
+
+
+def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may have hits, as doc (a struct of the row) and key, and those that have none for sure.
+
+    Where more documents have candidates than can be broadcast, all may have hits.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), row_key().alias("key"))
+    keys = found.select("key").distinct()
+    if keys.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return rows, rows.limit(0)
+    return rows.join(F.broadcast(keys), "key", "left_semi"), rows.join(F.broadcast(keys), "key", "left_anti")
 
 
-def marks(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def marks(docs: DataFrame, bench: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """doc (a struct of the row), n_words, n_hit and items (sorted ids) of each document.
 
     A word is hit if it lies inside an occurrence of a window.
     """
     wins = settle(windows(bench), "windows")
-    found = candidates(docs, wins).join(wins.select("wid", "phrase", "n", "items"), "wid")
-    here = found.groupBy("key").agg(F.collect_set(F.struct("start", "n", "phrase", "items")).alias("found"))
-    rows = docs.select(F.struct("*").alias("doc"), row_key().alias("key")).join(here, "key", "left").select("doc", "found", words(F.col("doc.text")).alias("ws"))
-    same = F.filter("found", lambda c: F.concat_ws(" ", F.slice(F.col("ws"), c["start"] + 1, c["n"])) == c["phrase"])
-    rows = rows.select("doc", F.size("ws").alias("n_words"), same.alias("same"))
-    places = F.flatten(F.transform("same", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
-    items = F.array_sort(F.array_distinct(F.flatten(F.col("same.items"))))
+    found = settle(candidates(docs, wins, index=index), "candidates")
+    near, rest = _parted(docs, found)
+    starts = found.groupBy("key", "wid").agg(F.collect_set("start").alias("starts")).join(wins.select("wid", "phrase", "n", "items"), "wid")
+    here = starts.groupBy("key").agg(F.collect_list(F.struct("starts", "n", "phrase", "items")).alias("found"))
+    rows = near.join(here, "key", "left").select("doc", "found", words(F.col("doc.text")).alias("ws"))
+    # Of each window the places where it does stand.
+    stands = F.transform("found", lambda c: F.struct(F.filter(c["starts"], lambda s: F.concat_ws(" ", F.slice(F.col("ws"), s + 1, c["n"])) == c["phrase"]).alias("starts"), c["n"].alias("n"), c["items"].alias("items")))
+    rows = rows.select("doc", F.size("ws").alias("n_words"), F.filter(stands, lambda c: F.size(c["starts"]) > 0).alias("same"))
+    places = F.flatten(F.transform("same", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(s, s + c["n"] - 1)))))
     hit = F.when(F.col("same").isNull(), 0).otherwise(F.size(F.array_distinct(places)))
-    return rows.select("doc", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    none = F.array().cast("array<string>")
+    items = F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.col("same.items")))), none)
+    marked = rows.select("doc", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), items.alias("items"))
+    return marked.unionByName(rest.select("doc", F.size(words(F.col("doc.text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items")))
 
 
 def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def near_matches(docs: DataFrame, bench: DataFrame, slop: int) -> DataFrame:
-    """doc_id, item_id, start: windows whose anchors stand within ``slop`` words of their places, relative to the rarest."""
+def near_matches(docs: DataFrame, bench: DataFrame, slop: int, index: DataFrame | None = None) -> DataFrame:
+    """doc_id, item_id (as string), start: where a window's rarest term stands at its place and all its others within ``slop`` words of theirs."""
     wins = settle(windows(bench), "windows")
-    found = candidates(docs, wins, slop).join(wins.select("wid", "items"), "wid").select("key", "start", F.explode("items").alias("item_id"))
-    return docs.select("doc_id", row_key().alias("key")).distinct().join(found, "key").select("doc_id", "item_id", "start")
+    found = settle(candidates(docs, wins, slop, index), "candidates")
+    near, _ = _parted(docs, found)
+    texts = near.select("key", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text")).distinct()
+    here = found.join(wins.select("wid", "phrase", "items"), "wid").groupBy("key").agg(F.collect_list(F.struct("start", "phrase", "items")).alias("found"))
+    rows = texts.join(here, "key").select("doc_id", "found", words(F.col("text")).alias("ws"))
+
+    def stands(c: Column) -> Column:
+        def term(word: Column, i: Column) -> Column:
+            place = c["start"] + i
+            first, last = F.greatest(place - slop, F.lit(0)), F.greatest(place + slop, F.lit(-1))
+            return F.array_contains(F.slice(F.col("ws"), first + 1, F.greatest(last - first + 1, F.lit(0))), word)
+
+        return F.forall(F.transform(F.split(c["phrase"], " "), term), lambda x: x)
+
+    same = F.explode(F.filter("found", stands)).alias("c")
+    return rows.select("doc_id", same).select("doc_id", F.explode("c.items").alias("item_id"), "c.start").distinct()
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:

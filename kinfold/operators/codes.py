@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from .ranking import ranked
 
 
 def tokens(text: Column) -> Column:
@@ -33,6 +34,9 @@ def propose(families: DataFrame) -> DataFrame:
     picked = known.groupBy("family_no").agg(F.min_by("word", F.struct(F.col("n_families") < C.CODE_MIN_FAMILIES, F.col("pos"))).alias("word"))
     named = families.select("family_no", "golden").join(picked, "family_no", "left")
     named = named.withColumn("category", F.coalesce(slug(F.col("word")), F.lit(C.CODE_FALLBACK)))
-    place = F.row_number().over(Window.partitionBy("category").orderBy(F.upper("golden"), "family_no"))
+    # A class may hold most families: places in the order of all classes, less those of the classes before.
+    every = ranked(named, [F.col("category"), F.upper("golden"), F.col("family_no")], "at")
+    every = every.join(every.groupBy("category").agg(F.min("at").alias("first")), "category")
+    place = F.col("at") - F.col("first") + 1
     digits = F.when(place < 10000, F.lpad(place.cast("string"), 4, "0")).otherwise(place.cast("string"))
-    return named.select("family_no", "category", F.concat_ws("-", F.lit(C.CODE_PREFIX), "category", digits).alias("proposed_code"))
+    return every.select("family_no", "category", F.concat_ws("-", F.lit(C.CODE_PREFIX), "category", digits).alias("proposed_code"))

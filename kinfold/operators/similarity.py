@@ -2,35 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import settle
+from .ranking import ranked
+
+#: Vectors of a block of the dense self-join; texts given to an encoder at once.
+BLOCK, ENCODE_BATCH = 2048, 256
+
 
-#: Vectors of a block of the dense self-join.
-BLOCK = 2048
+def encoded(texts: DataFrame, encode: Callable[[list[str]], np.ndarray], batch: int = ENCODE_BATCH) -> DataFrame:
+    """id and the unit vector of each text (id, text), from an encoder the caller gives; a zero vector stays zero."""
+
+    def run(frames):
+        for frame in frames:
+            for i in range(0, len(frame), batch):
+                some = frame.iloc[i : i + batch]
+                vectors = np.asarray(encode(some["text"].tolist()), float)
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                yield pd.DataFrame({"id": some["id"], "vec": list(vectors / np.where(norms > 0, norms, 1.0))})
+
+    return texts.select("id", "text").mapInPandas(run, "id long, vec array<double>")
 
 
 def dense_edges(vectors: DataFrame, threshold: float) -> DataFrame:
     """Pairs i, j with cosine >= threshold of unit vectors (id, vec), each with itself and in both orders.
 
-    Rows are dealt to blocks; each pair of blocks meets in one task as two
-    matrices, so memory is bounded and the product is a matrix product.
+    Rows are dealt to blocks; each pair of blocks, in one order, meets in one
+    task as two matrices, so memory is bounded, a vector is sent to each block
+    once, and the product is a matrix product.
     """
     n_blocks = max(1, -(-vectors.count() // BLOCK))
     dealt = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = dealt.select(F.col("b").alias("bi"), others.alias("bj"), F.col("id").alias("i"), F.col("vec").alias("vi"))
-    right = dealt.select(others.alias("ci"), F.col("b").alias("cj"), F.col("id").alias("j"), F.col("vec").alias("vj"))
+    left = dealt.select(F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("bj"), F.col("id").alias("i"), F.col("vec").alias("vi"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("ci"), F.col("b").alias("cj"), F.col("id").alias("j"), F.col("vec").alias("vj"))
 
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "cos": pd.Series(dtype="float64")})
+            return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "cos": np.empty(0)})
         dots = np.stack(a["vi"]) @ np.stack(b["vj"]).T
         x, y = np.nonzero(dots >= threshold)
-        return pd.DataFrame({"i": a["i"].to_numpy()[x], "j": b["j"].to_numpy()[y], "cos": dots[x, y]})
+        i, j, cos = a["i"].to_numpy()[x], b["j"].to_numpy()[y], dots[x, y]
+        if key[0] != key[1]:  # the other order
+            i, j, cos = np.r_[i, j], np.r_[j, i], np.r_[cos, cos]
+        return pd.DataFrame({"i": i, "j": j, "cos": cos})
 
     return left.groupBy("bi", "bj").cogroup(right.groupBy("ci", "cj")).applyInPandas(meet, "i long, j long, cos double")
 
@@ -43,13 +63,35 @@ def trigrams(texts: DataFrame) -> DataFrame:
     return counted.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
 
 
+def rare_prefixes(grams: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
+    """id, gram: of each text its rarest grams, until the rest of its vector is too short to reach the cosine alone.
+
+    Two texts of at least that cosine share one of these: the rarest gram they
+    have in common.  What of either text comes after it in the order of rarity
+    has no common gram before it, so it must be long enough.
+    """
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tails = grams.join(often, "gram").withColumn("tail", F.sum(F.col("n") * F.col("n")).over(rest))
+    return tails.filter(F.lit(denominator**2) * F.col("tail") >= F.lit(numerator**2) * F.col("norm2")).select("id", "gram")
+
+
 def sparse_edges(grams: DataFrame, numerator: int = 3, denominator: int = 4) -> DataFrame:
-    """Pairs whose trigram cosine is at least numerator / denominator, compared in integers; an equi-join on grams."""
-    a = grams.select(F.col("id").alias("i"), "gram", F.col("n").alias("na"), F.col("norm2").alias("qa"))
-    b = grams.select(F.col("id").alias("j"), "gram", F.col("n").alias("nb"), F.col("norm2").alias("qb"))
-    dots = a.join(b, "gram").groupBy("i", "j").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"), F.first("qa").alias("qa"), F.first("qb").alias("qb"))
+    """Pairs whose trigram cosine is at least numerator / denominator, compared in integers, each with itself and in both orders.
+
+    Only texts that share one of their rarest grams are compared.
+    """
+    few = settle(rare_prefixes(grams, numerator, denominator), "prefixes")
+    pairs = few.select(F.col("id").alias("i"), "gram").join(few.select(F.col("id").alias("j"), "gram"), "gram").filter("i < j").select("i", "j").distinct()
+    whole = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("g"), F.first("norm2").alias("q"))  # a text's own grams
+    both = pairs.join(whole.select(F.col("id").alias("i"), F.col("g").alias("ga"), F.col("q").alias("qa")), "i").join(whole.select(F.col("id").alias("j"), F.col("g").alias("gb"), F.col("q").alias("qb")), "j")
+    common = F.map_zip_with("ga", "gb", lambda k, a, b: F.coalesce(a * b, F.lit(0).cast("long")))
+    dots = both.select("i", "j", "qa", "qb", F.aggregate(F.map_values(common), F.lit(0).cast("long"), lambda acc, x: acc + x).alias("dot"))
     near = F.lit(denominator**2) * F.col("dot") * F.col("dot") >= F.lit(numerator**2) * F.col("qa") * F.col("qb")
-    return dots.filter(near).select("i", "j", (F.col("dot") / F.sqrt((F.col("qa") * F.col("qb")).cast("double"))).alias("cos"))
+    found = dots.filter(near).select("i", "j", (F.col("dot") / F.sqrt((F.col("qa") * F.col("qb")).cast("double"))).alias("cos"))
+    orders = F.explode(F.array(F.struct("i", "j", "cos"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "cos")))
+    selves = grams.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("cos")).distinct()
+    return found.select(orders.alias("e")).select("e.*").unionByName(selves)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -65,7 +107,7 @@ def communities(edges: DataFrame) -> DataFrame:
 def numbered(members: DataFrame) -> DataFrame:
     """seed, deg, size, family_no: families by size, then the order of their seeds."""
     sized = members.groupBy("seed", "deg").agg(F.count(F.lit(1)).alias("size"))
-    return sized.withColumn("family_no", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("deg"), "seed")))
+    return ranked(sized, [F.desc("size"), F.desc("deg"), F.col("seed")], "family_no")
 
 
 def communities_mis(edges: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Fixed values of the engine, stated once."""
 
+# Thresholds and bands.
 SIMILARITY_THRESHOLD, HIGH_CONFIDENCE, MEDIUM_CONFIDENCE = 0.75, 0.90, 0.75
 STATUS_BANDS = (("resolved", 0.95), ("accepted", 0.82), ("review", 0.75))
 FALLBACK_STATUS = "conflict"
@@ -44,7 +45,9 @@ UOM_TABLE = (
     ("time", "MONTH", "MON MONTH MONTHS MTH"),
     ("service", "JOB", "JOB JOBS LOT LS LUMPSUM LUMPSUMP AU ACT"),
 )
+# Cells that mean no unit of measure.
 UOM_BLANKS = ("", "-", "--", "NA", "NIL", "NONE", "NULL", "UNKNOWN", "?", "VALUE", "REF", "DIV0", "0", "XX", "TBD", "BLANK")
+# When a unit's prices, a spread or a seam are worth a look.
 MIN_ROWS_FOR_UNIT_OUTLIER, UNIT_OUTLIER_RATIO, SUSPECT_SPREAD_RATIO = 5, 1.25, 20.0
 # Words of a description that never name a class.
 CODE_STOPWORDS = (
@@ -67,7 +70,14 @@ BINARY_SIGNATURES = (
     ("52617221", "a RAR archive"), ("7F454C46", "a binary executable"), ("424D", "a bitmap image"),
 )
 VERBS, MAX_NAME, REVERSIBLE_ROWS, KEEP_RUNS = ("approve", "split", "merge"), 64, 20_000, 40
+# Limits of drawings, previews and pages.
 GRAPH_FAMILIES, GRAPH_BUDGET = 900, 6000
+PREVIEW_SPELLINGS, PAGE_SPELLINGS, MANY_SPELLINGS, SHOWN_CODES, SAMPLE_LENGTH = 12, 12, 6, 3, 160
+FAN_IN_MEMBERS, UNIT_RAIL, SHOWN_CLASSES, UNRECOGNISED_UNITS, EXAMPLES, EXAMPLE_SAMPLES, EXAMPLE_LENGTH = 4, 40, 12, 12, 6, 4, 110
+NEAR_MISS_LOW, NEAR_MISS_HIGH, NEAR_MISSES = 0.55, 0.75, 36
+MAX_QUESTION, MIN_QUESTION, MAX_ASKER, MAX_ADDRESS = 1000, 5, 80, 160
+# Seconds between calls of a model, tries, the longest wait, and answers that are worth another try.
+CALL_SECONDS, CALL_TRIES, LONGEST_WAIT, RETRY_CODES = 3.2, 4, 30.0, (429, 500, 502, 503)
 MAX_HEADER_SCAN, MIN_TABLE_COLUMNS = 20, 2
 # Column names that are a role's own.
 ROLE_NAMES = {

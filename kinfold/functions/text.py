@@ -51,10 +51,15 @@ def trace(text: Column) -> Column:
     return F.filter(F.array(*cells), lambda s: s["before"] != s["after"])
 
 
+def uom_cleaned(raw: Column) -> Column:
+    """A unit of measure as written, upper-cased, without separators, quotes, brackets and marks at its ends."""
+    text = F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(raw.cast("string"), F.lit("")), _EDGES, "")), r"(?U)[\s._\-/\\]+", "")
+    return F.regexp_replace(F.regexp_replace(text, r"['()]", ""), r"^[#!]+|[#!]+$", "")
+
+
 def uom(raw: Column) -> Column:
     """A unit of measure as struct (canonical, dimension); what isn't known stays as it is, dimension unknown."""
-    text = F.regexp_replace(F.upper(F.regexp_replace(F.coalesce(raw.cast("string"), F.lit("")), _EDGES, "")), r"(?U)[\s._\-/\\]+", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"['()]", ""), r"^[#!]+|[#!]+$", "")
+    text = uom_cleaned(raw)
     table = F.create_map(*[F.lit(x) for dim, unit, names in C.UOM_TABLE for name in dict.fromkeys([*names.split(), unit]) for x in (name, f"{unit}|{dim}")])
     find = lambda key: F.try_element_at(table, key)
     singular = lambda key: F.when(key.endswith("S"), F.left(key, F.char_length(key) - 1))
@@ -65,6 +70,23 @@ def uom(raw: Column) -> Column:
     return F.struct(F.substring_index(hit, "|", 1).alias("canonical"), F.substring_index(hit, "|", -1).alias("dimension"))
 
 
+def dimension_of(canonical: Column) -> Column:
+    """The dimension of a canonical unit; unknown for any other."""
+    known = {unit: dim for dim, unit, _ in C.UOM_TABLE}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.upper(canonical)), F.lit(C.UNKNOWN))
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """Whether prices in two canonical units stand beside each other: only in the same unit, as nothing is converted."""
+    return F.upper(a) == F.upper(b)
+
+
+def stripped(text: Column) -> Column:
+    """White space runs as one space, control characters as spaces, none at the ends."""
+    one = F.regexp_replace(F.coalesce(text, F.lit("")), _SPACE, " ")
+    return F.regexp_replace(F.regexp_replace(one, r"[\x00-\x1f\x7f]", " "), _EDGES, "")
+
+
 def confidence(score: Column) -> Column:
     return F.when(score >= C.HIGH_CONFIDENCE, "HIGH").when(score >= C.MEDIUM_CONFIDENCE, "MEDIUM").otherwise("LOW")
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -42,6 +43,57 @@ def merge_candidates(records: DataFrame, limit: int = C.ASKED_FAMILIES) -> DataF
     return written_ways(records).filter(F.size("ways") > 1).orderBy(F.desc("members"), "family_no").limit(limit)
 
 
+def fingerprint(golden: Column, ways: Column) -> Column:
+    """The key of a family's answer: the same text and ways, in any order, give the same key."""
+    quoted = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    inside = F.array_join(F.transform(F.sort_array(ways), quoted), ", ")
+    return F.left(F.sha1(F.concat(F.lit("["), quoted(golden), F.lit(", ["), inside, F.lit("]]")).cast("binary")), F.lit(16))
+
+
+def overlay(families: DataFrame, flags: DataFrame | None = None, standards: DataFrame | None = None) -> DataFrame:
+    """Families with what the answers say of them: ``flags`` (an array, empty without any) and ``standard`` (null without one)."""
+    none = F.array().cast("array<struct<kind:string,note:string,confidence:double,other_no:long>>")
+    out = families.withColumns({"flags": none, "standard": F.lit(None).cast("string")})
+    if flags is not None:
+        said = flags.filter("error IS NULL").groupBy("family_no").agg(F.sort_array(F.collect_list(F.struct("kind", "note", "confidence", "other_no"))).alias("f"))  # a few for each family asked about
+        out = out.join(said, "family_no", "left").withColumn("flags", F.coalesce("f", none)).drop("f")
+    if standards is not None:
+        own = standards.filter("error IS NULL").groupBy("family_no").agg(F.max_by("described", "confidence").alias("s"))
+        out = out.join(own, "family_no", "left").withColumn("standard", F.col("s")).drop("s")
+    return out
+
+
+class Paced:
+    """A transport that waits between calls and tries again: after the time an error names, else ever longer.
+
+    Each worker paces its own calls, so with n tasks at once the rate is n
+    times as high: ask with few partitions where a key has one budget.  An
+    error that carries a ``code`` outside RETRY_CODES is passed on at once.
+    """
+
+    def __init__(self, transport: Transport, seconds: float = C.CALL_SECONDS, tries: int = C.CALL_TRIES, longest: float = C.LONGEST_WAIT):
+        self.transport, self.seconds, self.tries, self.longest, self.last = transport, seconds, tries, longest, None
+
+    def _wait(self) -> None:
+        if self.last is not None and (left := self.seconds - (time.monotonic() - self.last)) > 0:
+            time.sleep(left)
+        self.last = time.monotonic()
+
+    def _pause(self, problem: Exception, turn: int) -> float:
+        named = re.search(r"retry in ([0-9]+(?:\.[0-9]+)?)\s*s", str(problem), re.I)
+        return min(float(named.group(1)) + 0.4 if named else 1.5 * 2**turn, self.longest)
+
+    def __call__(self, prompt: str) -> str:
+        for turn in range(self.tries):
+            self._wait()
+            try:
+                return self.transport(prompt)
+            except Exception as problem:
+                if turn + 1 == self.tries or getattr(problem, "code", C.RETRY_CODES[0]) not in C.RETRY_CODES:
+                    raise
+                time.sleep(self._pause(problem, turn))
+
+
 def parse(text: str) -> list[dict]:
     """The objects of an answer, whether it is an array, an object that holds one, objects by id, or one object; fences are dropped."""
     answer = json.loads(re.sub(r"^\s*```\w*\s*|\s*```\s*$", "", text))
@@ -56,10 +108,14 @@ def parse(text: str) -> list[dict]:
     return [x for x in answer if isinstance(x, dict)] if isinstance(answer, list) else []
 
 
-def matched(ids: list[str], rows: list[dict], by_place: bool = False) -> list[dict | None]:
-    """Each id's object: the same id, whatever its case; by place only if no id is known and there are as many, two at least."""
-    known = {str(r.get("id", "")).strip().upper(): r for r in rows}
-    found = [known.get(i.upper()) for i in ids]
+def matched(ids: list[str], rows: list[dict], by_place: bool = False, codes: list[str] | None = None) -> list[dict | None]:
+    """Each id's object: under its id or its code, whatever the case; by place only if none is known and there are as many, two at least."""
+    known = {}
+    for row in rows:
+        for name in ("id", "family_id", "code"):
+            known.setdefault(str(row.get(name, "")).strip().upper(), row)
+    known.pop("", None)
+    found = [known.get(i.upper()) or known.get(c.upper()) for i, c in zip(ids, codes or ids)]
     if by_place and not any(found) and len(rows) == len(ids) >= 2:
         return list(rows)
     return found
@@ -72,9 +128,9 @@ def _confidence(row: dict) -> float:
         return 0.0
 
 
-def _ask(transport: Transport, prompt: str, ids: list[str], by_place: bool = False) -> tuple[list[dict | None], str | None]:
+def _ask(transport: Transport, prompt: str, ids: list[str], by_place: bool = False, codes: list[str] | None = None) -> tuple[list[dict | None], str | None]:
     try:
-        return matched(ids, parse(transport(prompt)), by_place), None
+        return matched(ids, parse(transport(prompt)), by_place, codes), None
     except Exception as problem:  # an answer that doesn't come, or isn't JSON, is reported in the rows
         return [None] * len(ids), f"{type(problem).__name__}: {problem}"[:200]
 
@@ -92,7 +148,8 @@ def standardise(families: DataFrame, transport: Transport) -> DataFrame:
         for batch in _batches(frames, C.STANDARDS_PER_CALL):
             ids, out = [f"FAM_{n:05d}" for n in batch["family_no"]], []
             entries = [f"id: {i}\ncanonical: {g}\nwritten as: {' | '.join(w[:6])}" for i, g, w in zip(ids, batch["golden"], batch["ways"])]
-            rows, error = _ask(transport, ASK_STANDARD + "\n\n".join(entries), ids, by_place=True)
+            codes = [f"{C.CODE_PREFIX}-{n:07d}" for n in batch["family_no"]]
+            rows, error = _ask(transport, ASK_STANDARD + "\n\n".join(entries), ids, by_place=True, codes=codes)
             for number, row in zip(batch["family_no"], rows):
                 cells = [str((row or {}).get(f) or "").strip() for f in C.STANDARD_FIELDS]
                 cells = [None if c == "" or c.lower() in C.NULL_WORDS else c.upper()[:80] for c in cells]

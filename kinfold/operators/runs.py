@@ -1,9 +1,10 @@
 """Runs and the decisions people take on them: approve, split, merge, undo.
 
-A run is a folder of Parquet: the records as unified, written once, and small
-tables that decisions append to.  A decision writes one line to the log and,
-for a split or a merge, the rows it moves with their new family, golden text
-and score.  The records as they stand are the first records with each row's
+A run is a folder: the records as unified, written once as Parquet, and what
+decisions append.  A decision is one JSON file, ``events/<number>``, made only
+if there is none of that number, so of two people who decide at once one is
+told to look again; for a split or a merge there are also the rows it moves,
+with their new family, golden text and score.  The records as they stand are the first records with each row's
 last live move laid over them, so a decision costs what it touches and not the
 run, and an undone decision is one whose moves no longer count: what stood
 before comes back exactly.  Decisions are taken by people, so the log is small
@@ -19,7 +20,9 @@ import json
 import time
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,35 +81,58 @@ class Run:
 
     @classmethod
     def save(cls, records: DataFrame, root: str, name: str | None = None, stats: dict | None = None) -> Run:
-        """Write a run's records under ``root``; the manifest comes last, so a half-written run is none."""
-        spark = records.sparkSession
-        run = cls(spark, f"{root.rstrip('/')}/{name or uuid.uuid4().hex}")
+        """Write a run's records under ``root``, aside first, then under its name, which must be new."""
+        spark, name = records.sparkSession, name or uuid.uuid4().hex
+        run, aside = cls(spark, f"{root.rstrip('/')}/{name}"), cls(spark, f"{root.rstrip('/')}/.{name}-{uuid.uuid4().hex}")
         full = records if "code" in records.columns else records.withColumn("code", F.lit(""))
-        full.select(*RECORD).write.mode("overwrite").parquet(f"{run.path}/records")
+        full.select(*RECORD).write.parquet(f"{aside.path}/records")
         manifest = {"format": FORMAT, "created": time.time(), "stats": stats or {}}
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{run.path}/manifest")
+        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{aside.path}/manifest")
+        files, source = aside._folder("")
+        if files.exists(run._folder("")[1]) or not files.rename(source, run._folder("")[1]):
+            files.delete(source, True)
+            raise ReviewError(f"there is a run {name} already")
         return run
 
+    def _folder(self, name: str):
+        """The Hadoop file system and path of a file of the run."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _put(self, name: str, row: dict) -> bool:
+        """Write one JSON file unless there is one of that name."""
+        files, path = self._folder(name)
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as problem:
+            if files.exists(path):
+                return False
+            raise problem
+        out.write(bytearray(json.dumps(row).encode()))
+        out.close()
+        return True
+
     def _table(self, name: str, schema: str) -> DataFrame:
-        """An appended table; empty before the first append."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        """What was appended; empty before the first time."""
+        files, folder = self._folder(name)
+        if not files.exists(folder):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        read = self.spark.read.schema(schema)
+        return read.parquet(f"{self.path}/{name}") if name == "moves" else read.json(f"{self.path}/{name}")
 
     # -- what stands
 
     def log(self) -> DataFrame:
         """Every decision ever taken, with what became of it."""
         undone = self._table("undone", UNDONE).select("seq", F.col("at").alias("undone_at"), F.col("by").alias("undone_by"))
-        return self._table("events", EVENT).join(F.broadcast(undone), "seq", "left").withColumn("undone", F.col("undone_at").isNotNull())  # decisions of people
+        return self._table("events", EVENT).join(undone, "seq", "left").withColumn("undone", F.col("undone_at").isNotNull())
 
     def live(self) -> DataFrame:
         return self.log().filter("NOT undone")
 
     def records(self) -> DataFrame:
         first = self.spark.read.parquet(f"{self.path}/records")
-        moves = self._table("moves", MOVE).join(F.broadcast(self.live().select("seq", "moves")), "moves")  # decisions of people
+        moves = self._table("moves", MOVE).join(self.live().select("seq", "moves"), "moves")
         last = moves.groupBy("row_id").agg(F.max_by(F.struct("family_no", "golden", "score"), "seq").alias("m"))
         columns = [F.coalesce(F.col(f"m.{c}"), F.col(c)).alias(c) if c in ("family_no", "golden", "score") else F.col(c) for c in RECORD]
         return first.join(last, "row_id", "left").select(*columns)
@@ -114,7 +140,7 @@ class Run:
     def families(self) -> DataFrame:
         """family_no, golden, members, units, mean, lowest, status, approved, split_from of the families that stand."""
         core = self.records().groupBy("family_no", "golden").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("cpse").alias("units"), F.avg("score").alias("mean"), F.min("score").alias("lowest"))
-        marks = F.broadcast(self._marks())
+        marks = self._marks()
         plain = T.status(F.col("mean"))
         capped = F.when(F.coalesce("touched", F.lit(False)) & plain.isin("resolved", "accepted"), "review").otherwise(plain)
         return core.join(marks, "family_no", "left").withColumns({"status": capped, "approved": F.coalesce("approved", F.lit(False))}).drop("touched")
@@ -145,7 +171,15 @@ class Run:
         """One row: decisions logged, live, undone, of each verb, and records touched."""
         standing = ~F.col("undone")
         counts = [F.count_if(standing & (F.col("verb") == v)).alias(v) for v in C.VERBS]
-        return self.log().agg(F.count(F.lit(1)).alias("logged"), F.count_if(standing).alias("live"), F.count_if(F.col("undone")).alias("undone"), *counts, F.coalesce(F.sum(F.when(standing, F.col("affected"))), F.lit(0)).alias("records_touched"))
+        last = F.max_by(F.struct("seq", "summary"), F.when(standing, F.col("seq")))
+        undoable = F.when(F.max_by("reversible", F.when(standing, F.col("seq"))), last)
+        times = [F.min("at").alias("first_at"), F.max("at").alias("last_at"), undoable["seq"].alias("undoable_seq"), undoable["summary"].alias("undoable_summary")]
+        return self.log().agg(*times, F.count(F.lit(1)).alias("logged"), F.count_if(standing).alias("live"), F.count_if(F.col("undone")).alias("undone"), *counts, F.coalesce(F.sum(F.when(standing, F.col("affected"))), F.lit(0)).alias("records_touched"))
+
+    def reviewers(self) -> DataFrame:
+        """by, decisions: standing decisions of each person, most first."""
+        who = F.when(F.coalesce("by", F.lit("")) == "", C.UNATTRIBUTED).otherwise(F.col("by"))
+        return self.live().groupBy(who.alias("by")).agg(F.count(F.lit(1)).alias("decisions")).orderBy(F.desc("decisions"), "by")
 
     # -- decisions
 
@@ -156,15 +190,13 @@ class Run:
         return found
 
     def _record(self, verb: str, number: int, related: int | None, affected: int, summary: str, by: str, moves: str | None = None) -> int:
-        seq = self._next()
+        seq = self._table("events", EVENT).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
         reversible = verb == "approve" or affected <= C.REVERSIBLE_ROWS
-        event = self.spark.createDataFrame([(seq, None, clean_name(by), verb, number, related, affected, summary, reversible, moves)], EVENT).withColumn("at", F.current_timestamp())
-        event.coalesce(1).write.mode("append").parquet(f"{self.path}/events")
+        event = {"seq": seq, "at": _now(), "by": clean_name(by), "verb": verb, "family_no": number, "related_no": related, "affected": affected, "summary": summary, "reversible": reversible, "moves": moves}
+        if not self._put(f"events/{seq:010d}.json", event):
+            raise ReviewError("someone else decided at the same time; look again and repeat")
         return seq
 
-    def _next(self) -> int:
-        return self._table("events", EVENT).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-
     def approve(self, number: int, by: str = "") -> int:
         """Accept a family as it is."""
         family = self._one(number)
@@ -172,6 +204,21 @@ class Run:
             raise ReviewError(f"family {number} is approved already")
         return self._record("approve", number, None, family["members"], f"family {number} approved", by)
 
+    def approve_plan(self, number: int) -> dict:
+        """What approving a family would sign off: its figures, its first spellings and what speaks against it."""
+        family = self._one(number)
+        if family["approved"]:
+            raise ReviewError(f"family {number} is approved already")
+        ways = spellings(self.records().filter(F.col("family_no") == number))
+        shown = ways.orderBy(F.desc("n_records"), "lowest", "first_row").limit(C.PREVIEW_SPELLINGS)
+        rows, found = [r.asDict() for r in shown.collect()], ways.count()
+        doubts = []
+        if family["mean"] < C.ACCEPT_FLOOR:
+            doubts.append(f"its score of {family['mean']:.2f} is below the floor of {C.ACCEPT_FLOOR:.2f}")
+        if len(rows) > C.MANY_SPELLINGS:
+            doubts.append(f"{len(rows)} spellings or more stand for it")
+        return {"family_no": number, "golden": family["golden"], "records": family["members"], "units": family["units"], "score": family["mean"], "status": family["status"], "spellings": rows, "more": found - len(rows), "concerns": doubts}
+
     def split_plan(self, number: int) -> Row:
         """The seam of a family: p, q (ten-thousandths), below, members, weak."""
         family = self._one(number)
@@ -227,11 +274,15 @@ class Run:
             raise ReviewError("nothing to undo")
         if not last["reversible"]:
             raise ReviewError(f"decision {last['seq']} is too large to undo")
-        mark = self.spark.createDataFrame([(last["seq"], None, clean_name(by))], UNDONE).withColumn("at", F.current_timestamp())
-        mark.coalesce(1).write.mode("append").parquet(f"{self.path}/undone")
+        if not self._put(f"undone/{last['seq']:010d}.json", {"seq": last["seq"], "at": _now(), "by": clean_name(by)}):
+            raise ReviewError("someone else has taken it back")
         return last["seq"]
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="microseconds")
+
+
 def seams(records: DataFrame) -> DataFrame:
     """The widest gap between neighbouring scores of each family, ties to the lower; scores in ten-thousandths."""
     points = records.groupBy("family_no", F.round(F.col("score") * 10000).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -241,6 +292,28 @@ def seams(records: DataFrame) -> DataFrame:
     return cuts.filter("q IS NOT NULL").groupBy("family_no").agg(best.alias("s")).select("family_no", "s.*")
 
 
+def spellings(records: DataFrame) -> DataFrame:
+    """One row for each way a family is written: spelling, n_records, lowest score, units and codes in the order they are met, a sample, is_golden.
+
+    Codes are the first three that aren't empty, repeated ones too.  Rows are
+    counted by spelling, unit and code first, so that a spelling of any number
+    of rows reaches no task whole; of each code only its first three rows stay.
+    """
+    key = T.squeezed(F.col("description"))
+    code = F.coalesce("code", F.lit("")) if "code" in records.columns else F.lit("")
+    rows = records.select("family_no", key.alias("spelling"), F.coalesce("cpse", F.lit("")).alias("cpse"), code.alias("code"), "row_id", "score", F.left("description", F.lit(C.SAMPLE_LENGTH)).alias("sample"), (F.col("text") == F.col("golden")).alias("is_golden"))
+    by = ["family_no", "spelling"]
+    one = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"), F.min("score").alias("lowest"), F.min("row_id").alias("first_row"), F.min_by(F.struct("sample", "is_golden"), "row_id").alias("f"))
+    units = rows.filter("cpse <> ''").groupBy(*by, "cpse").agg(F.min("row_id").alias("at"))
+    units = units.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cpse"))), lambda u: u["cpse"]).alias("units"))  # a unit each
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("row_id"))  # Spark keeps three rows a group before the shuffle
+    coded = rows.filter("code <> ''").withColumn("k", first).filter(F.col("k") <= C.SHOWN_CODES)
+    coded = coded.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "code"))), lambda c: c["code"]).alias("codes"))
+    none = F.array().cast("array<string>")
+    whole = one.join(units, by, "left").join(coded, by, "left")
+    return whole.select(*by, "n_records", "lowest", "first_row", F.coalesce("units", none).alias("units"), F.coalesce("codes", none).alias("codes"), "f.sample", "f.is_golden")
+
+
 def weak(lower: Column, upper: Column) -> Column:
     """Whether a seam is narrow and all below it match well; scores in ten-thousandths."""
     return (upper - lower < round(C.SPLIT_WEAK_GAP * 10000)) & (lower >= round(C.ACCEPT_FLOOR * 10000))
@@ -252,6 +325,15 @@ def saved_runs(spark: SparkSession, root: str) -> DataFrame:
     return lines.filter(F.col("m.format") == FORMAT).select("run", F.col("m.created").cast("timestamp").alias("created")).orderBy(F.desc("created"), "run")
 
 
+def usage(spark: SparkSession, root: str, keep: int = C.KEEP_RUNS) -> dict:
+    """Runs and bytes under a folder; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {"enabled": False, "runs": 0, "bytes": 0, "path": root, "keep": keep}
+    return {"enabled": True, "runs": sum(not s.getPath().getName().startswith(".") for s in files.listStatus(folder)), "bytes": files.getContentSummary(folder).getLength(), "path": root, "keep": keep}
+
+
 def forget(spark: SparkSession, root: str, keep: int = C.KEEP_RUNS) -> list[str]:
     """Delete all but the newest ``keep`` runs; the names of those that went."""
     old = [r["run"] for r in saved_runs(spark, root).offset(keep).collect()]  # one row for each saved run

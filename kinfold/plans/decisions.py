@@ -11,7 +11,7 @@ from ..operators import similarity as S
 from ..sources import roles, sinks
 from ..stage import new_path
 from ..streaming import assign
-from .oracle import _FAM, _STATUS
+from .oracle import _E, _FAM, _STATUS
 from .queries import dense_edges, families, materials, read
 
 CAP = 8
@@ -70,7 +70,8 @@ def decision_log(spark, d):
 
 
 def decision_summary(spark, d):
-    return reviewed_run(spark, d).summary()
+    """Counts of decisions; times and texts left out."""
+    return reviewed_run(spark, d).summary().drop("first_at", "last_at", "undoable_summary")
 
 
 def review_states(spark, d):
@@ -108,6 +109,12 @@ def infer_roles(spark, d):
     return spark.createDataFrame([(role, c.column, c.how) for role, c in chosen.items()], "role string, chosen string, how string")
 
 
+def column_profiles(spark, d):
+    """What the columns of part hold, as the inference of roles sees them; distinct values, a sketch, are left out."""
+    rows = [(c, p.n, *(round(x, 4) for x in (p.mean_len, p.numeric, p.spaces, p.uom, p.positive, p.fractional))) for c, p in roles.profiles(read(spark, d, "part")).items()]
+    return spark.createDataFrame(rows, "column_name string, n long, mean_len double, numeric double, spaces double, uom double, positive double, fractional double")
+
+
 def assign_new(spark, d):
     """The nearest family of every distinct material type, as a batch of the stream would get it."""
     _, clusters = families(spark, d)
@@ -143,7 +150,7 @@ def merge_candidates(spark, d):
     return enrich.merge_candidates(records).select("family_no", "golden", "members", F.array_join("ways", "|").alias("ways"))
 
 
-QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, assign_new, unit_rail, family_detail, export_mapping, export_audited, merge_candidates)}
+QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, column_profiles, assign_new, unit_rail, family_detail, export_mapping, export_audited, merge_candidates)}
 
 _SEAM = f"""{_FAM}, pt AS (SELECT family_no, round(score * 10000)::INT p, count(*) n FROM r GROUP BY 1, 2),
 cu AS (SELECT family_no, p, lead(p) OVER w q, sum(n) OVER w below FROM pt WINDOW w AS (PARTITION BY family_no ORDER BY p)),
@@ -156,6 +163,9 @@ _LOG = f"""{_SEAM}, sz AS (SELECT family_no, members FROM c), mm AS (SELECT (SEL
 lg AS (SELECT 1::BIGINT seq, 'Ann' AS "by", 'approve' verb, 3::BIGINT family_no, NULL::BIGINT related_no, (SELECT members FROM sz WHERE family_no = 3) affected, false undone, '' undone_by
   UNION ALL SELECT 2, 'Bo B', 'split', (SELECT fno FROM fs), (SELECT max(family_no) + 1 FROM f), (SELECT below FROM fs), false, ''
   UNION ALL SELECT 3, 'Ann', 'merge', CASE WHEN m2 > m3 THEN 2 ELSE 3 END, CASE WHEN m2 > m3 THEN 3 ELSE 2 END, least(m2, m3), true, 'Cy' FROM mm)"""
+_CELLS = ", ".join(f"'{u}'" for u in C.UOM_CELLS)
+_PROFILE = f"""SELECT '{{c}}' column_name, count(t) n, round(avg(length(t)), 4) mean_len, round(count(x) / count(t), 4) numeric, round(count(*) FILTER (contains(t, ' ')) / count(t), 4) spaces, round(count(*) FILTER (upper(t) IN ({_CELLS})) / count(t), 4) uom,
+  round(coalesce(count(*) FILTER (x > 0) / nullif(count(x), 0), 0), 4) positive, round(coalesce(count(*) FILTER (x % 1 <> 0) / nullif(count(x), 0), 0), 4) fractional FROM (SELECT t, try_cast(replace(t, ',', '') AS DOUBLE) x FROM (SELECT nullif(trim({{c}}::VARCHAR), '') t FROM part))"""
 
 ORACLE = {
     "split_applied": f"""WITH {_SEAM}, lv AS (SELECT r.*, t.id tid FROM r JOIN t USING (text) JOIN fs ON r.family_no = fs.fno WHERE round(score * 10000) <= cut),
@@ -170,7 +180,7 @@ ORACLE = {
       {_STANDING.format(status=_CAP.format(t="family_no = (SELECT k FROM k)"), approved="false", origin="NULL::BIGINT", of="cur")}""",
     "undo_restores": f"WITH {_FAM} {_STANDING.format(status=_CAP.format(t='false'), approved='false', origin='NULL::BIGINT', of='r')}",
     "decision_log": f'WITH {_LOG} SELECT seq, "by", verb, family_no, related_no, affected, verb = \'approve\' OR affected <= 20000 reversible, undone, undone_by FROM lg',
-    "decision_summary": f"WITH {_LOG} SELECT 3::BIGINT logged, 2::BIGINT live, 1::BIGINT undone, 1::BIGINT approve, 1::BIGINT split, 0::BIGINT AS merge, sum(affected)::BIGINT records_touched FROM lg WHERE NOT undone",
+    "decision_summary": f"WITH {_LOG} SELECT 3::BIGINT logged, 2::BIGINT live, 1::BIGINT undone, 1::BIGINT approve, 1::BIGINT split, 0::BIGINT AS merge, sum(affected)::BIGINT records_touched, CASE WHEN arg_max(affected, seq) <= 20000 THEN max(seq) END undoable_seq FROM lg WHERE NOT undone",
     "review_states": f"""WITH {_LOG}, nm AS (SELECT seq, family_no, verb, "by", NULL::BIGINT origin FROM lg WHERE NOT undone UNION ALL SELECT seq, related_no, verb, "by", family_no FROM lg WHERE NOT undone AND verb = 'split')
       SELECT family_no, arg_max(CASE verb WHEN 'approve' THEN 'confirmed' ELSE 'split' END, seq) state, arg_max("by", seq) AS "by", NULL::BIGINT merged_from, max(origin) split_from FROM nm GROUP BY family_no""",
     "pending": f"WITH {_FAM}, pd AS (SELECT family_no, members, {_STATUS} AS status FROM c) SELECT family_no, members, status FROM pd WHERE status IN ('review', 'conflict') AND family_no <> (SELECT min(family_no) FROM pd WHERE status IN ('review', 'conflict'))",
@@ -178,6 +188,11 @@ ORACLE = {
     "graph_legacy": f"""WITH {_FAM}, ms AS (SELECT family_no FROM c ORDER BY members DESC, family_no LIMIT {C.GRAPH_FAMILIES}), sp AS (SELECT family_no, upper(description) spelling, count(*) n, arg_min(score, row_id) score, arg_min(cpse, row_id) cpse, min(row_id) fr FROM r WHERE family_no IN (SELECT family_no FROM ms) GROUP BY 1, 2),
       rk AS (SELECT *, row_number() OVER (PARTITION BY family_no ORDER BY n, score DESC, fr) s FROM sp), tn AS (SELECT *, unnest(range(1, least(n, {CAP}) + 1)) turn FROM rk),
       pl AS (SELECT *, (row_number() OVER (PARTITION BY family_no ORDER BY turn, s))::INT place FROM tn) SELECT family_no, place, spelling, n, score, cpse FROM pl WHERE place <= {CAP}""",
+    "communities_mis": f"""WITH RECURSIVE {_E.format(t=0.3)}, g AS (SELECT i, count(*) deg, list(j) near FROM e GROUP BY i), o AS (SELECT *, row_number() OVER (ORDER BY deg DESC, i) rk FROM g),
+      mi(k, seeds) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN list_has_any(seeds, near) THEN seeds ELSE list_append(seeds, i) END FROM mi JOIN o ON rk = k + 1),
+      sd AS (SELECT unnest(seeds) i FROM (SELECT seeds FROM mi ORDER BY k DESC LIMIT 1)), s AS (SELECT e.j p, arg_min(e.i, (-g.deg, e.i)) seed FROM e JOIN sd ON e.i = sd.i JOIN g ON g.i = e.i GROUP BY e.j),
+      zz AS (SELECT seed, deg, count(*) size FROM s JOIN g ON g.i = s.seed GROUP BY 1, 2) SELECT row_number() OVER (ORDER BY size DESC, deg DESC, seed) family_no, seed, size FROM zz""",
+    "column_profiles": " UNION ALL ".join(_PROFILE.format(c=c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
     "assign_new": f"""WITH {_FAM}, nw AS (SELECT min(row_id) row_id, upper(label) AS text FROM m GROUP BY label), n0 AS (SELECT text tx, gram, count(*) n FROM (SELECT text, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3))) gram FROM nw) GROUP BY 1, 2),
       n1 AS (SELECT *, sum(n * n) OVER (PARTITION BY tx) qn FROM n0), fg AS (SELECT family_no, q.gram, q.n nf, q.q qf FROM gd JOIN q ON q.id = gd.gid),
       dd AS (SELECT tx, family_no, sum(n * nf) / sqrt((any_value(qn) * any_value(qf))::DOUBLE) cos FROM n1 JOIN fg USING (gram) GROUP BY 1, 2), bb AS (SELECT tx, arg_max(family_no, (cos, -family_no)) family_no, max(cos) cos FROM dd GROUP BY tx)
@@ -185,7 +200,7 @@ ORACLE = {
     "unit_rail": f"WITH {_FAM} SELECT cpse, count(DISTINCT family_no) n_families, count(*) n_records FROM r GROUP BY cpse ORDER BY n_records DESC, cpse LIMIT 40",
     "family_detail": f"WITH {_FAM} SELECT row_id, description, cpse, score, text = golden is_golden FROM r WHERE family_no = 1 ORDER BY score DESC, row_id LIMIT 200",
     "export_mapping": f"""WITH {_FAM} SELECT row_id, 'FAM_' || lpad(family_no::VARCHAR, 5, '0') "Family_ID", 'MTL-' || lpad(family_no::VARCHAR, 7, '0') "Canonical_Code", description "Original_Description", text "Normalized_Description", golden "Golden_Record",
-      score "Semantic_Similarity", CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END "Confidence", cpse "CPSE", '' "Original_Material_Code" FROM r""",
+      score "Semantic_Similarity", CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END "Confidence", cpse "CPSE", code "Original_Material_Code" FROM r""",
     "export_audited": f"""WITH {_SEAM}, lv AS (SELECT r.* FROM r JOIN fs ON r.family_no = fs.fno WHERE round(score * 10000) <= cut), gn AS (SELECT arg_max(text, (length(text), score, -row_id)) ng FROM lv), nn AS (SELECT max(family_no) + 1 nf FROM f),
       cu2 AS (SELECT r.row_id, CASE WHEN lv.row_id IS NULL THEN r.family_no ELSE (SELECT nf FROM nn) END family_no, CASE WHEN lv.row_id IS NULL THEN r.golden ELSE (SELECT ng FROM gn) END golden FROM r LEFT JOIN lv ON lv.row_id = r.row_id)
       SELECT row_id, 'FAM_' || lpad(family_no::VARCHAR, 5, '0') "Family_ID", golden "Golden_Record", CASE WHEN family_no IN ((SELECT fno FROM fs), (SELECT nf FROM nn)) THEN 'split' WHEN family_no = 3 THEN 'confirmed' ELSE 'unreviewed' END "Review_State",

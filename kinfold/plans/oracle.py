@@ -5,7 +5,7 @@ _COMM = """g AS (SELECT i, count(*) deg FROM e GROUP BY i),
 s AS (SELECT e.j p, arg_min(e.i, (-g.deg, e.i)) seed FROM e JOIN g ON e.i = g.i GROUP BY e.j),
 z AS (SELECT s.seed, g.deg, count(*) size FROM s JOIN g ON s.seed = g.i GROUP BY s.seed, g.deg),
 f AS (SELECT row_number() OVER (ORDER BY size DESC, deg DESC, seed) family_no, seed, size FROM z)"""
-_M = """m AS (SELECT p_partkey row_id, p_name || ' ' || p_type description, upper(p_brand) cpse, p_retailprice price, p_type AS label,
+_M = """m AS (SELECT p_partkey row_id, p_name || ' ' || p_type description, upper(p_brand) cpse, CASE WHEN p_partkey % 3 > 0 THEN 'P-' || p_partkey ELSE '' END code, p_retailprice price, p_type AS label,
   ['EACH', 'EACH', 'KG', 'KG', 'M', 'UNSPECIFIED'][p_size % 6 + 1] uom, upper(p_name || ' ' || p_type) AS text FROM part),
 t AS (SELECT text, min(row_id) id FROM m GROUP BY text),
 g0 AS (SELECT id, gram, count(*) n FROM (SELECT id, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3))) gram FROM t) GROUP BY id, gram),

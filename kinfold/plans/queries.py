@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``part`` in the canonical shape: row_id, description, cpse, price, uom, label, text."""
+    """``part`` in the canonical shape: row_id, description, cpse, code (a third have none), price, uom, label, text."""
     part = read(spark, sf_dir, "part")
     description = F.concat_ws(" ", "p_name", "p_type")
     unit = F.element_at(F.array(*[F.lit(u) for u in UOMS]), F.col("p_size") % len(UOMS) + 1)
@@ -27,6 +27,7 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("row_id"),
         description.alias("description"),
         T.clean_unit(F.col("p_brand")).alias("cpse"),
+        F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("P-"), F.col("p_partkey").cast("string"))).otherwise("").alias("code"),
         F.col("p_retailprice").alias("price"),
         T.uom(unit)["canonical"].alias("uom"),
         F.col("p_type").alias("label"),

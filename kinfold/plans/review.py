@@ -21,13 +21,18 @@ def plan_split(spark, d):
     return seams(families(spark, d)[0]).select("family_no", (F.col("p") / 10000).alias("lower"), (F.col("q") / 10000).alias("upper"), "below", (F.col("members") - F.col("below")).alias("keep"), weak(F.col("p"), F.col("q")).alias("weak"))
 
 
-def unit_medians(spark, d):
-    """Owners with five priced rows or more in the basis unit: their median against the family's."""
-    inside = priced_in_basis(families(spark, d)[0])
+def unit_medians_of(records):
+    """Owners with five priced rows or more in the basis unit: n, median, the family's mid, and raw_ratio between them."""
+    inside = priced_in_basis(records)
     whole = inside.groupBy("family_no").agg(F.median("price").alias("mid"))
     per = inside.groupBy("family_no", "cpse").agg(F.count(F.lit(1)).alias("n"), F.median("price").alias("median")).filter(F.col("n") >= C.MIN_ROWS_FOR_UNIT_OUTLIER)
-    ratio = F.col("median") / F.col("mid")
-    return per.join(whole, "family_no").select("family_no", "cpse", "n", F.round("median", 4).alias("median"), F.round(ratio, 4).alias("ratio"), (ratio > C.UNIT_OUTLIER_RATIO).alias("outlier"))
+    return per.join(whole, "family_no").withColumn("raw_ratio", F.col("median") / F.col("mid"))
+
+
+def unit_medians(spark, d):
+    """Owners' medians against the family's."""
+    per = unit_medians_of(families(spark, d)[0])
+    return per.select("family_no", "cpse", "n", F.round("median", 4).alias("median"), F.round("raw_ratio", 4).alias("ratio"), (F.col("raw_ratio") > C.UNIT_OUTLIER_RATIO).alias("outlier"))
 
 
 def spread_suspicion(spark, d):

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -139,6 +139,12 @@ def label_of(known: dict[str, Profile], taken: set[str]) -> Choice | None:
     return Choice(best, f"about {round(known[best].distinct * known[best].n)} groups over {known[best].n} rows") if best else None
 
 
+def notes(spark: SparkSession, chosen: dict[str, Choice]) -> DataFrame:
+    """role, column, reason of the roles inferred, in the order of RULES."""
+    rows = [(role, c.column, f"{c.column} was taken for the {role}: {c.how}") for role, c in chosen.items()]
+    return spark.createDataFrame(rows, "role string, column string, reason string")
+
+
 def infer(known: dict[str, Profile]) -> dict[str, Choice]:
     """role -> column and why, for the roles that a column was found for."""
     chosen: dict[str, Choice] = {}

@@ -9,12 +9,13 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from . import files, roles
+from . import files, roles, workbook
 
 HEAD_BYTES = 1 << 16
 SEPARATORS = (",", "\t", ";", "|")
@@ -126,6 +127,23 @@ def canonical(table: DataFrame, stem: str) -> tuple[DataFrame, dict[str, roles.C
     ), chosen
 
 
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A workbook or a delimited file."""
+    if not path.lower().endswith((".xlsx", ".xlsm")):
+        return read_table(spark, path)
+    try:
+        return workbook.read_workbook(spark, path)
+    except (ValueError, PythonException) as problem:
+        raise TableError("its first sheet can't be read: " + str(problem).strip().splitlines()[-1]) from None
+
+
+def fit(table: DataFrame) -> DataFrame:
+    """``table``, or an error if nothing of it is left to unify."""
+    if table.isEmpty():
+        raise TableError("every row was blank, a duplicate or a placeholder")
+    return table
+
+
 def read_tables(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
     """All usable files as one table, and a note for each file left out.
 
@@ -135,7 +153,7 @@ def read_tables(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[
     for i, path in enumerate(paths):
         name = path.rsplit("/", 1)[-1]
         try:
-            table, _ = canonical(read_table(spark, path), name.rsplit(".", 1)[0])
+            table, _ = canonical(read_any(spark, path), name.rsplit(".", 1)[0])
         except TableError as reason:
             notes.append(f"{name} was skipped: {reason}")
             continue

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` (a folder of our own where that is unset), removed when the JVM ends."""
+    """A fresh path under ``spark.checkpoint.dir``, removed when the JVM ends; on a local master a folder of our own will do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="kinfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/kinfold/{label}-{uuid.uuid4().hex}"

@@ -45,7 +45,10 @@ def test_split_merge_and_undo(run):
     assert sorted(map(tuple, run.records().collect())) == before
     assert [(r["verb"], r["undone"], r["by"]) for r in run.log().orderBy("seq").collect()] == [("approve", False, "Ann A"), ("split", True, ""), ("merge", True, "")]
     assert {r["family_no"]: r["state"] for r in run.review_states().collect()} == {1: "confirmed"}
-    assert run.summary().first().asDict() == {"logged": 3, "live": 1, "undone": 2, "approve": 1, "split": 0, "merge": 0, "records_touched": 3}
+    said = run.summary().first().asDict()
+    assert said.pop("first_at") < said.pop("last_at") and said.pop("undoable_summary") == "family 1 approved"
+    assert said == {"logged": 3, "live": 1, "undone": 2, "approve": 1, "split": 0, "merge": 0, "records_touched": 3, "undoable_seq": 1}
+    assert [tuple(r) for r in run.reviewers().collect()] == [("Ann A", 1)]
 
 
 def test_refused_decisions(run):
@@ -54,8 +57,31 @@ def test_refused_decisions(run):
             wrong()
 
 
+def test_two_decisions_at_once(run):
+    """A number is given once: who comes second is told to look again."""
+    run.approve(1)
+    taken = run._put("events/0000000002.json", {"seq": 1})  # not yet seen by the reader of the log, which goes by seq
+    assert taken and not run._put("events/0000000002.json", {"seq": 2})
+    with pytest.raises(runs.ReviewError, match="same time"):
+        run._record("approve", 2, None, 1, "", "")
+
+
+def test_approve_plan(run):
+    plan = run.approve_plan(1)
+    assert (plan["records"], plan["more"], sum(s["n_records"] for s in plan["spellings"])) == (3, 0, 3)
+    assert plan["concerns"] == [] or plan["score"] < 0.82
+    run.approve(1)
+    with pytest.raises(runs.ReviewError):
+        run.approve_plan(1)
+
+
 def test_saved_runs(spark, run, tmp_path):
+    assert runs.usage(spark, str(tmp_path / "none"))["enabled"] is False
     runs.Run.save(run.records(), str(tmp_path), "second")
+    used = runs.usage(spark, str(tmp_path))
+    assert used["runs"] == 2 and used["bytes"] > 1000
+    with pytest.raises(runs.ReviewError):
+        runs.Run.save(run.records(), str(tmp_path), "second")
     (tmp_path / "broken").mkdir()
     assert [r["run"] for r in runs.saved_runs(spark, str(tmp_path)).collect()] == ["second", "first"]
     assert runs.forget(spark, str(tmp_path), keep=1) == ["first"] and not (tmp_path / "first").exists()

@@ -13,6 +13,9 @@ texts are read whole.
 Training takes every labelled row, or, where a language has more than
 ``TRAIN_ROWS`` of them, a share of them chosen by a hash of the id so that
 about that many are expected.  Rows with null text or language don't train.
+Rows that repeat a doc_id train and are judged each.  Without prototypes every
+text gets ``und``; an empty table gives an empty answer.  Other columns are
+left out.
 """
 
 from __future__ import annotations

@@ -14,7 +14,10 @@ least waste first, one at a time as they are asked for.  It branches on the
 filling and on how many sequences have it, and gives up a branch whose waste
 cannot lead to fewer sequences than the incumbent.
 
-Null text is empty: the document is its end id.  Repeated rows are packed each.
+Null text is empty: the document is its end id.  Repeated rows, and rows with
+a null doc_id, are packed each.  Pieces of one length are alike: which of them
+comes first is the order in which tasks meet them.  An empty table gives an
+empty answer.  Other columns are left out.
 """
 
 from __future__ import annotations

@@ -13,6 +13,10 @@ run on the rewritten text; what they find there, and not in the source, is
 mapped back and added.  Base spans stay.
 
 Offsets are code points, ends exclusive.  Null text is empty and has no spans.
+Rows with a null or repeated doc_id are judged each by their own text; of
+spans of one kind that start together the shorter comes first.  An empty table
+gives an empty answer.  Other columns are left out by ``detect`` and kept by
+``redact``.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ rows whatever the corpus.  Only the text is looked at.
 Null text counts as empty and is scored like any text.  A document without a
 label, with a null label or a null doc_id doesn't train.  Labels that repeat a
 doc_id train with their mean, 0.5 up counting as 1.  Without rows of both
-classes every score is 0.5.
+classes every score is 0.5.  Rows that repeat a doc_id are judged each, and
+train each; equal texts have equal scores.  An empty table gives an empty
+answer.  Other columns are left out by ``judge`` and kept by ``reject``.
 """
 
 from __future__ import annotations

@@ -14,7 +14,11 @@ the links is kept, never all pairs.
 
 Rows are documents: a doc_id that repeats does not link its rows by itself.
 Null text has no words; a text with fewer words than a shingle is one shingle;
-no words give fingerprint zero, linked like any other.
+no words give fingerprint zero, linked like any other.  Rows with a null
+doc_id are classed like others, but never name a class.  An empty table gives
+an empty answer.  ``keep_one`` keeps all columns, whatever they are called; of
+rows alike in doc_id and text the one whose other columns come first as JSON
+stays.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -149,6 +153,6 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     found = classes(docs, distance, blocks)
     first = found.groupBy("root").agg(F.min_by("row_key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias(key)).select(key).distinct()
     kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(first, key, "left_semi")
-    from pyspark.sql import Window
-
-    return kept.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(turn) == 1).select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(0)
+    return kept.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,7 +1,13 @@
 """A corpus pipeline of five operators: judge, deduplicate, decontaminate, redact, pack.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the
-stage before kept.  All but the last return the columns of ``documents``.
+stage before kept.  All but the last return the columns of ``documents``,
+whatever else they hold.
+
+Null text counts as empty in every stage, is masked to itself, and is packed as
+its end id.  Rows with a null doc_id, very long texts and repeated rows are
+documents like others; equal rows are copies, of which one stays.  An empty
+table gives empty results.  A stage states its own ties.
 """
 
 from __future__ import annotations
@@ -46,7 +52,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The classifier and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer can't be expressed in SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 

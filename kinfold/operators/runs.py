@@ -252,7 +252,11 @@ class Run:
         order = F.struct(F.char_length("text"), F.col("family_no") == keeps["family_no"], "score", -F.col("row_id"))
         golden = both.agg(F.max_by("text", order)).first()[0]
         origin = "keeps" if golden == keeps["golden"] else "absorbed" if golden == goes["golden"] else "members"
-        return {"keeps": keeps["family_no"], "absorbed": goes["family_no"], "golden": golden, "golden_from": origin, "records": keeps["members"] + goes["members"], "moved": goes["members"]}
+        counts = both.agg(F.countDistinct(F.when(F.coalesce("cpse", F.lit("")) != "", F.col("cpse"))).alias("units"), F.countDistinct(T.squeezed(F.col("description"))).alias("n")).first()
+        return {
+            "keeps": keeps["family_no"], "absorbed": goes["family_no"], "golden": golden, "golden_from": origin, "records": keeps["members"] + goes["members"], "moved": goes["members"],
+            "units": counts["units"], "spellings": counts["n"], "scores": (keeps["mean"], goes["mean"]), "retires": f"{C.CODE_PREFIX}-{goes['family_no']:07d}",
+        }
 
     def merge(self, left: int, right: int, by: str = "") -> int:
         """Fold the smaller family into the larger and score all of it against the golden text of both."""

@@ -13,7 +13,8 @@ from .. import constants as C
 from ..functions import text as T
 from ..operators import codes, enrich, runs
 from ..operators import similarity as S
-from . import oracle as O
+from ..streaming import assign
+from . import decisions, oracle as O
 from .queries import families, price_block, priced_in_basis, read
 from .review import ORACLE as _REVIEW, unit_medians_of
 
@@ -231,6 +232,21 @@ def near_goldens(clusters: DataFrame) -> DataFrame:
     return near.orderBy(F.desc("cos"), F.desc("i"), F.desc("j")).limit(C.NEAR_MISSES).select(F.col("i").alias("left_no"), F.col("j").alias("right_no"), F.round("cos", 4).alias("cos"))
 
 
+def simulate(records: DataFrame, clusters: DataFrame, probes: DataFrame) -> DataFrame:
+    """What would become of each probe (id, description): its normal form, the nearest family and how near, and records that read alike already."""
+    told = probes.select("id", T.normalize(F.col("description")).alias("text"), F.size(T.trace(F.col("description"))).alias("n_steps"))
+    best = assign.assign(probes.select(F.col("id").alias("row_id"), "description"), clusters).select(F.col("row_id").alias("id"), "family_no", F.coalesce("score", F.lit(0.0)).alias("score"), "merges")
+    here = records.join(told.select("text").distinct(), "text", "left_semi").groupBy("text").agg(F.count(F.lit(1)).alias("already"))
+    whole = told.join(best, "id").join(here, "text", "left").fillna(0, ["already"])
+    return whole.select("id", "text", "n_steps", F.when(F.col("merges"), F.col("family_no")).alias("family_no"), "score", T.confidence(F.col("score")).alias("confidence"), T.status(F.col("score")).alias("band"), "merges", "already")
+
+
+def spelling_rows(records: DataFrame, family_no: int, spelling: str, offset: int = 0, limit: int = 50) -> DataFrame:
+    """The records of one spelling of a family, by owner and code."""
+    own = records.filter((F.col("family_no") == family_no) & (T.squeezed(F.col("description")) == spelling))
+    return page(own, ["cpse", "code", "row_id"], offset, limit)
+
+
 # -- the queries
 
 
@@ -361,6 +377,31 @@ def approve_preview(spark, d):
     return rows.select("family_no", "golden", "members", "units", "score", "status", (F.col("n_spellings") - shown).alias("more"), doubts.alias("concerns"))
 
 
+def merge_preview(spark, d):
+    """What a merge of the first two families would make."""
+    plan = decisions.fresh_run(spark, d).merge_plan(1, 2)
+    fields = ("keeps", "absorbed", "golden", "golden_from", "records", "units", "spellings", "retires")
+    return spark.createDataFrame([tuple(plan[f] for f in fields)], "keeps long, absorbed long, golden string, golden_from string, records long, units long, spellings long, retires string")
+
+
+PROBES = ("red bolt, economy", "BOLT", "zzz;qqq")
+
+
+def simulate_probes(spark, d):
+    """Made-up descriptions, and ten that are in the run."""
+    records, clusters = families(spark, d)
+    made = spark.createDataFrame([(-i, p) for i, p in enumerate(PROBES, 1)], "id long, description string")
+    known = read(spark, d, "part").filter("p_partkey <= 10").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("description"))
+    return simulate(records, clusters, made.unionByName(known))
+
+
+def provenance_rows(spark, d):
+    """The second ten records of the most frequent spelling of the first family."""
+    records, _ = families(spark, d)
+    top = runs.spellings(records.filter("family_no = 1")).orderBy(F.desc("n_records"), "first_row").first()
+    return spelling_rows(records, 1, top["spelling"], 10, 10).select("row_id", "cpse", "code", "score", "total", "has_more")
+
+
 def near_miss_goldens(spark, d):
     return near_goldens(families(spark, d)[1])
 
@@ -389,7 +430,7 @@ QUERIES = {
     for f in (
         run_stats, family_distribution, sweep_accuracy, worst_unit_orders, unit_medians_orders, savings_orders, top_savings_orders, uom_list_orders, savings_report, search_everywhere, view_pages, unit_ranked,
         provenance_by_spellings, provenance_by_score, provenance_totals, eval_report, eval_wrong_merges, eval_missed_merges, code_scheme_report, uom_dirty, uom_dirty_report, approve_preview, near_miss_goldens,
-        family_fingerprints, control_characters, price_dirty,
+        family_fingerprints, control_characters, price_dirty, merge_preview, simulate_probes, provenance_rows,
     )
 }
 
@@ -465,6 +506,18 @@ ORACLE = {
     "uom_dirty_report": f"""WITH {_UOM}, unk AS (SELECT canonical, count(*) n FROM un WHERE dimension = 'unknown' AND canonical <> 'UNSPECIFIED' GROUP BY 1 ORDER BY n DESC, canonical LIMIT 12)
       SELECT count(DISTINCT f) raw_forms, count(DISTINCT canonical) canonical_forms, count(DISTINCT dimension) dimensions, count(*) n_rows, (SELECT {_LISTED.format(c='canonical')} FROM unk) unrecognised, greatest(count(DISTINCT f) - count(DISTINCT canonical), 0) collapsed FROM un""",
     "approve_preview": f"WITH {O._FAM}, {_ST}, ns AS (SELECT family_no, count(DISTINCT upper(description)) n FROM r GROUP BY 1) SELECT family_no, golden, members, units, score, status, greatest(n - 12, 0) AS more, (mean < 0.82)::INT + (n > 6)::INT concerns FROM st JOIN ns USING (family_no)",
+    "merge_preview": f"""WITH {O._FAM}, sz AS (SELECT (SELECT members FROM c WHERE family_no = 1) m1, (SELECT members FROM c WHERE family_no = 2) m2), kp AS (SELECT CASE WHEN m2 > m1 THEN 2 ELSE 1 END kn FROM sz), bo AS (SELECT * FROM r WHERE family_no IN (1, 2)),
+      gn AS (SELECT arg_max(text, (length(text), family_no = kn, score, -row_id)) gt FROM bo CROSS JOIN kp)
+      SELECT any_value(kn)::BIGINT keeps, 3 - any_value(kn)::BIGINT absorbed, any_value(gt) golden, CASE any_value(gt) WHEN (SELECT golden FROM c, kp WHERE family_no = kn) THEN 'keeps' WHEN (SELECT golden FROM c, kp WHERE family_no = 3 - kn) THEN 'absorbed' ELSE 'members' END golden_from,
+      count(*) records, count(DISTINCT cpse) units, count(DISTINCT upper(description)) spellings, 'MTL-' || lpad((3 - any_value(kn))::VARCHAR, 7, '0') retires FROM bo, kp, gn""",
+    "simulate_probes": f"""WITH {O._FAM}, pb(id, text, n_steps) AS (VALUES (-1, 'RED BOLT ECONOMY', 2), (-2, 'BOLT', 0), (-3, 'ZZZ QQQ', 2) UNION ALL SELECT p_partkey, upper(p_name || ' ' || p_type), CASE WHEN lower(p_name || ' ' || p_type) <> upper(p_name || ' ' || p_type) THEN 1 ELSE 0 END FROM part WHERE p_partkey <= 10),
+      p0 AS (SELECT id, gram, count(*) n FROM (SELECT id, unnest(list_transform(range(1, length(text) + 1), lambda i: substr(' ' || text || ' ', i, 3))) gram FROM pb) GROUP BY 1, 2), p1 AS (SELECT *, sum(n * n) OVER (PARTITION BY id) qn FROM p0),
+      fg AS (SELECT family_no, q.gram, q.n nf, q.q qf FROM gd JOIN q ON q.id = gd.gid), dd AS (SELECT id, family_no, sum(n * nf) / sqrt((any_value(qn) * any_value(qf))::DOUBLE) cos FROM p1 JOIN fg USING (gram) GROUP BY 1, 2),
+      bb AS (SELECT id, arg_max(family_no, (cos, -family_no)) fno, max(cos) cos FROM dd GROUP BY 1), ff AS (SELECT pb.*, fno, coalesce(round(cos, 4), 0) score, coalesce(cos >= 0.75, false) merges FROM pb LEFT JOIN bb USING (id))
+      SELECT id::BIGINT id, text, n_steps, CASE WHEN merges THEN fno END family_no, score, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END confidence, CASE WHEN score >= 0.95 THEN 'resolved' WHEN score >= 0.82 THEN 'accepted' WHEN score >= 0.75 THEN 'review' ELSE 'conflict' END band,
+      merges, (SELECT count(*) FROM r WHERE r.text = ff.text) already FROM ff""",
+    "provenance_rows": f"""WITH {O._FAM}, k AS (SELECT upper(description) sp FROM r WHERE family_no = 1 GROUP BY 1 ORDER BY count(*) DESC, min(row_id) LIMIT 1)
+      SELECT row_id, cpse, code, score, count(*) OVER () total, count(*) OVER () > 20 has_more FROM r, k WHERE family_no = 1 AND upper(description) = sp ORDER BY cpse, code, row_id LIMIT 10 OFFSET 10""",
     "near_miss_goldens": f"""WITH {O._FAM} SELECT a.family_no left_no, b.family_no right_no, round(dot / sqrt((qa * qb)::DOUBLE), 4) cos FROM gd a JOIN gd b ON a.family_no < b.family_no JOIN dots ON dots.i = a.gid AND dots.j = b.gid
       WHERE 400 * dot * dot >= 121 * qa * qb AND dot / sqrt((qa * qb)::DOUBLE) < 0.75 ORDER BY dot / sqrt((qa * qb)::DOUBLE) DESC, 1 DESC, 2 DESC LIMIT 36""",
     "family_fingerprints": f"""WITH {O._FAM}, wy AS (SELECT family_no, golden, description w, row_number() OVER (PARTITION BY family_no ORDER BY description) k FROM (SELECT DISTINCT family_no, golden, description FROM r))

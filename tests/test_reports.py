@@ -227,3 +227,18 @@ def test_fingerprint(spark):
     golden, ways = 'BOLT "M8"', ["b, c", "a\\x", "é"]
     want = hashlib.sha1(json.dumps([golden, sorted(ways)], ensure_ascii=False).encode()).hexdigest()[:16]
     assert spark.createDataFrame([(golden, ways)], "g string, w array<string>").select(enrich.fingerprint(F.col("g"), F.col("w"))).first()[0] == want
+
+
+def test_cells_with_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "broken_lines.csv")
+    (tmp_path / "broken_lines.csv").write_bytes(b'Stock list,,\r\n\r\nDescription,Plant,Note\r\n"bolt\r\nhex ""M8""",U1,"a, b"\r\nnut,U2\r\none,two,three,four\r\nwasher,U3,"x\ny"\r\n')
+    rows = [tuple(r)[1:] for r in tables.read_table(spark, path).orderBy("_row").collect()]
+    assert rows == [('bolt\nhex "M8"', "U1", "a, b"), ("nut", "U2", None), ("washer", "U3", "x\ny")]
+
+
+def test_merge_plan_counts(spark, tmp_path):
+    rows = [(1, "A x", "A X", "U1", "K1", 1, "A X", 1.0), (2, "a  X", "A X", "U2", "", 1, "A X", 1.0), (3, "B LONG", "B LONG", "U1", "", 2, "B LONG", 1.0)]
+    records = spark.createDataFrame(rows, "row_id long, description string, text string, cpse string, code string, family_no long, golden string, score double")
+    full = records.withColumns({"price": F.lit(None).cast("double"), "uom": F.lit("EACH"), "label": F.lit("")})
+    plan = runs.Run.save(full, str(tmp_path), "one").merge_plan(2, 1)
+    assert (plan["keeps"], plan["absorbed"], plan["golden"], plan["golden_from"], plan["units"], plan["spellings"], plan["retires"]) == (1, 2, "B LONG", "absorbed", 2, 2, "MTL-0000002")

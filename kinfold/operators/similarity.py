@@ -81,7 +81,7 @@ def sparse_edges(grams: DataFrame, numerator: int = 3, denominator: int = 4) ->
 
     Only texts that share one of their rarest grams are compared.
     """
-    few = settle(rare_prefixes(grams, numerator, denominator), "prefixes")
+    few = rare_prefixes(grams, numerator, denominator)  # the two sides of the join share its exchange
     pairs = few.select(F.col("id").alias("i"), "gram").join(few.select(F.col("id").alias("j"), "gram"), "gram").filter("i < j").select("i", "j").distinct()
     whole = grams.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "n"))).alias("g"), F.first("norm2").alias("q"))  # a text's own grams
     both = pairs.join(whole.select(F.col("id").alias("i"), F.col("g").alias("ga"), F.col("q").alias("qa")), "i").join(whole.select(F.col("id").alias("j"), F.col("g").alias("gb"), F.col("q").alias("qb")), "j")

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks a worker remembers (about 200 bytes each), and the longest it keeps.
-MEMO_CHUNKS, MEMO_LENGTH = 1_200_000, 48
+MEMO_CHUNKS, MEMO_LENGTH = 900_000, 48
 #: Chunks sent to the library as one string.
 JOINED = 200
 #: Where a text that has spaces beside other white space is cut.
@@ -64,7 +64,7 @@ class Encoder:
         self.memo = _Memo()
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         # Chunks that can't stand alone have a length of -1.
-        self.lengths = self.starts = np.empty(0, np.int64)
+        self.lengths = self.starts = np.empty(0, np.int32)
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else []
@@ -91,7 +91,7 @@ class Encoder:
     def _learn(self):
         """Get the ids of the chunks that wait."""
         new, self.memo.new = self.memo.new, []
-        lengths, starts = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64)
+        lengths, starts = np.full(len(new), -1, np.int32), np.zeros(len(new), np.int32)
         led = [k for k, c in enumerate(new) if c.__class__ is str and c and not c[0].isspace()]
         for i in range(0, len(led), JOINED):
             some = led[i : i + JOINED]
@@ -138,7 +138,7 @@ class Encoder:
 
     def _gathered(self, numbers: np.ndarray) -> np.ndarray:
         lengths = self.lengths[numbers]
-        first = np.cumsum(lengths) - lengths
+        first = np.cumsum(lengths, dtype=np.int64) - lengths
         return self.ids[np.repeat(self.starts[numbers] - first, lengths) + np.arange(int(lengths.sum()))]
 
     def _runs(self, texts: Iterable[str]):

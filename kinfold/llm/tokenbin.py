@@ -49,18 +49,23 @@ def pack(ids: np.ndarray) -> bytes:
     k = min(len(delta) - 1, int(PERCENTILE * len(delta)))
     width = int(np.partition(delta, k)[k]).bit_length()
     odd = np.flatnonzero(delta >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(delta.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - width :]
-    return HEADER.pack(low, width, len(odd)) + np.packbits(bits).tobytes() + odd.astype("<u4").tobytes() + delta[odd].astype("<u4").tobytes()
+    if width == 16:  # whole bytes: the low halves as they are
+        packed = delta.astype(np.uint16).astype(">u2").tobytes()
+    else:
+        packed = np.packbits(np.unpackbits(delta.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - width :]).tobytes()
+    return HEADER.pack(low, width, len(odd)) + packed + odd.astype("<u4").tobytes() + delta[odd].astype("<u4").tobytes()
 
 
 def unpack(payload: bytes, count: int, at: int = 0) -> np.ndarray:
     """The ids of the block that starts at a byte of a payload."""
     low, width, n_odd = HEADER.unpack_from(payload, at)
     size, at = (count * width + 7) // 8, at + HEADER.size
-    bits = np.zeros((count, 32), np.uint8)
-    packed = np.frombuffer(payload, np.uint8, size, at)
-    bits[:, 32 - width :] = np.unpackbits(packed, count=count * width).reshape(count, width)
-    delta = np.packbits(bits).view(">u4").astype(np.uint32)
+    if width == 16:
+        delta = np.frombuffer(payload, ">u2", count, at).astype(np.uint32)
+    else:
+        bits = np.zeros((count, 32), np.uint8)
+        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(payload, np.uint8, size, at), count=count * width).reshape(count, width)
+        delta = np.packbits(bits).view(">u4").astype(np.uint32)
     places = np.frombuffer(payload, "<u4", n_odd, at + size)
     delta[places] = np.frombuffer(payload, "<u4", n_odd, at + size + 4 * n_odd)
     return delta + np.uint32(low)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, lengths, packing, pii, quality, simhash, tokenbin, urlfilter
+from . import ann, decontam, jaccard, langid, lengths, packing, pii, quality, simhash, tokenbin, urlfilter
 from .common import crc_bucket, new_path, remove, settle, table
 
 
@@ -70,6 +70,10 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.curve(lengths.histogram(table(spark, sf_dir, "documents", "text")))
 
 
+def op11_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 #: A document's words in DuckDB; its regular expressions want the same class.
 _WORDS = r"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -89,6 +93,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
 """
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i : i + 3], ' ') AS sh FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM c JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * k >= 85 * (nx.n + ny.n - k)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+m AS (SELECT reach.x, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) JOIN m ON m.x = d.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -102,9 +118,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_pigeonhole,
         op9_hyperdimensional_langid,
         op10_length_histogram,
+        op11_adaptive_prefix_jaccard,
     )
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_logistic": urlfilter.verdict_sql(), "op6_positional_decontamination": OP6_SQL}
+    return {"op5_url_logistic": urlfilter.verdict_sql(), "op6_positional_decontamination": OP6_SQL, "op11_adaptive_prefix_jaccard": OP11_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, jaccard, langid, lengths, packing, pii, quality, simhash, tokenbin, trie, urlfilter
+from . import ann, decontam, jaccard, langid, lengths, packing, pii, quality, repair, simhash, tokenbin, trie, urlfilter
 from .common import crc_bucket, new_path, remove, settle, table
 
 
@@ -74,6 +74,11 @@ def op11_adaptive_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_tensor_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.audited(rows, repair.damaged(rows))
+
+
 def op13_preorder_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = trie.turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
     rebuilt, convs = trie.grafted(own, F.col("conv_id") - F.col("conv_id") % 5, crc_bucket(F.col("conv_id"), 9))
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_hyperdimensional_langid,
         op10_length_histogram,
         op11_adaptive_prefix_jaccard,
+        op12_tensor_repair,
         op13_preorder_trie,
     )
 }

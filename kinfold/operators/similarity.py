@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..stage import settle
+from .dense import dense_edges  # noqa: F401  part of this module's face
 from .ranking import ranked
 
-#: Vectors of a block of the dense self-join; texts given to an encoder at once.
-BLOCK, ENCODE_BATCH = 2048, 256
+#: Texts given to an encoder at once.
+ENCODE_BATCH = 256
 
 
 def encoded(texts: DataFrame, encode: Callable[[list[str]], np.ndarray], batch: int = ENCODE_BATCH) -> DataFrame:
@@ -30,31 +31,6 @@ def encoded(texts: DataFrame, encode: Callable[[list[str]], np.ndarray], batch:
     return texts.select("id", "text").mapInPandas(run, "id long, vec array<double>")
 
 
-def dense_edges(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs i, j with cosine >= threshold of unit vectors (id, vec), each with itself and in both orders.
-
-    Rows are dealt to blocks; each pair of blocks, in one order, meets in one
-    task as two matrices, so memory is bounded, a vector is sent to each block
-    once, and the product is a matrix product.
-    """
-    n_blocks = max(1, -(-vectors.count() // BLOCK))
-    dealt = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    left = dealt.select(F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.lit(n_blocks - 1))).alias("bj"), F.col("id").alias("i"), F.col("vec").alias("vi"))
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("ci"), F.col("b").alias("cj"), F.col("id").alias("j"), F.col("vec").alias("vj"))
-
-    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "cos": np.empty(0)})
-        dots = np.stack(a["vi"]) @ np.stack(b["vj"]).T
-        x, y = np.nonzero(dots >= threshold)
-        i, j, cos = a["i"].to_numpy()[x], b["j"].to_numpy()[y], dots[x, y]
-        if key[0] != key[1]:  # the other order
-            i, j, cos = np.r_[i, j], np.r_[j, i], np.r_[cos, cos]
-        return pd.DataFrame({"i": i, "j": j, "cos": cos})
-
-    return left.groupBy("bi", "bj").cogroup(right.groupBy("ci", "cj")).applyInPandas(meet, "i long, j long, cos double")
-
-
 def trigrams(texts: DataFrame) -> DataFrame:
     """id, gram, n, norm2 of the padded texts (id, text)."""
     padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))

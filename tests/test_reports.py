@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinfold import constants as C
 from kinfold.functions import text as T
-from kinfold.operators import enrich, ranking, runs
+from kinfold.operators import dense, enrich, ranking, runs
 from kinfold.operators import similarity as S
 from kinfold.plans import reports
 from kinfold.sources import questions, roles, tables, workbook
@@ -96,7 +96,8 @@ def test_rarest_grams_compare_few_pairs(spark):
 
 
 def test_dense_edges_of_several_blocks_with_an_encoder(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK", 40)
+    monkeypatch.setattr(dense, "BLOCK", 40)
+    monkeypatch.setattr(dense, "BLOCK", 40)
     texts = [(i, f"{i % 7} {i % 3}") for i in range(150)]
 
     def encode(some):

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from ..operators import codes
+from ..operators import codes, probes
 from ..operators import similarity as S
 from ..operators.runs import seams, weak
 from .oracle import _FAM, _PRICE, ORACLE as _BASE
-from .queries import eval_pairwise, families, price_block, priced_in_basis
+from ..stage import settle
+from .queries import eval_pairwise, families, price_block, priced_in_basis, read
 
 #: The probe of ``simulate_probe``, before it is normalised.
 PROBE = "red bolt, economy"
@@ -69,11 +70,20 @@ def code_summary(spark, d):
 def simulate_probe(spark, d):
     """The six families nearest to a new description, and whether it would join each."""
     _, clusters = families(spark, d)
-    grams = S.trigrams(clusters.select(F.col("family_no").alias("id"), F.col("golden").alias("text")))
-    probe = S.trigrams(spark.range(1).select("id", T.normalize(F.lit(PROBE)).alias("text"))).select("gram", F.col("n").alias("np"), F.col("norm2").alias("qp"))
-    dots = grams.join(F.broadcast(probe), "gram").groupBy(F.col("id").alias("family_no")).agg((F.sum(F.col("n") * F.col("np")) / F.sqrt((F.first("norm2") * F.first("qp")).cast("double"))).alias("cos"))
-    top = dots.orderBy(F.desc("cos"), "family_no").limit(6)
-    return top.select("family_no", F.round("cos", 4).alias("score"), (F.col("cos") >= C.SIMILARITY_THRESHOLD).alias("merges"))
+    grams = settle(S.trigrams(clusters.select(F.col("family_no").alias("id"), F.col("golden").alias("text"))), "family-grams")
+    probe = S.trigrams(spark.range(1).select("id", T.normalize(F.lit(PROBE)).alias("text")))
+    top = probes.nearest(probe, grams, 6)
+    return top.select(F.col("other").alias("family_no"), F.round("cos", 4).alias("score"), (F.col("cos") >= C.SIMILARITY_THRESHOLD).alias("merges"))
+
+
+def probe_top3(spark, d):
+    """The three families nearest to each way of naming a part by type, name and maker."""
+    _, clusters = families(spark, d)
+    grams = settle(S.trigrams(clusters.select(F.col("family_no").alias("id"), F.col("golden").alias("text"))), "family-grams")
+    described = F.concat_ws(" ", "p_type", "p_name", "p_brand")
+    texts = read(spark, d, "part").groupBy(T.normalize(described).alias("text")).agg(F.min("p_partkey").cast("long").alias("id"))
+    top = probes.nearest(settle(S.trigrams(texts), "probe-grams"), grams, 3)
+    return top.select(F.col("id").alias("part"), F.col("place").cast("long").alias("place"), F.col("other").alias("family_no"), F.round("cos", 4).alias("score"))
 
 
 def audit_export(spark, d):
@@ -83,7 +93,7 @@ def audit_export(spark, d):
     return coded.select("row_id", "description", "cpse", "family_no", "score", F.coalesce("proposed_code", F.lit("")).alias("proposed_code"), F.lit("unreviewed").alias("review_state"))
 
 
-QUERIES = {f.__name__: f for f in (plan_split, unit_medians, spread_suspicion, eval_scores, eval_examples, proposed_codes, code_summary, simulate_probe, audit_export)}
+QUERIES = {f.__name__: f for f in (plan_split, unit_medians, spread_suspicion, eval_scores, eval_examples, proposed_codes, code_summary, simulate_probe, probe_top3, audit_export)}
 
 _WORDS = ", ".join(f"'{w}'" for w in (*C.CODE_STOPWORDS, *C.CODE_MODIFIERS))
 _CODES = f"""{_FAM}, tk AS (SELECT family_no, golden, list_filter(string_split_regex(upper(golden), '[^A-Z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_WORDS}) AND NOT regexp_matches(w, '^[0-9]|[0-9]{{2,}}|^M[0-9]|X[0-9]')) ws FROM c),
@@ -109,5 +119,10 @@ ORACLE = {
     "simulate_probe": f"""WITH {_FAM}, pb AS (SELECT gram, count(*) np FROM (SELECT unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) gram FROM (SELECT ' RED BOLT ECONOMY ' x)) GROUP BY gram),
       gg AS (SELECT family_no, q.gram, q.n, q.q FROM gd JOIN q ON q.id = gd.gid), dd AS (SELECT family_no, sum(n * np) / sqrt((any_value(gg.q) * (SELECT sum(np * np) FROM pb))::DOUBLE) cos FROM gg JOIN pb USING (gram) GROUP BY family_no)
       SELECT family_no, round(cos, 4) score, cos >= 0.75 merges FROM dd ORDER BY cos DESC, family_no LIMIT 6""",
+    "probe_top3": f"""WITH {_FAM}, pt AS (SELECT upper(p_type || ' ' || p_name || ' ' || p_brand) x, min(p_partkey)::BIGINT part FROM part GROUP BY 1),
+      pg AS (SELECT part, gram, count(*) np FROM (SELECT part, unnest(list_transform(range(1, length(x) + 1), lambda i: substr(' ' || x || ' ', i, 3))) gram FROM pt) GROUP BY part, gram),
+      pq AS (SELECT part, gram, np, sum(np * np) OVER (PARTITION BY part) qp FROM pg), gg AS (SELECT family_no, q.gram, q.n, q.q FROM gd JOIN q ON q.id = gd.gid),
+      dd AS (SELECT part, family_no, sum(n * np) / sqrt((any_value(gg.q) * any_value(qp))::DOUBLE) cos FROM gg JOIN pq USING (gram) GROUP BY part, family_no)
+      SELECT part, place, family_no, round(cos, 4) score FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY cos DESC, family_no) place FROM dd) WHERE place <= 3""",
     "audit_export": f"WITH {_CODES} SELECT row_id, description, cpse, r.family_no, score, coalesce(proposed_code, '') proposed_code, 'unreviewed' review_state FROM r LEFT JOIN cd ON r.family_no = cd.family_no",
 }

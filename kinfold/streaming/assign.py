@@ -8,20 +8,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as C
 from ..functions import text as T
+from ..operators import probes as P
 from ..operators import similarity as S
+from ..stage import settle
 
 
 def assign(rows: DataFrame, families: DataFrame) -> DataFrame:
     """row_id, text, family_no, score, merges: the family whose golden text is nearest, ties to the smaller number.
 
-    An equi-join on trigrams.  A text with no trigram in common with a family has no family.
+    A text with no trigram in common with a family has no family.
     """
     texts = rows.select("row_id", T.normalize(F.col("description")).alias("text"))
-    grams = S.trigrams(families.select(F.col("family_no").alias("id"), F.col("golden").alias("text"))).select(F.col("id").alias("family_no"), "gram", F.col("n").alias("nf"), F.col("norm2").alias("qf"))
-    distinct = texts.groupBy("text").agg(F.min("row_id").alias("id")).filter("text IS NOT NULL")
-    dots = S.trigrams(distinct).join(grams, "gram").groupBy("id", "family_no").agg((F.sum(F.col("n") * F.col("nf")) / F.sqrt((F.first("norm2") * F.first("qf")).cast("double"))).alias("cos"))
-    best = dots.groupBy("id").agg(F.max_by(F.struct("family_no", "cos"), F.struct("cos", -F.col("family_no"))).alias("b"))
-    found = distinct.join(best, "id").select("text", "b.family_no", F.round("b.cos", 4).alias("score"), (F.col("b.cos") >= C.SIMILARITY_THRESHOLD).alias("merges"))
+    known = settle(S.trigrams(families.select(F.col("family_no").alias("id"), F.col("golden").alias("text"))), "family-grams")
+    distinct = settle(texts.groupBy("text").agg(F.min("row_id").alias("id")).filter("text IS NOT NULL"), "arriving")
+    best = P.nearest(settle(S.trigrams(distinct), "arriving-grams"), known, 1)
+    found = distinct.join(best, "id").select("text", F.col("other").alias("family_no"), F.round("cos", 4).alias("score"), (F.col("cos") >= C.SIMILARITY_THRESHOLD).alias("merges"))
     return texts.join(found, "text", "left").select("row_id", "text", "family_no", "score", F.coalesce("merges", F.lit(False)).alias("merges"))
 
 

@@ -51,6 +51,7 @@ ORACLE = {
     "threshold_bands": "SELECT * FROM (VALUES ('resolved', 0.95::DOUBLE, 1.0::DOUBLE), ('accepted', 0.82, 0.95), ('review', 0.75, 0.82), ('conflict', 0.0, 0.75)) v(band, floor, ceiling)",
     "unit_counts": f"WITH {_FAM} SELECT family_no, cpse, count(*) n, row_number() OVER (PARTITION BY family_no ORDER BY count(*) DESC, cpse) place FROM r GROUP BY family_no, cpse",
     "price_stats": f"{_PRICE} SELECT * FROM ps",
+    "skewed_price_medians": "SELECT CASE WHEN o_custkey % 10 > 0 THEN 'MOST' ELSE o_orderpriority END kind, round(median(o_totalprice), 4) mid FROM orders GROUP BY 1",
     "savings_totals": f"{_PRICE} SELECT round(sum(spend), 1) spend, round(sum(savings), 1) savings, round(sum(excess), 1) excess, count(*) n_families FROM ps",
     "list_by_unit": f"WITH {_FAM} SELECT family_no, count(*) n_records FROM r WHERE cpse = 'BRAND#1' GROUP BY family_no",
     "search_families": f"WITH {_FAM} SELECT family_no, golden, members FROM c WHERE family_no IN (SELECT family_no FROM r WHERE contains(lower(description), 'on'))",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..operators import similarity as S
+from ..operators.medians import medians
 from ..stage import settle
 
 DENSE = 0.30
@@ -160,7 +161,8 @@ def priced_in_basis(records):
 def price_block(records):
     """The price block of each family within its basis unit of measure."""
     inside = priced_in_basis(records)
-    block = inside.groupBy("family_no", "basis_uom", "all_priced", "uom_forms").agg(F.count(F.lit(1)).alias("priced"), F.sum("price").alias("spend"), F.min("price").alias("low"), F.max("price").alias("high"), F.median("price").alias("mid"))
+    block = inside.groupBy("family_no", "basis_uom", "all_priced", "uom_forms").agg(F.count(F.lit(1)).alias("priced"), F.sum("price").alias("spend"), F.min("price").alias("low"), F.max("price").alias("high"))
+    block = block.join(medians(inside, ["family_no"], "price", "mid"), "family_no")
     excess = inside.join(block.select("family_no", "mid"), "family_no").groupBy("family_no").agg(F.sum(F.greatest(F.col("price") - F.col("mid"), F.lit(0.0))).alias("excess"))
     return block.join(excess, "family_no").select(
         "family_no", "basis_uom", "priced", "uom_forms", (F.col("all_priced") - F.col("priced")).alias("other_records"),
@@ -173,6 +175,13 @@ def price_stats(spark, d):
     return price_block(families(spark, d)[0])
 
 
+def skewed_price_medians(spark, d):
+    """The median price of the orders of each priority, where those of most customers count as one kind."""
+    orders = read(spark, d, "orders")
+    kind = F.when(F.col("o_custkey") % 10 > 0, "MOST").otherwise(F.col("o_orderpriority"))
+    return medians(orders.select(kind.alias("kind"), "o_totalprice"), ["kind"], "o_totalprice", "mid").select("kind", F.round("mid", 4).alias("mid"))
+
+
 def savings_totals(spark, d):
     s = price_stats(spark, d)
     return s.agg(F.round(F.sum("spend"), 1).alias("spend"), F.round(F.sum("savings"), 1).alias("savings"), F.round(F.sum("excess"), 1).alias("excess"), F.count(F.lit(1)).alias("n_families"))
@@ -239,4 +248,4 @@ def near_miss_pairs(spark, d):
     return edges.filter((F.col("i") < F.col("j")) & (F.col("cos") < DENSE)).orderBy(F.desc("cos"), F.desc("i"), F.desc("j")).limit(36).select("i", "j", F.round("cos", 4).alias("cos"))
 
 
-QUERIES = {f.__name__: f for f in (clean_unit, normalize_text, normalize_trace, price_parse, uom_normalize, uom_summary, dedupe_first, profile_columns, similarity_edges, degrees, communities, communities_trigram, member_similarity, family_status, status_distribution, threshold_bands, unit_counts, price_stats, savings_totals, list_by_unit, search_families, page_families, provenance_spellings, eval_pairwise, family_purity, threshold_sweep, near_miss_pairs)}
+QUERIES = {f.__name__: f for f in (clean_unit, normalize_text, normalize_trace, price_parse, uom_normalize, uom_summary, dedupe_first, profile_columns, similarity_edges, degrees, communities, communities_trigram, member_similarity, family_status, status_distribution, threshold_bands, unit_counts, price_stats, skewed_price_medians, savings_totals, list_by_unit, search_families, page_families, provenance_spellings, eval_pairwise, family_purity, threshold_sweep, near_miss_pairs)}

@@ -8,6 +8,7 @@ from .. import constants as C
 from ..functions import text as T
 from ..operators import codes, probes
 from ..operators import similarity as S
+from ..operators.medians import medians
 from ..operators.runs import seams, weak
 from .oracle import _FAM, _PRICE, ORACLE as _BASE
 from ..stage import settle
@@ -25,8 +26,9 @@ def plan_split(spark, d):
 def unit_medians_of(records):
     """Owners with five priced rows or more in the basis unit: n, median, the family's mid, and raw_ratio between them."""
     inside = priced_in_basis(records)
-    whole = inside.groupBy("family_no").agg(F.median("price").alias("mid"))
-    per = inside.groupBy("family_no", "cpse").agg(F.count(F.lit(1)).alias("n"), F.median("price").alias("median")).filter(F.col("n") >= C.MIN_ROWS_FOR_UNIT_OUTLIER)
+    whole = medians(inside, ["family_no"], "price", "mid")
+    sizes = inside.groupBy("family_no", "cpse").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= C.MIN_ROWS_FOR_UNIT_OUTLIER)
+    per = sizes.join(medians(inside, ["family_no", "cpse"], "price", "median"), ["family_no", "cpse"])
     return per.join(whole, "family_no").withColumn("raw_ratio", F.col("median") / F.col("mid"))
 
 

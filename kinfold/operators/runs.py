@@ -1,14 +1,25 @@
 """Runs and the decisions people take on them: approve, split, merge, undo.
 
 A run is a folder: the records as unified, written once as Parquet, and what
-decisions append.  A decision is one JSON file, ``events/<number>``, made only
-if there is none of that number, so of two people who decide at once one is
-told to look again; for a split or a merge there are also the rows it moves,
-with their new family, golden text and score.  The records as they stand are the first records with each row's
-last live move laid over them, so a decision costs what it touches and not the
-run, and an undone decision is one whose moves no longer count: what stood
-before comes back exactly.  Decisions are taken by people, so the log is small
-and may be read by the driver; records and moves never are.
+decisions append.  A decision is one JSON file, ``events/<number>``, published
+whole and only if the number is free: it is the one after what the decision
+was taken on, so of two people who decide at once one is told to look again.
+For a split or a merge there are also the rows it moves, in a folder of their
+own, with their new family, golden text and score.  The records as they stand
+are the first records with each row's last live move laid over them, so a
+decision costs what it touches and not the run, and an undone decision is one
+whose moves no longer count: what stood before comes back exactly.
+
+After every ``FOLD`` decisions what stands is written as a base, beside the
+log so far.  Later reads begin with the newest base none of whose decisions
+was undone since, and read only what came after.  Bases are never needed:
+first records and moves stay, so ``as_of`` shows a run as it stood after any
+decision, and a crash while a base is written loses nothing.
+
+Decisions are taken by people, so the log is small and may be read by the
+driver; records and moves never are.  A crash leaves hidden files, or moves no
+decision names; neither counts.  A file of a number that can't be read (torn by
+a store that breaks its word) is no decision, and its number isn't given again.
 
 Families split or merged by hand are capped at ``review`` until approved.
 Undo takes back the last live decision only.
@@ -19,21 +30,23 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
 from . import similarity as S
+from .eventlog import Folder
 
-FORMAT = 1
+#: Decisions after which what stands is written as a base.
+FOLD = 64
+FORMAT = 2
 EVENT = "seq long, at timestamp, by string, verb string, family_no long, related_no long, affected long, summary string, reversible boolean, moves string"
 MOVE = "moves string, row_id long, family_no long, golden string, score double"
-UNDONE = "seq long, at timestamp, by string"
+UNDONE = "seq long, at timestamp, by string, after long"
 RECORD = ("row_id", "description", "text", "cpse", "code", "price", "uom", "label", "family_no", "golden", "score")
 
 
@@ -76,67 +89,110 @@ class Run:
 
     spark: SparkSession
     path: str
+    #: Show the run as it stood after this decision; None: now.
+    upto: int | None = None
 
     # -- storage
 
     @classmethod
     def save(cls, records: DataFrame, root: str, name: str | None = None, stats: dict | None = None) -> Run:
         """Write a run's records under ``root``, aside first, then under its name, which must be new."""
-        spark, name = records.sparkSession, name or uuid.uuid4().hex
-        run, aside = cls(spark, f"{root.rstrip('/')}/{name}"), cls(spark, f"{root.rstrip('/')}/.{name}-{uuid.uuid4().hex}")
+        spark, name, home = records.sparkSession, name or uuid.uuid4().hex, Folder(records.sparkSession, root)
+        aside = home.aside(name)
         full = records if "code" in records.columns else records.withColumn("code", F.lit(""))
-        full.select(*RECORD).write.parquet(f"{aside.path}/records")
-        manifest = {"format": FORMAT, "created": time.time(), "stats": stats or {}}
-        spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{aside.path}/manifest")
-        files, source = aside._folder("")
-        if files.exists(run._folder("")[1]) or not files.rename(source, run._folder("")[1]):
-            files.delete(source, True)
+        full.select(*RECORD).write.parquet(f"{home.path}/{aside}/records")
+        home.write(f"{aside}/manifest/run.json", {"format": FORMAT, "created": time.time(), "stats": stats or {}})
+        if not home.publish(aside, name):
             raise ReviewError(f"there is a run {name} already")
-        return run
-
-    def _folder(self, name: str):
-        """The Hadoop file system and path of a file of the run."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _put(self, name: str, row: dict) -> bool:
-        """Write one JSON file unless there is one of that name."""
-        files, path = self._folder(name)
-        try:
-            out = files.create(path, False)
-        except Py4JJavaError as problem:
-            if files.exists(path):
-                return False
-            raise problem
-        out.write(bytearray(json.dumps(row).encode()))
-        out.close()
-        return True
-
-    def _table(self, name: str, schema: str) -> DataFrame:
-        """What was appended; empty before the first time."""
-        files, folder = self._folder(name)
-        if not files.exists(folder):
+        return cls(spark, f"{home.path}/{name}")
+
+    @property
+    def _home(self) -> Folder:
+        return Folder(self.spark, self.path)
+
+    def as_of(self, seq: int) -> Run:
+        """The run as it stood before the decision after ``seq`` was taken; no decisions can be taken on it."""
+        return replace(self, upto=seq)
+
+    def _numbers(self) -> list[int]:
+        """The numbers of the decisions that are shown, whatever became of them."""
+        found = [int(n.split(".")[0]) for n in self._home.names("events")]
+        return found if self.upto is None else [n for n in found if n <= self.upto]
+
+    def _undone(self) -> list[int]:
+        """The numbers of the decisions that had been undone by then."""
+        names = self._home.names("undone")
+        if self.upto is not None and names:
+            rows = self._lines("undone", names, UNDONE).filter(F.coalesce("after", "seq") <= self.upto).select("seq")
+            return sorted(r[0] for r in rows.collect())
+        return [int(n.split(".")[0]) for n in names]
+
+    def _base(self, numbers: list[int], undone: list[int]) -> tuple[int, str | None]:
+        """The last decision and the name of the newest base that holds.
+
+        A base is named by its last decision and how many up to it had been
+        undone.  Undone ones never come back, so an equal count is the same set.
+        """
+        for name in reversed(self._home.names("bases")):
+            seq, count = map(int, name.split("-"))
+            if seq <= max(numbers, default=0) and count == sum(u <= seq for u in undone):
+                return seq, name
+        return 0, None
+
+    def _lines(self, folder: str, names: list[str], schema: str) -> DataFrame:
+        """The JSON lines of these files of a folder, without those that can't be read."""
+        if not names:
             return self.spark.createDataFrame([], schema)
-        read = self.spark.read.schema(schema)
-        return read.parquet(f"{self.path}/{name}") if name == "moves" else read.json(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).json([f"{self.path}/{folder}/{n}" for n in names]).filter("seq IS NOT NULL")
 
     # -- what stands
 
     def log(self) -> DataFrame:
         """Every decision ever taken, with what became of it."""
-        undone = self._table("undone", UNDONE).select("seq", F.col("at").alias("undone_at"), F.col("by").alias("undone_by"))
-        return self._table("events", EVENT).join(undone, "seq", "left").withColumn("undone", F.col("undone_at").isNotNull())
+        home, numbers = self._home, self._numbers()
+        told = [(int(n.split("-")[0]), n) for n in home.names("bases") if int(n.split("-")[0]) <= max(numbers, default=0)]
+        upto, name = max(told, default=(0, None))
+        events = self._lines("events", [_file(n) for n in numbers if n > upto], EVENT)
+        if name:  # whatever was undone since, the decisions themselves are what they were
+            events = self.spark.read.schema(EVENT).parquet(f"{self.path}/bases/{name}/log").unionByName(events)
+        undone = self._lines("undone", [_file(n) for n in self._undone()], UNDONE).select("seq", F.col("at").alias("undone_at"), F.col("by").alias("undone_by"))
+        return events.join(undone, "seq", "left").withColumn("undone", F.col("undone_at").isNotNull())
 
     def live(self) -> DataFrame:
         return self.log().filter("NOT undone")
 
     def records(self) -> DataFrame:
-        first = self.spark.read.parquet(f"{self.path}/records")
-        moves = self._table("moves", MOVE).join(self.live().select("seq", "moves"), "moves")
-        last = moves.groupBy("row_id").agg(F.max_by(F.struct("family_no", "golden", "score"), "seq").alias("m"))
+        numbers, undone = self._numbers(), self._undone()
+        since, base = self._base(numbers, undone)
+        first = self.spark.read.parquet(f"{self.path}/bases/{base}/records" if base else f"{self.path}/records")
+        later = [_file(n) for n in numbers if n > since and n not in set(undone)]
+        # FOLD decisions at most, unless some were undone since the last base.
+        named = self._lines("events", later, EVENT).filter("moves IS NOT NULL").select("seq", "moves").collect()
+        if not named:
+            return first.select(*RECORD)
+        moves = self.spark.read.schema(MOVE).parquet(*[f"{self.path}/moves/{r['moves']}" for r in named])
+        order = self.spark.createDataFrame(named, "seq long, moves string")
+        last = moves.join(F.broadcast(order), "moves").groupBy("row_id").agg(F.max_by(F.struct("family_no", "golden", "score"), "seq").alias("m"))
         columns = [F.coalesce(F.col(f"m.{c}"), F.col(c)).alias(c) if c in ("family_no", "golden", "score") else F.col(c) for c in RECORD]
         return first.join(last, "row_id", "left").select(*columns)
 
+    def fold(self) -> int:
+        """Write what stands now, and the log, as a base; the number of its last decision."""
+        if self.upto is not None:
+            raise ReviewError("a run of the past can't be changed")
+        home, numbers, undone = self._home, self._numbers(), self._undone()
+        seq = max(numbers, default=0)
+        name = f"bases/{seq:010d}-{sum(u <= seq for u in undone):010d}"
+        if seq and name.split("/")[1] not in home.names("bases"):
+            aside, then = home.aside(name), self.as_of(seq)
+            then.records().write.parquet(f"{self.path}/{aside}/records")
+            then.log().select(*[c.split()[0] for c in EVENT.split(", ")]).coalesce(1).write.parquet(f"{self.path}/{aside}/log")
+            if sum(u <= seq for u in self._undone()) == int(name[-10:]):  # else it is a base of what stands no more
+                home.publish(aside, name)
+            else:
+                home.delete(aside)
+        return seq
+
     def families(self) -> DataFrame:
         """family_no, golden, members, units, mean, lowest, status, approved, split_from of the families that stand."""
         core = self.records().groupBy("family_no", "golden").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("cpse").alias("units"), F.avg("score").alias("mean"), F.min("score").alias("lowest"))
@@ -189,20 +245,29 @@ class Run:
             raise ReviewError(f"family {number} is not in this run")
         return found
 
-    def _record(self, verb: str, number: int, related: int | None, affected: int, summary: str, by: str, moves: str | None = None) -> int:
-        seq = self._table("events", EVENT).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
+    def _head(self) -> int:
+        """The number that a decision is taken on: the last one there is."""
+        if self.upto is not None:
+            raise ReviewError("a run of the past can't be changed")
+        return max(self._numbers(), default=0)
+
+    def _record(self, head: int, verb: str, number: int, related: int | None, affected: int, summary: str, by: str, moves: str | None = None) -> int:
+        """Publish a decision taken on what stood after ``head``."""
+        seq = head + 1
         reversible = verb == "approve" or affected <= C.REVERSIBLE_ROWS
         event = {"seq": seq, "at": _now(), "by": clean_name(by), "verb": verb, "family_no": number, "related_no": related, "affected": affected, "summary": summary, "reversible": reversible, "moves": moves}
-        if not self._put(f"events/{seq:010d}.json", event):
+        if not self._home.put(f"events/{_file(seq)}", event):
             raise ReviewError("someone else decided at the same time; look again and repeat")
+        if seq % FOLD == 0:
+            self.fold()
         return seq
 
     def approve(self, number: int, by: str = "") -> int:
         """Accept a family as it is."""
-        family = self._one(number)
+        head, family = self._head(), self._one(number)
         if family["approved"]:
             raise ReviewError(f"family {number} is approved already")
-        return self._record("approve", number, None, family["members"], f"family {number} approved", by)
+        return self._record(head, "approve", number, None, family["members"], f"family {number} approved", by)
 
     def approve_plan(self, number: int) -> dict:
         """What approving a family would sign off: its figures, its first spellings and what speaks against it."""
@@ -231,7 +296,7 @@ class Run:
 
     def split(self, number: int, force: bool = False, by: str = "") -> int:
         """Give the records below the widest gap a family of their own, scored against its own golden text."""
-        plan = self.split_plan(number)
+        head, plan = self._head(), self.split_plan(number)
         if plan["weak"] and not force:
             raise ReviewError("the seam is weak; it takes force to cut there")
         records = self.records()
@@ -239,7 +304,7 @@ class Run:
         leaving = records.filter((F.col("family_no") == number) & (F.round(F.col("score") * 10000) <= plan["p"]))
         golden = leaving.agg(F.max_by("text", F.struct(F.char_length("text"), "score", -F.col("row_id")))).first()[0]
         moves = self._move(rescored(leaving, golden), new)
-        return self._record("split", number, new, plan["below"], f"{plan['below']} records split from family {number} into {new}", by, moves)
+        return self._record(head, "split", number, new, plan["below"], f"{plan['below']} records split from family {number} into {new}", by, moves)
 
     def merge_plan(self, left: int, right: int) -> dict:
         """The family that keeps its number (the larger, ties to the first named), the other, and the golden text of both."""
@@ -260,29 +325,35 @@ class Run:
 
     def merge(self, left: int, right: int, by: str = "") -> int:
         """Fold the smaller family into the larger and score all of it against the golden text of both."""
-        plan = self.merge_plan(left, right)
+        head, plan = self._head(), self.merge_plan(left, right)
         both = self.records().filter(F.col("family_no").isin(plan["keeps"], plan["absorbed"]))
         moves = self._move(rescored(both, plan["golden"]), plan["keeps"])
-        return self._record("merge", plan["keeps"], plan["absorbed"], plan["moved"], f"family {plan['absorbed']} merged into {plan['keeps']}", by, moves)
+        return self._record(head, "merge", plan["keeps"], plan["absorbed"], plan["moved"], f"family {plan['absorbed']} merged into {plan['keeps']}", by, moves)
 
     def _move(self, rows: DataFrame, number: int) -> str:
         """Append moves before the decision that names them: moves that no live decision names count for nothing."""
         name = uuid.uuid4().hex
-        rows.select(F.lit(name).alias("moves"), "row_id", F.lit(number).cast("long").alias("family_no"), "golden", "score").write.mode("append").parquet(f"{self.path}/moves")
+        rows.select(F.lit(name).alias("moves"), "row_id", F.lit(number).cast("long").alias("family_no"), "golden", "score").write.parquet(f"{self.path}/moves/{name}")
         return name
 
     def undo(self, by: str = "") -> int:
         """Take back the last live decision; it stays in the log, marked."""
-        last = self.live().orderBy(F.desc("seq")).first()
+        head, last = self._head(), self.live().orderBy(F.desc("seq")).first()
         if last is None:
             raise ReviewError("nothing to undo")
         if not last["reversible"]:
             raise ReviewError(f"decision {last['seq']} is too large to undo")
-        if not self._put(f"undone/{last['seq']:010d}.json", {"seq": last["seq"], "at": _now(), "by": clean_name(by)}):
+        if self._head() != head:
+            raise ReviewError("someone else decided at the same time; look again and repeat")
+        if not self._home.put(f"undone/{_file(last['seq'])}", {"seq": last["seq"], "at": _now(), "by": clean_name(by), "after": head}):
             raise ReviewError("someone else has taken it back")
         return last["seq"]
 
 
+def _file(seq: int) -> str:
+    return f"{seq:010d}.json"
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="microseconds")
 
@@ -324,24 +395,35 @@ def weak(lower: Column, upper: Column) -> Column:
 
 
 def saved_runs(spark: SparkSession, root: str) -> DataFrame:
-    """run, created of the readable runs under a folder, newest first; runs of another format or without a manifest are left out."""
-    lines = spark.read.text(f"{root.rstrip('/')}/*/manifest").select(F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest/", 1).alias("run"), F.from_json("value", "format int, created double").alias("m"))
-    return lines.filter(F.col("m.format") == FORMAT).select("run", F.col("m.created").cast("timestamp").alias("created")).orderBy(F.desc("created"), "run")
+    """run, created, decisions (live ones) of the readable runs under a folder, newest first.
+
+    Runs of another format, without a manifest or half saved are left out; no folder has no runs.
+    """
+    home = Folder(spark, root)
+    named = [n for n in home.names() if home.names(f"{n}/manifest")]  # names only, one for each saved run
+    if not named:
+        return spark.createDataFrame([], "run string, created timestamp, decisions long")
+    counts = spark.createDataFrame([(n, len(home.names(f"{n}/events")) - len(home.names(f"{n}/undone"))) for n in named], "run string, decisions long")
+    lines = spark.read.text([f"{home.path}/{n}/manifest" for n in named]).select(F.regexp_extract(F.input_file_name(), r"([^/]+)/manifest/", 1).alias("run"), F.from_json("value", "format int, created double").alias("m"))
+    known = lines.filter(F.col("m.format") == FORMAT).select("run", F.col("m.created").cast("timestamp").alias("created"))
+    return known.join(counts, "run").orderBy(F.desc("created"), "run")
 
 
 def usage(spark: SparkSession, root: str, keep: int = C.KEEP_RUNS) -> dict:
-    """Runs and bytes under a folder; none if there is no such folder."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return {"enabled": False, "runs": 0, "bytes": 0, "path": root, "keep": keep}
-    return {"enabled": True, "runs": sum(not s.getPath().getName().startswith(".") for s in files.listStatus(folder)), "bytes": files.getContentSummary(folder).getLength(), "path": root, "keep": keep}
+    """Runs and bytes under a folder, and what is amiss there; none if there is no such folder."""
+    home = Folder(spark, root)
+    files = home.files()
+    if not files.exists(home.at()):
+        return {"enabled": False, "runs": 0, "bytes": 0, "path": root, "keep": keep, "warnings": ["runs aren't kept: there is no folder for them"]}
+    named, half = home.names(), [s.getPath().getName() for s in files.listStatus(home.at()) if s.getPath().getName().startswith(".")]
+    readable = {r["run"] for r in saved_runs(spark, root).select("run").collect()}  # one row for each saved run
+    amiss = [f"{n} can't be read as a run" for n in named if n not in readable] + [f"{n} was never finished" for n in sorted(half)]
+    return {"enabled": True, "runs": len(readable), "bytes": files.getContentSummary(home.at()).getLength(), "path": root, "keep": keep, "warnings": amiss}
 
 
 def forget(spark: SparkSession, root: str, keep: int = C.KEEP_RUNS) -> list[str]:
     """Delete all but the newest ``keep`` runs; the names of those that went."""
     old = [r["run"] for r in saved_runs(spark, root).offset(keep).collect()]  # one row for each saved run
     for name in old:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        Folder(spark, root).delete(name)
     return old

@@ -5,7 +5,7 @@ numbers as written.  Each runs in time linear in the text.
 
 A transducer then rewrites the parts of a text that look disguised: look-alike
 letters and digits of other alphabets and widths, invisible characters,
-spelled digits ("plus one 8 three"), dots and dashes in disguise between
+spelled digits and numbers ("plus one 8 three", "one hundred twenty seven"), dots and dashes in disguise between
 numerals ("192 dot 168", "10[.]0"), and "(at)", "[dot]", "at ... dot"
 disguises.  Hints spare a text the rewriting; they pass all that it accepts,
 and the detectors' length, range and Luhn checks decide.  Each rewritten piece keeps the span it came from.  The detectors
@@ -112,6 +112,19 @@ DIGITS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 AT, DOT = ("at", "arroba", "arobase", "ät"), ("dot", "punkt", "punto", "point")
+# English numbers above nine.
+TEENS = ("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+# Words before a bare "at", and after it, that make it a word of the sentence.
+BEFORE_AT = (
+    "look", "looks", "looking", "looked", "meet", "meets", "meeting", "met", "arrive", "arrives", "arrived", "work", "works", "worked", "working", "start", "starts", "started", "end", "ends", "ended",
+    "stay", "stays", "stayed", "live", "lives", "lived", "stop", "stops", "stopped", "is", "are", "was", "were", "be", "been", "am", "it", "me", "us", "him", "her", "them", "and", "or", "not", "but", "here", "there", "up", "down", "back", "out",
+    "good", "better", "best", "bad", "aim", "aimed", "sit", "sat", "stand", "stood", "shop", "buy", "bought", "sold", "find", "found", "see", "seen", "saw", "laugh", "laughed", "point", "pointed", "only", "now", "while",
+)
+AFTER_AT = (
+    "this", "that", "these", "those", "the", "a", "an", "my", "your", "his", "her", "its", "our", "their", "noon", "midnight", "night", "dawn", "dusk", "home", "work", "school", "once", "least", "most", "first", "last", "all", "any", "some",
+    "every", "each", "no", "one", "what", "which", "whatever", "times", "best", "worst", "present", "large", "hand", "it", "me", "you", "us", "them", "him",
+)
 # Letters written for a digit beside digits, in lower case.
 LETTER_DIGITS = str.maketrans("oli", "011")
 
@@ -131,29 +144,35 @@ def _plain(char: str) -> str:
     return char
 
 
-_WORD = "|".join(sorted(DIGITS, key=len, reverse=True))
+_ONES = "|".join(w for w, d in list(DIGITS.items())[:11] if d != "0")
+_TEENS, _TENS = "|".join(TEENS), "|".join(TENS)
+#: "one hundred and twenty seven", "twenty-seven", "twelve".
+_LARGE = rf"(?:(?:{_ONES})[ -]hundred(?:[ -](?:and[ -])?(?:(?:{_TENS})(?:[ -](?:{_ONES}))?|{_TEENS}|{_ONES}))?|(?:{_TENS})(?:[ -](?:{_ONES}))?|{_TEENS})"
+_WORD = f"{_LARGE}(?![a-z])|" + "|".join(sorted(DIGITS, key=len, reverse=True))
+#: Before a run that begins with a word: that word belongs to a larger number, which is not read.
+_LARGER = re.compile(r"(?<!\w)(?:hundred|thousand|million|hundert|tausend|mille|cent|mil)[ -](?:and[ -])?\Z", re.I)
 _AT, _DOT = "|".join(AT), "|".join(DOT)
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 _B, _E = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
-_ANY_AT = rf"(?:{_B}(?:{_AT}|@){_E}|[ ]{{1,2}}(?:{_AT})[ ]{{1,2}}|[ ]{{1,2}}@[ ]{{1,2}}|[_-](?:{_AT})[_-]|@)"
-_ANY_DOT = rf"(?:{_B}(?:{_DOT}|\.){_E}|[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|[_-](?:{_DOT})[_-]|\.)"
-#: An address in disguise.  The part before the at sign, the domain's labels, and a last label of letters.
-MAIL = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<user>[A-Za-z0-9_%+-]{{1,64}}(?:{_ANY_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}?)(?P<at>{_ANY_AT})"
-    rf"(?P<host>{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}{_ANY_DOT}(?:[A-Za-z]{{2,24}}))(?![A-Za-z0-9])",
-    re.I,
-)
+_CODED_AT, _CODED_DOT = r"&(?:#0{0,4}64|#x0{0,4}40|commat);|%40", r"&(?:#0{0,4}46|#x0{0,4}2e|period);"
+_ANY_AT = rf"(?:{_B}(?:{_AT}|@){_E}|[(\[{{<]a[)\]}}>]|{_CODED_AT}|[ ]{{1,2}}(?:{_AT})[ ]{{1,2}}|[ ]{{1,2}}@[ ]{{1,2}}|[_-](?:{_AT})[_-]|@)"
+_ANY_DOT = rf"(?:{_B}(?:{_DOT}|\.){_E}|{_CODED_DOT}|[ ]{{1,2}}(?:{_DOT})[ ]{{1,2}}|[_-](?:{_DOT})[_-]|\.)"
+_SIGNED = rf"[_-](?:{_AT}|{_DOT})[_-]|%40"
+_PART, _LABEL = rf"(?!(?:{_AT}|{_DOT})(?![A-Za-z0-9_%+-]))(?:(?!{_SIGNED})[A-Za-z0-9_%+-])++", rf"[A-Za-z0-9](?:(?!{_SIGNED})[A-Za-z0-9-])*+"
+#: Words with dots of any form between them: what may stand before an at sign, and after it.  Any number of them, and
+#: nothing is given back, so that time stays linear.
+USER, HOST = re.compile(rf"{_PART}(?:{_ANY_DOT}{_PART})*+", re.I), re.compile(rf"{_LABEL}(?:{_ANY_DOT}{_LABEL})*+", re.I)
+_TOP = re.compile(r"[A-Za-z]{2,24}\Z")
 #: What any disguise of MAIL holds; for lower-cased text, like RUN_HINTS.
 MAIL_HINTS = (
-    re.compile(rf"[(\[{{<] {{0,2}}(?:{_AT}|@|{_DOT}|\.) {{0,2}}[)\]}}>]"),
+    re.compile(rf"[(\[{{<] {{0,2}}(?:{_AT}|a|@|{_DOT}|\.) {{0,2}}[)\]}}>]"),
     re.compile(rf" (?:{'|'.join(AT[1:])}|{_DOT}|@) "),
-    re.compile(rf"[_-](?:{_AT}|{_DOT})[_-]"),
+    re.compile(rf"[_-](?:{_AT}|{_DOT})[_-]|{_CODED_AT}|{_CODED_DOT}"),
 )
 _AT_SIGN, _DOT_SIGN = re.compile(_ANY_AT, re.I), re.compile(_ANY_DOT, re.I)
-_HIDDEN_AT = re.compile(rf"[(\[{{<]|(?:{'|'.join(AT[1:])})| @ ", re.I)
-_HIDDEN_DOT = re.compile(rf"[(\[{{<]|[ _-](?:{_DOT})[ _-]", re.I)
+_HIDDEN_AT = re.compile(rf"[(\[{{<&%]|(?:{'|'.join(AT[1:])})| @ ", re.I)
+_HIDDEN_DOT = re.compile(rf"[(\[{{<&]|[ _-](?:{_DOT})[ _-]", re.I)
 #: Dots that no sentence holds; the other words for a dot are words of a language too.
-_SURE_DOT = re.compile(rf"[(\[{{<]|[ _-]{DOT[0]}[ _-]", re.I)
+_SURE_DOT = re.compile(rf"[(\[{{<&]|[ _-]{DOT[0]}[ _-]", re.I)
 #: A run of digits of which some, or dots and dashes between them, may be words or in brackets.
 #: What separates two numbers is matched in one way only, so that time stays linear.
 _GAP = r"(?:[ ]?[()][ ]?|[ ,.-]{1,2})"
@@ -223,7 +242,9 @@ def unmask_digits(text: str, joined: bool = False) -> list[Piece]:
     plus = "+" in text or "plus " in text.lower()
     for m in RUN.finditer(text):
         numbers = _VALUE.findall(m.group())
-        if not plus and len(numbers) < _NUMBERS and sum(1 if n.lower() in DIGITS else len(n) for n in numbers) < _DIGITS:
+        if not plus and len(numbers) < _NUMBERS and sum(len(_said(n) or n) for n in numbers) < _DIGITS:
+            continue
+        if m.group()[0].isalpha() and _LARGER.search(text, max(0, m.start() - 16), m.start()):
             continue
         parts = [(p.group(), m.start() + p.start(), m.start() + p.end()) for p in _RUN_PART.finditer(m.group())]
         said = [_said(part) for part, _, _ in parts]
@@ -259,6 +280,8 @@ def _said(part: str) -> str | None:
     low = part.lower().strip(" ()[]{}<>")
     if low in DIGITS:
         return DIGITS[low]
+    if low[:1].isalpha() and (large := _large(low)):
+        return large
     if low[:1] in _MIX and not low.isdigit() and low.strip("0123456789oli") == "":
         return low.translate(LETTER_DIGITS)
     if low in DOT or low == "." and part != "." and part[0] in " ([{<":
@@ -266,6 +289,24 @@ def _said(part: str) -> str | None:
     return "-" if low == "dash" or low == "-" and part[0] in " ([{<" else None
 
 
+@lru_cache(maxsize=4096)
+def _large(said: str) -> str | None:
+    """The digits of an English number of ten and more, or None."""
+    if not re.fullmatch(_LARGE, said):
+        return None
+    total = 0
+    for word in re.split("[ -]", said):
+        if word == "hundred":
+            total *= 100
+        elif word in TENS:
+            total += 10 * (TENS.index(word) + 2)
+        elif word in TEENS:
+            total += TEENS.index(word) + 10
+        elif word != "and":
+            total += int(DIGITS[word])
+    return str(total)
+
+
 def _next(parts: list[Piece], k: int) -> int | None:
     """The first part after ``k`` that is a number or a sign, if only gaps come before it."""
     for i in range(k + 1, len(parts)):
@@ -275,31 +316,59 @@ def _next(parts: list[Piece], k: int) -> int | None:
     return None
 
 
+def _disguised(user: str, at: str, host: str) -> bool:
+    """Whether an address is written so that it must be meant as one, and not plainly."""
+    if at == "@":
+        return bool(_HIDDEN_DOT.search(host) or _SURE_DOT.search(user))
+    if at.strip(" _-").lower() != AT[0]:
+        return bool(_HIDDEN_AT.search(at))
+    if at.strip(" ") == "AT" and user != user.upper() and host != host.upper():
+        return True
+    if not _SURE_DOT.search(host) and len(_HIDDEN_DOT.findall(host)) < 2:
+        return False
+    # A word that any sentence may hold.
+    return at[0] != " " or user.lower() not in BEFORE_AT and _DOT_SIGN.split(host, maxsplit=1)[0].lower() not in AFTER_AT
+
+
+def _addresses(text: str):
+    """The spans (user, at, host) of addresses, disguised or not."""
+    since = 0
+    while user := USER.search(text, since):
+        start, since = user.start(), user.end()
+        at = _AT_SIGN.match(text, since)
+        host = at and HOST.match(text, at.end())
+        if not host:
+            continue
+        if start and text[start - 1] in _LOCAL_CHARS:  # it begins inside something else, but may have parts that don't
+            start = next((d.end() for d in _DOT_SIGN.finditer(text, start, since) if text[d.end() - 1] not in _LOCAL_CHARS), None)
+            if start is None:
+                continue
+        # The labels up to the last that can end a domain.
+        ends = [(d.start(), d.end()) for d in _DOT_SIGN.finditer(text, host.start(), host.end())]
+        starts, stops = [host.start(), *(e for _, e in ends)], [*(e for e, _ in ends), host.end()]
+        last = next((k for k in range(len(starts) - 1, 0, -1) if _TOP.match(text[starts[k] : stops[k]])), None)
+        if last and all(text[e - 1] != "-" for e in stops[: last + 1]):
+            since = stops[last]
+            yield (start, user.end()), at.span(), (host.start(), stops[last])
+
+
 def unmask_signs(text: str) -> list[Piece]:
-    """At and dot disguises; a bare "at" counts only beside a dot in brackets, the word "dot", or two other words for it."""
+    """At and dot disguises; a bare "at" counts only in capitals, beside the word "dot", a dot in brackets, or two other words for it, and not where a sentence would have it."""
     pieces, since = [], 0
-    for m in MAIL.finditer(text):
-        at, user, host = m.group("at"), m.group("user"), m.group("host")
-        if at == "@":
-            hidden = _HIDDEN_DOT.search(host) or _SURE_DOT.search(user)
-        elif at.strip(" _-").lower() == AT[0]:  # a word that any sentence may hold
-            hidden = _SURE_DOT.search(host) or len(_HIDDEN_DOT.findall(host)) > 1
-        else:
-            hidden = _HIDDEN_AT.search(at)
-        if not hidden:
+    for user, at, host in _addresses(text):
+        if not _disguised(text[slice(*user)], text[slice(*at)], text[slice(*host)]):
             continue
-        pieces.append((text[since : m.start()], since, m.start()))
-        for name in ("user", "at", "host"):
-            a, part = m.start(name), m.group(name)
-            if name == "at":
-                pieces.append(("@", a, a + len(part)))
+        pieces.append((text[since : user[0]], since, user[0]))
+        for (a, b), sign in ((user, None), (at, "@"), (host, None)):
+            if sign:
+                pieces.append((sign, a, b))
                 continue
-            here = 0
-            for d in _DOT_SIGN.finditer(part):
-                pieces += [(part[here : d.start()], a + here, a + d.start()), (".", a + d.start(), a + d.end())]
+            here = a
+            for d in _DOT_SIGN.finditer(text, a, b):
+                pieces += [(text[here : d.start()], here, d.start()), (".", d.start(), d.end())]
                 here = d.end()
-            pieces.append((part[here:], a + here, a + len(part)))
-        since = m.end()
+            pieces.append((text[here:b], here, b))
+        since = host[1]
     return [*pieces, (text[since:], since, len(text))]
 
 
@@ -308,7 +377,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     odd = set() if text.isascii() else {c for c in set(text) if c > "\x7f" and _plain(c) != c}
     now = unmask_letters(text, odd) if odd else Rewritten([(text, 0, len(text))])
     low = " " + now.text.lower()
-    runs, signs = any(h.search(low) for h in RUN_HINTS), any(h.search(low) for h in MAIL_HINTS)
+    runs, signs = any(h.search(low) for h in RUN_HINTS), " AT " in now.text or any(h.search(low) for h in MAIL_HINTS)
     if not odd and not runs and not signs:
         return []
     readings = [now]

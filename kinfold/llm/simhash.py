@@ -38,6 +38,8 @@ from .components import components
 SHINGLE, SEED, DISTANCE, BLOCKS = 3, 42, 3, 5
 #: Fingerprints of a group that one task compares.
 LIMIT = 512
+#: Keys of rows (about 16 bytes each) that are broadcast at most.
+MARKED = 300_000
 
 
 def fingerprint(text: str) -> int:
@@ -148,11 +150,26 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all its columns."""
-    key, turn = "__kinfold_key", "__kinfold_turn"
-    found = classes(docs, distance, blocks)
-    first = found.groupBy("root").agg(F.min_by("row_key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias(key)).select(key).distinct()
-    kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(first, key, "left_semi")
+    """One document of each class, the one with the smallest doc_id, with all its columns.
+
+    Which rows go is decided by their keys.  Up to MARKED keys of rows that go, or
+    that stand several times, are broadcast, counted first, and no text is
+    shuffled but those of rows that stand several times; beyond, the join shuffles.
+    """
+    key, turn, gone = "__kinfold_key", "__kinfold_turn", "__kinfold_gone"
+    found = settle(classes(docs, distance, blocks).select("doc_id", "row_key", "root"), "classes")
+    first = found.groupBy("root").agg(F.min_by("row_key", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "row_key")).alias("row_key")).select("row_key", F.lit(False).alias("gone"))
+    keys = found.groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).join(first.distinct(), "row_key", "left")
+    marked = keys.select(F.col("row_key").alias(key), F.coalesce("gone", F.lit(True)).alias(gone), "n").filter(F.col(gone) | (F.col("n") > 1)).drop("n")
+    marked = settle(marked, "marked")
+    some = marked.groupBy(gone).agg(F.count(F.lit(1)).alias("n")).collect()  # two rows at most
+    few = F.broadcast(marked) if sum(r["n"] for r in some) <= MARKED else marked
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(few, key, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = rows.filter(F.col(gone).isNull()).select(*columns)
+    if all(r[gone] for r in some):
+        return once
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit(0)
-    return kept.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    several = rows.filter(~F.col(gone)).withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy(order))).filter(F.col(turn) == 1)
+    return once.unionByName(several.select(*columns))

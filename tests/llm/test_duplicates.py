@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -83,6 +84,19 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0 and simhash.classes(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("marked", [0, 300_000])
+def test_keep_one_with_repeated_rows_and_either_join(spark, monkeypatch, marked):
+    monkeypatch.setattr(simhash, "MARKED", marked)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    text = lambda k: " ".join(words[(k * j + j * j) % 10] + str(k * j % 7) for j in range(1, 30))
+    rows = [(i, text(i % 12), "b") for i in range(40)] + [(3, text(3), "a")] * 3 + [(None, text(30), "c")] * 2 + [(50, None, "d"), (51, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = {r["row_key"]: r["root"] for r in simhash.classes(docs).collect()}
+    got = sorted(map(str, simhash.keep_one(docs).collect()))
+    assert len(got) == len(set(found.values())) and sum("lang='a'" in g for g in got) == 1
+    assert not any("doc_id=51" in g or "doc_id=20" in g for g in got) and sum("doc_id=None" in g for g in got) == 1
+
+
 def test_keep_one_keeps_one_row_of_each_class(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     n = simhash.classes(docs).agg(F.countDistinct("component_id")).first()[0]

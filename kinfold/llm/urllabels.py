@@ -1,8 +1,10 @@
 """The small labelled URL table that trains the default URL model: 1 marks URLs to block.
 
-Hosts are given in lists; the URLs of a host come from a rule that deals out
-prefixes, paths and page numbers in turn.  None of the hosts is in a table
-that the model judges in the tests.
+Hosts are listed by what they are; the URLs of a host come from a rule that
+deals out prefixes, paths and page numbers in turn.  Known hosts are learned as
+such; the others are there for what names of their kind look like.  Allowed
+hosts that look like blocked ones stand beside them.  None of the hosts is in a
+table that the model judges in the tests.
 """
 
 from __future__ import annotations
@@ -23,17 +25,51 @@ citylibrary.org gardenclub.net hikingtrails.info mathnotes.net cookingbook.net r
 bakery-street.com woodworking-tips.net villagetheatre.org historyofscience.net photography-guide.com bicycle-repair.org family-doctor.net farmersmarket.org
 """.split()
 
-# Words of unwanted hosts by theme; a host joins two words of one theme.
-BLOCK_WORDS = {
-    "gambling": "casino poker slots jackpot roulette bets betting gamble lucky spin bonus vegas blackjack".split(),
-    "pharmacy": "pills viagra cialis pharmacy meds cheap rx noprescription tramadol discount".split(),
-    "adult": "adult xxx porn sex cams nude escort hot milf webcam".split(),
-    "money": "payday loans fastcash instant credit getrich easymoney forex bitcoin doubler".split(),
-    "advertising": "ads track clicks popup banner adserver traffic affiliate redirect pixel".split(),
-    "spam": "spam link farm seo backlinks bulk followers cheaplikes links buyfollowers".split(),
-    "fraud": "free prize winner giftcard claim iphone reward survey verify-account login-secure".split(),
-    "piracy": "warez crack keygen torrents nulled serial hacked apk-mod".split(),
-    "fakes": "replica watches fakebags designer outlet knockoff rolex handbags".split(),
+# Allowed hosts whose names hold what blocked ones do, or that end like them.
+LOOKALIKE_HOSTS = """
+linkedin.com bitcoin.org cracked.com sussex.ac.uk essex.gov.uk middlesex.edu specialist.org socialism.org freebsd.org freecodecamp.org alphabet.xyz bethesda.net betterhealth.info
+pharmacy.ohio.edu cockburn.wa.gov.au crackle.com hackaday.com hackerrank.com clickhouse.com trackandfield.org adsabs.harvard.edu poke.network slotcar.info linkeddata.net seoul.go.kr farmjournal.top
+winnipeg.co freepress.net prizewinner-nobel.org watchmaker.online replicationindex.biz giftedchildren.info casinolibrary.edu loansofart.org spamhaus.org pillsbury.com rewardsofreading.ru cambridge.xyz
+github.com github.io gitbook.io wikihow.com wikimedia.org nytimes.com theatlantic.com newyorker.com bloomberg.com cnn.com forbes.com wired.com theverge.com arstechnica.com scientificamerican.com
+blogger.com blogspot.com livejournal.com typepad.com thoughtco.com instructables.com hobbyking.net thirdway.org thehindu.com thetimes.co.uk theonion.com thrive.org therapist.net thesaurus.com
+nationalgeographic.com smithsonianmag.com history.com biography.com pbs.org sesamestreet.org nobelprize.org oecd.org imf.org worldbank.org wto.org icrc.org
+lego.com nike.com adidas.de sony.co.jp nintendo.com samsung.com apple.com microsoft.com google.com oracle.com intel.com adobe.com cisco.com
+tions.org motion.net station.info nation.co.ke action.org stationery.biz tension.net thin.ru others.top together.xyz thread.online
+""".split()
+
+# Hosts to block, by theme.
+BLOCK_HOSTS = {
+    "adult": """
+pornhub.com xvideos.com xnxx.com xhamster.com redtube.com youporn.com tube8.com spankbang.com onlyfans.com chaturbate.com stripchat.com bongacams.com livejasmin.com cam4.com brazzers.com
+adultfriendfinder.com eporner.com beeg.com nhentai.net hotmilfs.info nudegirls.top sexcamlive.net escortcity.biz xxxmovies.ru
+freepornclips.com sexytube.net hotgirlscams.info xxxvideos.org adultdating.biz nudecams.ru pornstars.top milfhunter.co livesex.online escortsnearme.xyz hentaisex.com eroticmassage.net""",
+    "gambling": """
+bet365.com williamhill.com pokerstars.com 888casino.com ladbrokes.com betfair.com bwin.com unibet.com draftkings.com fanduel.com bovada.lv 1xbet.com leovegas.com partypoker.com betway.com jackpotcity.com
+slotomania.com luckyspins.net freebetsdaily.info casinobonus.top winbigroulette.org blackjackpro.xyz
+pokeronline.net freebets.org bestcasinos.info slotsjackpot.com betonsports.biz onlinebetting.co roulettewheel.top casinowin.ru freespins.xyz sportsbetting.online vegaspalms.com bingobonus.net""",
+    "piracy": """
+thepiratebay.org 1337x.to rarbg.to kickass.to torrentz2.eu yts.mx eztv.re limetorrents.info rutracker.org fmovies.to putlocker.com 123movies.to rapidgator.net skidrowreloaded.com nulled.to
+keygenninja.com warezplanet.net crackedsoftware.org serialkeys.biz moddedapk.top
+torrentsearch.com freewarez.info crackz.org keygenguru.biz downloadcracks.ru piratemovies.top apkhacked.xyz nulledscripts.co fullserials.net rippedgames.online freetorrents.org crackserialkey.com""",
+    "advertising": """
+doubleclick.net taboola.com outbrain.com adnxs.com criteo.com popads.net propellerads.com exoclick.com adroll.com rubiconproject.com pubmatic.com zedo.com revcontent.com mgid.com adsterra.com
+trafficjunky.net clicktracker.biz bannerexchange.info popupserver.org affiliatepixel.online
+adserver.com ads-network.net clickads.info adtrack.biz trackclicks.org popunder.top bannerads.ru adtraffic.xyz clickredirect.co pixeltrack.online adclick.net trackingpixel.com""",
+    "pharmacy": """
+canadianpharmacyworld.com buyviagra.org cialisonline.net cheapmeds.info pillstore.biz cheap-pills.co noprescriptionrx.top tramadolfast.ru discountpharma.xyz genericdrugs24.com onlinerx.org viagra-shop.net
+cheappills.net buycheapviagra.com onlinepharmacy.biz viagrapills.info cialisdiscount.ru pharmacydirect.top medsonline.xyz rxpills.co painpills.online cheaprx.org""",
+    "money": """
+paydayloans.com instantcash.net fastloan.info quickcredit.biz getrichfast.org easymoney.top bitcoindoubler.ru forexprofits.xyz speedycash.com badcreditloans.online doubleyourmoney.net cashadvance24.co
+paydayloan.net fastcashloans.com easyloans.info instantloans.biz creditfix.ru makemoneyfast.org forextrading.top bitcoincash-doubler.xyz quickpayday.co moneyloans.online""",
+    "fraud": """
+free-iphone.info claimyourprize.com giftcardwinner.net verify-account.org login-secure.co survey-reward.biz luckywinner.top freeprizes.ru account-update.online win-rewards.xyz paypal-verify.info prizealert.net
+freeiphone.com winfreeprizes.net claimreward.info giftcardsfree.biz prizeclaim.org login-verify.ru securelogin-update.top freesurvey-rewards.co verifylogin.xyz iphonewinner.online""",
+    "spam": """
+linkfarm.net spam-links.org bulkfollowers.com buybacklinks.info seo-traffic.biz cheaplikes.top buyfollowers.co massmailer.ru articlespinner.net spamfarm.xyz instalikes.online backlinkfactory.org
+spamlinks.com link-farm.info spamblast.biz seolinks.net buylikes.org linkspam.ru bulkemails.top followerboost.xyz linkbuilding-farm.co cheapfollowers.online""",
+    "fakes": """
+replicawatches.com fakerolex.net designeroutlet.ru replica-handbags.org cheapgucci.top knockoffbags.info fakebrands.biz louisvuittonoutlet.co superreplica.xyz swissreplica.net
+replicabags.com fakewatches.info rolexreplica.biz cheapdesigner.net outletbags.org fakehandbags.top replicashoes.ru designerreplica.xyz watchreplica.co discountrolex.online""",
 }
 ALLOW_PATHS = ["/", "/news/2021/05/story", "/about", "/wiki/River", "/articles/science", "/en/research", "/docs/tutorial", "/products/12345", "/books/chapter-2", "/fr/actualites", "/de/kultur", "/es/historia", "/blog/how-to-bake-bread", "/sports/results", ""]
 BLOCK_PATHS = {
@@ -47,32 +83,27 @@ BLOCK_PATHS = {
     "piracy": ["/keygen/download", "/crack", "/torrents"],
     "fakes": ["/replica-watches", "/outlet", "/cheap-rolex"],
 }
+#: URLs of each host.
+URLS = 6
 _PREFIXES = ["www.", "", "m.", "blog.", "en.", ""]
-_ENDINGS = ["com", "net", "info", "org", "biz", "xyz", "top", "online", "co", "ru"]
 #: Neutral paths, found on hosts of either label.
 _PLAIN_PATHS = ["", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/index.html", "/page/{n}"]
 
 
 def block_hosts() -> list[tuple[str, str]]:
-    """(theme, host) for neighbouring words of each theme, joined with and without a hyphen."""
-    out = []
-    for theme, words in BLOCK_WORDS.items():
-        for i, word in enumerate(words):
-            for step in (1, 2, 5):
-                other = words[(i + step) % len(words)]
-                out.append((theme, f"{word}{'-' if (i + step) % 2 else ''}{other}.{_ENDINGS[(3 * i + step) % len(_ENDINGS)]}"))
-    return out
+    """(theme, host) of the hosts to block."""
+    return [(theme, host) for theme, hosts in BLOCK_HOSTS.items() for host in hosts.split()]
 
 
 def labelled() -> list[tuple[str, int]]:
-    """The table (url, label): three URLs of each host, some paths that tell and some that don't, and URLs without a host."""
+    """The table (url, label): URLS of each host, some paths that tell and some that don't, and URLs without a host."""
     rows = [("", 0), ("no scheme", 0), ("http:///", 0)]
-    for i, host in enumerate(ALLOW_HOSTS):
-        for j in range(3):
+    for i, host in enumerate([*ALLOW_HOSTS, *LOOKALIKE_HOSTS]):
+        for j in range(URLS):
             path = ALLOW_PATHS[(i + 5 * j) % len(ALLOW_PATHS)] if j % 2 else _PLAIN_PATHS[(i + 3 * j) % len(_PLAIN_PATHS)]
             rows.append((f"https://{_PREFIXES[(i + j) % len(_PREFIXES)]}{host}{path.format(n=101 + 37 * i + j)}", 0))
     for i, (theme, host) in enumerate(block_hosts()):
-        for j in range(3):
+        for j in range(URLS):
             path = BLOCK_PATHS[theme][(i + j) % 3] if j % 2 else _PLAIN_PATHS[(i + 3 * j) % len(_PLAIN_PATHS)]
             rows.append((f"http://{_PREFIXES[(i + j) % len(_PREFIXES)]}{host}{path.format(n=103 + 41 * i + j)}", 1))
     return rows

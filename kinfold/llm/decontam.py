@@ -35,6 +35,8 @@ from .common import ascii_lower, settle
 WINDOW, ANCHORS = 13, 3
 #: Rows of fixed-size keys (about 32 bytes each) that are broadcast at most.
 BROADCAST_ROWS = 300_000
+#: Folders of a stored index (a power of two).
+SLOTS = 1024
 #: Fixed value: what separates words after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -70,14 +72,26 @@ def token_postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame
     return postings if terms is None else postings.join(terms, "term", "left_semi")
 
 
+def _slot(term: Column) -> Column:
+    """The folder that a term's postings are in: SLOTS ranges of the terms' hashes."""
+    return F.shiftrightunsigned(term, 64 - SLOTS.bit_length() + 1).cast("int")
+
+
 def write_index(docs: DataFrame, folder: str) -> None:
-    """Store the postings of all tokens, in order of their terms, so that reading some terms skips the rest."""
-    order = ["term", "key", "pos"]  # a term with very many postings is cut between documents
-    token_postings(docs).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(folder)
+    """Store the postings of all tokens in SLOTS folders by ranges of terms, each in the order of terms."""
+    order = ["slot", "term", "key", "pos"]  # a term with very many postings is cut between documents
+    postings = token_postings(docs).withColumn("slot", _slot(F.col("term")))
+    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("slot").parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("term long, key long, pos int").parquet(folder)
+    return spark.read.schema("term long, key long, pos int, slot int").parquet(folder)
+
+
+def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The stored postings of ``terms``; only the folders that hold one of them are read."""
+    slots = [r[0] for r in terms.select(_slot(F.col("term"))).distinct().collect()]  # SLOTS rows at most
+    return index.filter(F.col("slot").isin(slots)).join(terms, "term", "left_semi").select("term", "key", "pos")
 
 
 def term_counts(postings: DataFrame) -> DataFrame:
@@ -116,7 +130,7 @@ def intersect(postings: DataFrame, anchors_of: DataFrame, slop: int = 0, anchors
 
 def candidates(docs: DataFrame, wins: DataFrame, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
     """key, wid, start of the windows that the index (a stored one, or one made here) finds in the documents."""
-    some = lambda terms: token_postings(docs, terms) if index is None else index.join(terms, "term", "left_semi")
+    some = lambda terms: token_postings(docs, terms) if index is None else postings_of(index, terms)
     vocabulary = settle(wins.select(F.explode("terms").alias("term")).distinct(), "vocabulary")
     counts = settle(term_counts(some(_small(vocabulary))), "term-counts")
     anchors_of = settle(anchored(wins, counts), "anchors")

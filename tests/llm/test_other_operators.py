@@ -164,6 +164,21 @@ def test_near_matches_want_every_term(spark):
     assert decontam.near_matches(docs, bench, 2).count() == 0
 
 
+def test_a_stored_index_reads_the_folders_it_needs(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(40))) for i in range(50)], "doc_id long, text string")
+    decontam.write_index(docs, f"file://{tmp_path}/index")
+    index = decontam.read_index(spark, f"file://{tmp_path}/index")
+    terms = spark.createDataFrame([("w3",), ("w5",), ("w96",), ("none",)], "w string").select(F.xxhash64("w").alias("term"))
+    few = decontam.postings_of(index, terms)
+    want = decontam.token_postings(docs, terms)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, want.collect())) != []
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(slot" in plan or "PartitionFilters: [slot" in plan
+    folders = {f.split("slot=")[1].split("/")[0] for f in index.inputFiles()}
+    read = {str(r[0]) for r in index.filter(F.col("term").isin([r[0] for r in terms.collect()])).select("slot").distinct().collect()}
+    assert len(read) <= 3 < len(folders) and index.select(decontam._slot(F.col("term")) != F.col("slot")).distinct().collect() == [(False,)]
+
+
 def test_stored_index_and_shuffled_documents_give_the_same_marks(spark, sf, monkeypatch, tmp_path):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 2 = 0"), spark.read.parquet(f"{sf}/benchmark.parquet")
     marked = lambda **more: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontam.marks(docs, bench, **more).select("doc.doc_id", "n_words", "n_hit", "items").collect())

@@ -1,8 +1,8 @@
 """Tables out of delimited text files: header and separator found, roles inferred, files united.
 
 Only the first 64 KB of a file reach the driver, to find its separator and the
-line of its header; rows are read and split on executors.  A file whose cells
-hold line breaks is read by one task.
+line of its header; rows are read and split on executors, also those of a file
+whose cells hold line breaks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
-from . import files, roles, workbook
+from . import files, records, roles, workbook
 
 HEAD_BYTES = 1 << 16
 SEPARATORS = (",", "\t", ";", "|")
@@ -35,8 +35,6 @@ class Layout:
     separator: str
     encoding: str
     columns: tuple[str, ...]
-    #: Lines down to the header that aren't blank.
-    above: int = 1
 
 
 def unique_names(cells: list[str]) -> tuple[str, ...]:
@@ -64,7 +62,7 @@ def find_layout(lines: list[str], encoding: str = "UTF-8") -> Layout:
             columns = unique_names(next(csv.reader([line], delimiter=separator)))
             if len(columns) < C.MIN_TABLE_COLUMNS:
                 continue
-            layout = Layout(skip, separator, encoding, columns, sum(1 for x in lines[: skip + 1] if x.strip()))
+            layout = Layout(skip, separator, encoding, columns)
             if roles.named(list(columns), "description"):
                 return layout
             fallback = fallback or layout
@@ -92,20 +90,21 @@ def read_table(spark: SparkSession, path: str, layout: Layout | None = None) ->
     """All cells as text, empty ones null, with ``_row``, which follows the order of the file.
 
     A file's first split, and no other, holds the lines down to the header;
-    they are told by their place in it.  Rows with too many cells are left
-    out, short ones filled with nulls.  A file that has a line with an odd
-    number of quotes is read whole by one task, as a cell may hold a line break.
+    they are told by their place in it, and hold no line breaks themselves.
+    Rows with too many cells are left out, short ones filled with nulls.  In a
+    file that has a line with an odd number of quotes a cell may hold a line
+    break; its lines are joined to records first.
     """
     layout = layout or probe(spark, path)
     lines = spark.read.text(path)  # keeps the bytes of a line as they are
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    if not lines.filter(quotes % 2 == 1).isEmpty():
-        return _read_broken(spark, path, layout)
+    broken = not lines.filter(quotes % 2 == 1).isEmpty()
     if layout.encoding != "UTF-8":
         lines = lines.withColumn("value", files.windows(F.decode(F.col("value").cast("binary"), "ISO-8859-1")))
     place = F.monotonically_increasing_id()
     lines = lines.select("value", place.alias("_row"), F.col("_metadata.file_block_start").alias("_from"))
-    rows = lines.filter((F.col("_from") > 0) | (F.col("_row").bitwiseAND((1 << 33) - 1) > layout.skip)).filter(F.trim("value") != "")
+    rows = lines.filter((F.col("_from") > 0) | (F.col("_row").bitwiseAND((1 << 33) - 1) > layout.skip))
+    rows = (records.records(rows, layout.separator) if broken else rows).filter(F.trim("value") != "")
     fields = [f"c{i}" for i in range(len(layout.columns))]
     schema = ", ".join(f"{f} string" for f in (*fields, "_extra"))
     cells = F.from_csv(F.regexp_replace("value", "\r$", ""), schema, {"sep": layout.separator, "mode": "PERMISSIVE", "nullValue": "", "emptyValue": "", "escape": '"'})
@@ -114,17 +113,6 @@ def read_table(spark: SparkSession, path: str, layout: Layout | None = None) ->
     return split.select("_row", *[empty(f).alias(n) for f, n in zip(fields, layout.columns)])
 
 
-def _read_broken(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """``read_table`` for a file whose cells hold line breaks.  The lines down to the header must not."""
-    fields = [f"c{i}" for i in range(len(layout.columns))]
-    schema = ", ".join(f"{f} string" for f in (*fields, "_extra"))
-    options = {"sep": layout.separator, "multiLine": True, "encoding": layout.encoding, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE"}
-    place = F.monotonically_increasing_id().alias("_row")  # of the records in the file, as one task reads it
-    rows = spark.read.schema(schema).options(**options).csv(path).select(place, *fields, "_extra").filter((F.col("_row") >= layout.above) & F.col("_extra").isNull())
-    text = lambda c: F.when(F.col(c) != "", F.replace(c, F.lit("\r\n"), F.lit("\n")))
-    return rows.select("_row", *[text(f).alias(n) for f, n in zip(fields, layout.columns)])
-
-
 def canonical(table: DataFrame, stem: str) -> tuple[DataFrame, dict[str, roles.Choice]]:
     """A table in the engine's columns, and the column chosen for each role."""
     given = table.drop("_row")

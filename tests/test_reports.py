@@ -168,6 +168,59 @@ def test_workbooks(spark, tmp_path):
     assert len(notes) == 1 and "broken.xlsx" in notes[0]
 
 
+def dated_book(path, rows, dimension, since_1904=False):
+    """A workbook of numbers in styles: plain, a date with a number, one with a code, a time, money, elapsed hours; with a name-space prefix."""
+    main = 'xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    codes = {164: "yyyy\\-mm\\-dd", 165: '#,##0.00 "days"', 166: "[h]:mm", 167: "[Red]0.0;[Blue]-0.0"}
+    styles = f'<styleSheet {main}><numFmts>' + "".join(f'<numFmt numFmtId="{k}" formatCode="{v.replace(chr(34), "&quot;")}"/>' for k, v in codes.items()) + "</numFmts><cellStyleXfs><xf numFmtId='14'/></cellStyleXfs><cellXfs>" + "".join(f'<xf numFmtId="{k}"/>' for k in (0, 14, 164, 20, 165, 166, 167)) + "</cellXfs></styleSheet>"
+    sheet = "".join(f'<x:row r="{n}">' + "".join(f'<x:c r="{"ABCDEFGH"[k]}{n}" s="{style}"><x:v>{v}</x:v></x:c>' if style is not None else f'<x:c r="{"ABCDEFGH"[k]}{n}" t="inlineStr"><x:is><x:t>{v}</x:t></x:is></x:c>' for k, (v, style) in enumerate(cells)) + "</x:row>" for n, cells in rows.items())
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><workbookPr date1904="{int(since_1904)}"/><sheets><sheet name="one" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/a.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", styles)
+        book.writestr("xl/worksheets/a.xml", f'<x:worksheet {main}>{dimension}<x:sheetData>{sheet}</x:sheetData></x:worksheet>')
+
+
+def test_dates_in_a_workbook(spark, tmp_path):
+    path = str(tmp_path / "dates.xlsx")
+    head = [(n, None) for n in ("Description", "A", "B", "C", "D", "E", "F")]
+    dated_book(path, {1: head, 2: [("bolt", None), (45047, 1), (45047.5, 2), (0.75, 3), (45047, 4), (1.5, 5), (2.5, 6)], 3: [("nut", None), (59, 1), (61, 1), (1, 2), (3, 0), (2958466, 1), (-1, 1)]}, "")
+    got = [tuple(r)[1:] for r in workbook.read_workbook(spark, path).orderBy("_row").collect()]
+    assert got[0] == ("bolt", "2023-05-01 00:00:00", "2023-05-01 12:00:00", "18:00:00", "45047", "1900-01-01 12:00:00", "2.5")
+    assert got[1] == ("nut", "1900-02-28 00:00:00", "1900-03-01 00:00:00", "1900-01-01 00:00:00", "3", "2958466", "-1")
+    dated_book(path + "m", {1: head[:2], 2: [("bolt", None), (0, 1)]}, "", since_1904=True)
+    assert workbook.read_workbook(spark, path + "m").first()[2] == "1904-01-01 00:00:00"
+
+
+@pytest.mark.parametrize("dimension", ['<x:dimension ref="A1:B400"/>', '<x:dimension ref="A1:B90"/>', "", '<x:dimension ref="A1"/>', '<x:dimension ref="A1:B9000"/>'])
+def test_ranges_of_one_sheet(spark, tmp_path, monkeypatch, dimension):
+    """Ranges give every row once, whatever the sheet says of its size, whether rows are left out, and wherever chunks are cut."""
+    path, rows = str(tmp_path / "rows.xlsx"), {n: [(f"text {n}", None), (n, 0)] for n in range(1, 401) if n % 7}
+    dated_book(path, rows, dimension)
+    spark.dataSource.register(workbook.SheetSource)
+    read = spark.read.format("first_sheet").option("rows", "90").load(path)
+    assert sorted((r["_row"], r["cells"]) for r in read.collect()) == [(n - 1, [f"text {n}", str(n)]) for n in rows]
+    assert read.rdd.getNumPartitions() == {"A1:B400": 5, "A1:B9000": 100}.get(dimension[18:-3].strip('"'), 1)
+    monkeypatch.setattr(workbook, "CHUNK", 37)
+    book = workbook.Book(path)
+    for first, last in ((1, None), (5, 9), (7, 7), (180, 200), (400, None), (401, None)):
+        assert [n for n, _ in book.rows(first, last)] == [n for n in rows if n >= first and (last is None or n <= last)]
+
+
+def test_a_workbook_that_only_spark_can_reach(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "dates.xlsx")
+    dated_book(path, {1: [("Description", None), ("A", None)], 3: [("bolt", None), (45047, 1)]}, "")
+    want = workbook.read_workbook(spark, path).collect()
+
+    class Unreachable:
+        @staticmethod
+        def from_uri(path):
+            raise ValueError(path)
+
+    monkeypatch.setattr(workbook.fs, "FileSystem", Unreachable)
+    assert workbook.read_workbook(spark, path).collect() == want and len(want) == 1
+
+
 def test_nothing_left_is_an_error(spark):
     with pytest.raises(tables.TableError):
         tables.fit(spark.range(0))

@@ -1,7 +1,7 @@
 """Questions to a language model about families, through a transport the caller gives; nothing is changed by the answers.
 
 ``transport`` takes a prompt and returns text; it is called on executors, once
-for each batch, and paces itself.  A call that fails is a row with ``error``,
+for each batch.  ``Paced`` gives all of them one budget of calls.  A call that fails is a row with ``error``,
 so an answer lost is told from nothing found.  Only the top families and pairs
 are asked about; how many is a parameter.
 """
@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,16 +67,34 @@ def overlay(families: DataFrame, flags: DataFrame | None = None, standards: Data
 class Paced:
     """A transport that waits between calls and tries again: after the time an error names, else ever longer.
 
-    Each worker paces its own calls, so with n tasks at once the rate is n
-    times as high: ask with few partitions where a key has one budget.  An
+    All workers have one budget: one call, first or repeated, in ``seconds``.
+    ``tasks`` workers ask at once, in a barrier stage.  They begin together, and
+    from then each has every ``tasks``-th turn to itself, so no two calls fall
+    into one turn and none has to ask another; the workers' clocks must agree
+    to a small part of a turn.  A turn not used is lost.  An
     error that carries a ``code`` outside RETRY_CODES is passed on at once.
     """
 
-    def __init__(self, transport: Transport, seconds: float = C.CALL_SECONDS, tries: int = C.CALL_TRIES, longest: float = C.LONGEST_WAIT):
-        self.transport, self.seconds, self.tries, self.longest, self.last = transport, seconds, tries, longest, None
+    def __init__(self, transport: Transport, seconds: float = C.CALL_SECONDS, tries: int = C.CALL_TRIES, longest: float = C.LONGEST_WAIT, tasks: int = 1):
+        self.transport, self.seconds, self.tries, self.longest, self.tasks = transport, seconds, tries, longest, tasks
+        self.last, self.began, self.mine, self.turn = None, None, 0, -1
+
+    def join(self) -> None:
+        """Begin together with the other workers; called by each of them, also by those that have nothing to ask."""
+        context = BarrierTaskContext.get()
+        latest = max(map(float, context.allGather(repr(time.time()))))  # the wait itself ends at other times for each
+        self.began, self.mine = time.monotonic() - (time.time() - latest), context.partitionId()
 
     def _wait(self) -> None:
-        if self.last is not None and (left := self.seconds - (time.monotonic() - self.last)) > 0:
+        now = time.monotonic()
+        if self.tasks == 1:
+            left = self.seconds - (now - self.last) if self.last is not None else 0.0
+        else:
+            every = self.seconds * self.tasks
+            since = now - self.began - self.mine * self.seconds
+            self.turn = max(self.turn + 1, -(-since // every))
+            left = self.turn * every - since
+        if left > 0:
             time.sleep(left)
         self.last = time.monotonic()
 
@@ -135,6 +154,20 @@ def _ask(transport: Transport, prompt: str, ids: list[str], by_place: bool = Fal
         return [None] * len(ids), f"{type(problem).__name__}: {problem}"[:200]
 
 
+def _asked(rows: DataFrame, transport: Transport, run: Callable, schema: str) -> DataFrame:
+    """What ``run`` makes of the rows; by as many tasks as a paced transport has, all at once."""
+    if not isinstance(transport, Paced):
+        return rows.mapInPandas(run, schema)
+
+    def together(frames):
+        transport.join()
+        yield from run(frames)
+
+    if transport.tasks == 1:
+        return rows.coalesce(1).mapInPandas(run, schema)  # one worker, one budget
+    return rows.repartition(transport.tasks).mapInPandas(together, schema, barrier=True)
+
+
 def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for i in range(0, len(frame), size):
@@ -157,7 +190,7 @@ def standardise(families: DataFrame, transport: Transport) -> DataFrame:
                     out.append((number, *cells, ", ".join(c for c in cells if c) or None, _confidence(row) if row else None, error))
             yield pd.DataFrame(out, columns=["family_no", *C.STANDARD_FIELDS, "described", "confidence", "error"])
 
-    return families.select("family_no", "golden", "ways").mapInPandas(run, STANDARD)
+    return _asked(families.select("family_no", "golden", "ways"), transport, run, STANDARD)
 
 
 def wrong_merges(candidates: DataFrame, transport: Transport) -> DataFrame:
@@ -176,7 +209,7 @@ def wrong_merges(candidates: DataFrame, transport: Transport) -> DataFrame:
                     out.append((number, None, "wrong merge", str(row.get("reason", ""))[:400], _confidence(row), groups, None))
             yield _flags(out)
 
-    return candidates.select("family_no", "ways").mapInPandas(run, FLAG)
+    return _asked(candidates.select("family_no", "ways"), transport, run, FLAG)
 
 
 def missed_duplicates(pairs: DataFrame, transport: Transport) -> DataFrame:
@@ -193,7 +226,7 @@ def missed_duplicates(pairs: DataFrame, transport: Transport) -> DataFrame:
                     out += [(x, y, "possible duplicate", note, None if error else _confidence(row), None, error) for x, y in ((a, b), (b, a))]
             yield _flags(out)
 
-    return pairs.select("left_no", "left", "right_no", "right").mapInPandas(run, FLAG)
+    return _asked(pairs.select("left_no", "left", "right_no", "right"), transport, run, FLAG)
 
 
 def _flags(rows: list[tuple]) -> pd.DataFrame:

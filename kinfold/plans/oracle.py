@@ -48,7 +48,7 @@ ORACLE = {
     "member_similarity": f"WITH {_FAM} SELECT row_id, family_no, golden, score, CASE WHEN score >= 0.9 THEN 'HIGH' WHEN score >= 0.75 THEN 'MEDIUM' ELSE 'LOW' END confidence FROM r",
     "family_status": f"WITH {_FAM} SELECT family_no, golden, members, units, round(mean, 4) mean_similarity, lowest min_similarity, {_STATUS} AS status FROM c",
     "status_distribution": f"WITH {_FAM} SELECT {_STATUS} AS status, count(*) n_families, sum(members)::BIGINT n_records FROM c GROUP BY 1",
-    "threshold_bands": "SELECT * FROM (VALUES ('resolved', 0.95::DOUBLE, 1.0::DOUBLE), ('accepted', 0.82, 0.95), ('review', 0.75, 0.82), ('conflict', 0.0, 0.75)) v(band, floor, ceiling)",
+    "threshold_bands": f"WITH {_FAM}, k AS (SELECT {_STATUS} AS band, count(*) n_families, sum(members)::BIGINT n_records FROM c GROUP BY 1) SELECT v.band, floor, ceiling, coalesce(n_families, 0) n_families, coalesce(n_records, 0)::BIGINT n_records FROM (VALUES ('resolved', 0.95::DOUBLE, 1.0::DOUBLE), ('accepted', 0.82, 0.95), ('review', 0.75, 0.82), ('conflict', 0.0, 0.75)) v(band, floor, ceiling) LEFT JOIN k ON k.band = v.band",
     "unit_counts": f"WITH {_FAM} SELECT family_no, cpse, count(*) n, row_number() OVER (PARTITION BY family_no ORDER BY count(*) DESC, cpse) place FROM r GROUP BY family_no, cpse",
     "price_stats": f"{_PRICE} SELECT * FROM ps",
     "skewed_price_medians": "SELECT CASE WHEN o_custkey % 10 > 0 THEN 'MOST' ELSE o_orderpriority END kind, round(median(o_totalprice), 4) mid FROM orders GROUP BY 1",

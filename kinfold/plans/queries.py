@@ -137,11 +137,14 @@ def status_distribution(spark, d):
 
 
 def threshold_bands(spark, d):
+    """The bands of scores, and the families and records of a run in each."""
     rows, ceiling = [], 1.0
     for name, floor in (*C.STATUS_BANDS, (C.FALLBACK_STATUS, 0.0)):
         rows.append((name, floor, ceiling))
         ceiling = floor
-    return spark.createDataFrame(rows, "band string, floor double, ceiling double")
+    bands = spark.createDataFrame(rows, "band string, floor double, ceiling double")
+    counts = status_distribution(spark, d).withColumnRenamed("status", "band")
+    return bands.join(counts, "band", "left").fillna(0, ["n_families", "n_records"])
 
 
 def unit_counts(spark, d):
@@ -236,9 +239,11 @@ def threshold_sweep(spark, d):
     _, clusters = families(spark, d)
     floors = F.explode(F.transform(F.sequence(F.lit(55), F.lit(99)), lambda x: x.cast("decimal(4,2)") / 100)).alias("floor")
     mean = F.round("mean", 4).cast("decimal(6,4)")
-    rows = clusters.select(floors, mean.alias("m"), "members")
+    sums = clusters.groupBy(mean.alias("m")).agg(F.count(F.lit(1)).alias("n"), F.sum("members").alias("members"))
+    rows = sums.select(floors, "m", "n", "members")
+    total = lambda test, of: F.sum(F.when(test, F.col(of)).otherwise(0))
     auto = F.col("m") >= F.col("floor")
-    out = rows.groupBy("floor").agg(F.count_if(auto).alias("auto"), F.count_if(~auto).alias("review"), F.sum(F.when(~auto, F.col("members")).otherwise(0)).alias("review_records"))
+    out = rows.groupBy("floor").agg(total(auto, "n").alias("auto"), total(~auto, "n").alias("review"), total(~auto, "members").alias("review_records"))
     return out.select(F.col("floor").cast("double").alias("floor"), "auto", "review", "review_records")
 
 

@@ -10,6 +10,8 @@ from ..functions import text as T
 from ..operators import codes
 from ..operators.runs import Run, family_code, family_id
 
+#: Decisions up to which the families decided on are broadcast.
+BROADCAST_DECISIONS = 100_000
 _TIME = "yyyy-MM-dd HH:mm:ss'Z'"
 
 
@@ -30,8 +32,9 @@ def audited(run: Run) -> DataFrame:
         "family_no", F.col("state").alias("Review_State"), _stamp(F.col("at")).alias("Reviewed_At"), F.col("by").alias("Reviewed_By"),
         family_id(F.col("merged_from")).alias("Merged_From"), family_id(F.col("split_from")).alias("Split_From"),
     )
-    # Families grow with the data and are left to the planner; those decided on are as many as people's decisions.
-    whole = mapping(run).join(proposed, "family_no", "left").join(F.broadcast(known), "family_no", "left")
+    # Families grow with the data and are left to the planner; those decided on are as many as people's decisions, which are counted.
+    few = F.broadcast(known) if run.live().count() <= BROADCAST_DECISIONS else known
+    whole = mapping(run).join(proposed, "family_no", "left").join(few, "family_no", "left")
     return whole.withColumn("Review_State", F.coalesce("Review_State", F.lit("unreviewed"))).fillna("", ["Proposed_Code", "Reviewed_At", "Reviewed_By", "Merged_From", "Split_From"])
 
 

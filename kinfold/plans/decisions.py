@@ -11,7 +11,7 @@ from ..operators import similarity as S
 from ..sources import roles, sinks
 from ..stage import new_path
 from ..streaming import assign
-from .oracle import _E, _FAM, _STATUS
+from .oracle import _E, _FAM, _M, _STATUS
 from .queries import dense_edges, families, materials, read
 
 CAP = 8
@@ -109,10 +109,18 @@ def infer_roles(spark, d):
     return spark.createDataFrame([(role, c.column, c.how) for role, c in chosen.items()], "role string, chosen string, how string")
 
 
+def infer_roles_renamed(spark, d):
+    """Roles of the materials' columns under an ERP's names, of which the engine knows none by heart, and of a column of known groups."""
+    m = materials(spark, d)
+    named = m.select(F.col("description").alias("MAKTX"), F.col("cpse").alias("WERKS"), F.col("row_id").alias("LFDNR"), F.col("code").alias("MATNR"), F.col("price").alias("NETPR"), F.col("uom").alias("MEINS"), F.col("label").alias("gold_group"))
+    chosen = roles.infer(roles.profiles(named))
+    return spark.createDataFrame([(role, c.column, c.how) for role, c in chosen.items()], "role string, chosen string, how string")
+
+
 def column_profiles(spark, d):
-    """What the columns of part hold, as the inference of roles sees them; distinct values, a sketch, are left out."""
-    rows = [(c, p.n, *(round(x, 4) for x in (p.mean_len, p.numeric, p.spaces, p.uom, p.positive, p.fractional))) for c, p in roles.profiles(read(spark, d, "part")).items()]
-    return spark.createDataFrame(rows, "column_name string, n long, mean_len double, numeric double, spaces double, uom double, positive double, fractional double")
+    """What the columns of part hold, as the inference of roles sees them."""
+    rows = [(c, p.n, *(round(x, 4) for x in (p.mean_len, p.distinct, p.numeric, p.spaces, p.uom, p.positive, p.fractional))) for c, p in roles.profiles(read(spark, d, "part")).items()]
+    return spark.createDataFrame(rows, "column_name string, n long, mean_len double, distinct_share double, numeric double, spaces double, uom double, positive double, fractional double")
 
 
 def assign_new(spark, d):
@@ -150,7 +158,7 @@ def merge_candidates(spark, d):
     return enrich.merge_candidates(records).select("family_no", "golden", "members", F.array_join("ways", "|").alias("ways"))
 
 
-QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, column_profiles, assign_new, unit_rail, family_detail, export_mapping, export_audited, merge_candidates)}
+QUERIES = {f.__name__: f for f in (split_applied, merge_applied, undo_restores, decision_log, decision_summary, review_states, pending, graph_masters, graph_legacy, communities_mis, infer_roles, infer_roles_renamed, column_profiles, assign_new, unit_rail, family_detail, export_mapping, export_audited, merge_candidates)}
 
 _SEAM = f"""{_FAM}, pt AS (SELECT family_no, round(score * 10000)::INT p, count(*) n FROM r GROUP BY 1, 2),
 cu AS (SELECT family_no, p, lead(p) OVER w q, sum(n) OVER w below FROM pt WINDOW w AS (PARTITION BY family_no ORDER BY p)),
@@ -164,10 +172,49 @@ lg AS (SELECT 1::BIGINT seq, 'Ann' AS "by", 'approve' verb, 3::BIGINT family_no,
   UNION ALL SELECT 2, 'Bo B', 'split', (SELECT fno FROM fs), (SELECT max(family_no) + 1 FROM f), (SELECT below FROM fs), false, ''
   UNION ALL SELECT 3, 'Ann', 'merge', CASE WHEN m2 > m3 THEN 2 ELSE 3 END, CASE WHEN m2 > m3 THEN 3 ELSE 2 END, least(m2, m3), true, 'Cy' FROM mm)"""
 _CELLS = ", ".join(f"'{u}'" for u in C.UOM_CELLS)
-_PROFILE = f"""SELECT '{{c}}' column_name, count(t) n, round(avg(length(t)), 4) mean_len, round(count(x) / count(t), 4) numeric, round(count(*) FILTER (contains(t, ' ')) / count(t), 4) spaces, round(count(*) FILTER (upper(t) IN ({_CELLS})) / count(t), 4) uom,
+_PROFILE = f"""SELECT '{{c}}' column_name, count(t) n, round(avg(length(t)), 4) mean_len, round(count(DISTINCT t) / count(t), 4) distinct_share, round(count(x) / count(t), 4) numeric, round(count(*) FILTER (contains(t, ' ')) / count(t), 4) spaces, round(count(*) FILTER (upper(t) IN ({_CELLS})) / count(t), 4) uom,
   round(coalesce(count(*) FILTER (x > 0) / nullif(count(x), 0), 0), 4) positive, round(coalesce(count(*) FILTER (x % 1 <> 0) / nullif(count(x), 0), 0), 4) fractional FROM (SELECT t, try_cast(replace(t, ',', '') AS DOUBLE) x FROM (SELECT nullif(trim({{c}}::VARCHAR), '') t FROM part))"""
 
+
+def _values(rows) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}::DOUBLE" if isinstance(x, float) else str(x)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + ")"
+
+
+def _roles_sql(source: str, columns: tuple[str, ...], first: str = "") -> str:
+    """The roles of the columns of a query, step by step as people would ask it of their profiles."""
+    share = lambda test, of: f"coalesce(count(*) FILTER ({test}) / nullif(count({of}), 0), 0)"
+    one = f"""SELECT {{i}} i, '{{c}}' col, count(*) every, count(t) n, coalesce(avg(length(t)), 0) ml, coalesce(count(DISTINCT t) / nullif(count(t), 0), 0) ds, {share("x IS NOT NULL", "t")} nu, {share("contains(t, ' ')", "t")} sp,
+      {share(f"upper(t) IN ({_CELLS})", "t")} um, {share("x > 0", "x")} po, {share("x % 1 <> 0", "x")} fr FROM (SELECT t, try_cast(replace(t, ',', '') AS DOUBLE) x FROM (SELECT nullif(trim("{{c}}"::VARCHAR), '') t FROM src))"""
+    tokens = _values([(role, word, float(w)) for role, words in C.ROLE_TOKENS.items() for word, w in words.items()])
+    names = _values([(role, k, name) for role, known in C.ROLE_NAMES.items() for k, name in enumerate(known)])
+    content = """CASE role WHEN 'description' THEN prose - 5 * nu - 6 * um WHEN 'unit' THEN CASE WHEN ds < 0.05 THEN 2.5 WHEN ds < 0.2 THEN 1.2 ELSE -1.5 END + CASE WHEN ml <= 24 THEN 1 ELSE -1 END - 2.5 * nu
+      WHEN 'code' THEN 3 * ds + CASE WHEN ml <= 24 THEN 1.2 ELSE -1.5 END - 1.5 * sp WHEN 'price' THEN 3 * nu + 2 * po + 1.5 * fr + CASE WHEN ds > 0.3 THEN 0.8 ELSE 0 END WHEN 'measure' THEN 6 * um END"""
+    allowed = """CASE role WHEN 'description' THEN ct >= 1.2 WHEN 'unit' THEN ct > 0 AND um <= 0.35 WHEN 'code' THEN ds >= 0.4 WHEN 'price' THEN nu >= 0.8 AND po >= 0.8 WHEN 'measure' THEN um >= 0.45 AND ml <= 12 AND ds <= 0.25 END"""
+    best = lambda role, taken: f"(SELECT col FROM sc WHERE role = '{role}' AND col NOT IN (SELECT col FROM ({taken}) WHERE col IS NOT NULL) ORDER BY s DESC, i LIMIT 1)"
+    known = lambda role, more="true": f"(SELECT col FROM nk WHERE role = '{role}' AND {more} LIMIT 1)"
+    none = "SELECT NULL::VARCHAR col"
+    step = lambda name, role, taken, known_: f"{name} AS (SELECT '{role}' AS role, coalesce({known_}, {best(role, taken)}) col, CASE WHEN {known_} IS NOT NULL THEN 'a known name' ELSE 'its name and what it holds' END how)"
+    upto = lambda *steps: " UNION ALL ".join(f"SELECT col FROM {x}" for x in steps)
+    return f"""WITH {first}src AS ({source}), pf AS ({" UNION ALL ".join(one.format(i=i, c=c) for i, c in enumerate(columns))}),
+      pr AS (SELECT *, 2.2 * least(ml / 18, 2) + 2.4 * ds + 2 * sp prose, regexp_replace(lower(trim(col)), '[_-]+', ' ', 'g') spaced, trim(regexp_replace(lower(trim(col)), '[^a-z0-9 ]+', ' ', 'g')) plain FROM pf),
+      tk AS (SELECT * FROM {tokens} v(role, word, w)), nm AS (SELECT * FROM {names} v(role, k, name)), ls AS (SELECT * FROM (VALUES ('description', 1.0), ('unit', 2.0), ('code', 1.5), ('price', 2.0), ('measure', 0.0)) v(role, least_name)),
+      wt AS (SELECT pr.*, ls.role, least_name, coalesce((SELECT max(w) FROM tk WHERE tk.role = ls.role AND (contains(spaced, word) OR contains(replace(spaced, ' ', ''), replace(word, ' ', '')))), 0) w FROM pr CROSS JOIN ls),
+      cn AS (SELECT *, {content} ct FROM wt), sc AS (SELECT role, i, col, w + ct s FROM cn WHERE n > 0 AND w >= least_name AND {allowed} AND w + ct > 0),
+      nk AS (SELECT nm.role, pr.col, pr.um, row_number() OVER (PARTITION BY nm.role ORDER BY nm.k, pr.i DESC) r FROM nm JOIN pr ON lower(nm.name) = lower(trim(pr.col)) QUALIFY r = 1),
+      tx AS (SELECT col, prose, lead(prose) OVER (ORDER BY prose DESC, col DESC) nx, row_number() OVER (ORDER BY prose DESC, col DESC) r FROM pr WHERE n > 0 AND ml >= 8 AND nu <= 0.2 AND um <= 0.2 AND sp >= 0.2 AND ds >= 0.005),
+      {step("d0", "description", none, known("description"))},
+      d AS (SELECT role, coalesce(col, (SELECT col FROM tx WHERE r = 1 AND (nx IS NULL OR prose > 1.5 * nx))) col, CASE WHEN col IS NULL THEN 'the only column of free text' ELSE how END how FROM d0),
+      {step("u", "unit", upto("d"), known("unit", "um <= 0.5"))}, {step("c0", "code", upto("d", "u"), known("code"))}, {step("q0", "price", upto("d", "u", "c0"), "NULL::VARCHAR")}, {step("m0", "measure", upto("d", "u", "c0", "q0"), "NULL::VARCHAR")},
+      lw AS (SELECT *, coalesce((SELECT max(w) FROM tk WHERE role = 'label' AND contains(plain, word)), 0) w, n / greatest(every, 1) cover FROM pr),
+      lb AS (SELECT 'label' AS role, col, 'about ' || round(ds * n)::BIGINT || ' groups over ' || n || ' rows' how FROM lw WHERE w > 0 AND cover >= 0.6 AND round(ds * n) >= 2 AND ds <= 0.92 AND col NOT IN (SELECT col FROM ({upto("d", "u", "c0", "q0", "m0")}) WHERE col IS NOT NULL)
+        ORDER BY w + 2 * (1 - abs(0.35 - ds)) + cover DESC, i LIMIT 1)
+      SELECT role, col chosen, how FROM ({" UNION ALL ".join(f"SELECT role, col, how FROM {x}" for x in ("d", "u", "c0", "q0", "m0", "lb"))}) WHERE col IS NOT NULL"""
+
+
 ORACLE = {
+    "infer_roles": _roles_sql("SELECT * FROM part", ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
+    "infer_roles_renamed": _roles_sql('SELECT description "MAKTX", cpse "WERKS", row_id "LFDNR", code "MATNR", price "NETPR", uom "MEINS", label "gold_group" FROM m', ("MAKTX", "WERKS", "LFDNR", "MATNR", "NETPR", "MEINS", "gold_group"), _M[: _M.index('t AS (')]),
     "split_applied": f"""WITH {_SEAM}, lv AS (SELECT r.*, t.id tid FROM r JOIN t USING (text) JOIN fs ON r.family_no = fs.fno WHERE round(score * 10000) <= cut),
       gn AS (SELECT arg_max(text, (length(text), score, -row_id)) golden, arg_max(tid, (length(text), score, -row_id)) gid FROM lv),
       nw AS (SELECT lv.row_id, (SELECT max(family_no) + 1 FROM f) nf, gn.golden ng, {_SCORE} ns FROM lv CROSS JOIN gn LEFT JOIN dots ON dots.i = lv.tid AND dots.j = gn.gid),

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity)\s*$"
-#: Relative error of the counts of distinct values.
-DISTINCT_ERROR = 0.01
-
 
 @dataclass(frozen=True)
 class Profile:
@@ -38,30 +35,33 @@ class Choice:
 
 
 def profiles(table: DataFrame) -> dict[str, Profile]:
-    """The profile of every column, from one pass over the whole table.
+    """The profile of every column of the whole table.
 
-    Distinct values are counted by a sketch, so the pass needs no shuffle of
-    values and its answer is one row, however long the table.
+    Distinct values are counted exactly, in two steps: values are made distinct
+    by column, before and after a shuffle, then counted.  Both answers are a row
+    for each column at most, however long the table.
     """
     if not table.columns:
         return {}
-    cells = []
+    cells, texts = [], []
     for name in table.columns:
         text = F.trim(F.col(f"`{name}`").cast("string"))
         text = F.when(text != "", text)
+        texts.append(text)
         bare = F.replace(text, F.lit(","), F.lit(""))
         number = F.when(bare.rlike("(?i)" + _NUMBER), bare.try_cast("double"))
         share = lambda test, of: F.coalesce(F.count_if(test) / F.when(F.count(of) > 0, F.count(of)), F.lit(0.0))
         cells.append(
             F.struct(
                 F.count(F.lit(1)).alias("rows"), F.count(text).alias("n"), F.coalesce(F.avg(F.char_length(text)), F.lit(0.0)).alias("mean_len"),
-                F.least(F.coalesce(F.approx_count_distinct(text, DISTINCT_ERROR) / F.when(F.count(text) > 0, F.count(text)), F.lit(0.0)), F.lit(1.0)).alias("distinct"),
                 share(number.isNotNull(), text).alias("numeric"), share(text.contains(" "), text).alias("spaces"), share(F.upper(text).isin(*C.UOM_CELLS), text).alias("uom"),
                 share(number > 0, number).alias("positive"), share(number % 1 != 0, number).alias("fractional"),
             )
         )
     row = table.agg(*[cell.alias(f"c{i}") for i, cell in enumerate(cells)]).first()
-    return {name: Profile(**row[i].asDict()) for i, name in enumerate(table.columns)}
+    each = table.select(F.posexplode(F.array(*texts)).alias("i", "t")).filter("t IS NOT NULL").distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    values = {r["i"]: r["n"] for r in each.collect()}  # a row for each column
+    return {name: Profile(distinct=values.get(i, 0) / max(row[i]["n"], 1), **row[i].asDict()) for i, name in enumerate(table.columns)}
 
 
 def named(columns: list[str], role: str) -> str | None:

@@ -119,6 +119,7 @@ UOM_CELLS = (
 ).split()
 LABEL_MIN_GROUPS, LABEL_MAX_DISTINCT, LABEL_MIN_COVERAGE = 2, 0.92, 0.60
 UNATTRIBUTED = "unattributed"
+PAGE_FAMILIES = 50
 # The fields of a standard description, in order, and cells that stand for none.
 STANDARD_FIELDS = ("item", "type", "material", "size", "rating", "standard")
 NULL_WORDS = ("null", "none", "n/a")

@@ -114,6 +114,28 @@ def top_savings(records: DataFrame, limit: int = 25) -> DataFrame:
     return block.orderBy(F.desc("excess"), "family_no").limit(limit).select("family_no", "spend", "excess", "savings", "price_spread", "outlier_unit", "outlier_ratio", "outlier_excess")
 
 
+def price_details(records: DataFrame) -> DataFrame:
+    """The price block of each family with a price, its worst owner, and unit_medians: its owners' medians (unit, median, records, ratio), dearest first."""
+    own = F.struct((-F.col("raw_ratio")).alias("less"), F.col("cpse").alias("unit"), F.round("median", 2).alias("median"), F.col("n").alias("records"), F.round("raw_ratio", 3).alias("ratio"))
+    units = unit_medians_of(records).groupBy("family_no").agg(F.transform(F.array_sort(F.collect_list(own)), lambda u: u.dropFields("less")).alias("unit_medians"))  # a row for each owner
+    none = F.array().cast("array<struct<unit:string,median:double,records:bigint,ratio:double>>")
+    return price_block(records).join(worst_units(records), "family_no", "left").join(units, "family_no", "left").withColumn("unit_medians", F.coalesce("unit_medians", none))
+
+
+def cluster_page(records: DataFrame, clusters: DataFrame, name: str = "all", offset: int = 0, limit: int = C.PAGE_FAMILIES, flags: DataFrame | None = None, standards: DataFrame | None = None) -> DataFrame:
+    """One page of a view: families with their spellings counted, and what a model's answers say of them (flags, standard)."""
+    shown = page(view(spelling_counts(records, with_status(clusters)), name), ["family_no"], offset, limit)
+    return enrich.overlay(shown, flags, standards)
+
+
+def cluster_detail(records: DataFrame, clusters: DataFrame, family_no: int, limit: int = 200, flags: DataFrame | None = None, standards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A family with its price block and overlay, one row, and its first members, the best scores first."""
+    own = records.filter(F.col("family_no") == family_no)
+    head = enrich.overlay(with_status(clusters.filter(F.col("family_no") == family_no)), flags, standards).join(price_details(own), "family_no", "left")
+    members = own.select("row_id", "description", "text", "cpse", "code", "score", T.confidence(F.col("score")).alias("confidence"), (F.col("text") == F.col("golden")).alias("is_golden"))
+    return head, members.orderBy(F.desc("score"), "row_id").limit(limit)
+
+
 def unit_list(inside: DataFrame) -> DataFrame:
     """family_no, uom_list: the units of measure of a family's priced records as NAME:count, most first, joined by bars."""
     per = inside.groupBy("family_no", "uom").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first"))
@@ -279,6 +301,12 @@ def unit_medians_orders(spark, d):
     return unit_medians_of(orders_as_records(spark, d)).select("family_no", "cpse", "n", F.round("median", 2).alias("median"), F.round("raw_ratio", 3).alias("ratio"))
 
 
+def price_details_orders(spark, d):
+    """The price block of each family beside the medians of its owners."""
+    rows = price_details(orders_as_records(spark, d)).select("family_no", "priced", "price_median", "price_spread", "outlier_unit", "outlier_ratio", F.posexplode("unit_medians").alias("place", "u"))
+    return rows.select("family_no", "priced", "price_median", "price_spread", "outlier_unit", "outlier_ratio", (F.col("place") + 1).cast("long").alias("place"), "u.unit", "u.median", "u.records", "u.ratio")
+
+
 def savings_orders(spark, d):
     return savings(orders_as_records(spark, d))
 
@@ -430,7 +458,7 @@ def price_dirty(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        run_stats, family_distribution, sweep_accuracy, worst_unit_orders, unit_medians_orders, savings_orders, top_savings_orders, uom_list_orders, savings_report, search_everywhere, view_pages, unit_ranked,
+        run_stats, family_distribution, sweep_accuracy, worst_unit_orders, unit_medians_orders, price_details_orders, savings_orders, top_savings_orders, uom_list_orders, savings_report, search_everywhere, view_pages, unit_ranked,
         provenance_by_spellings, provenance_by_score, provenance_totals, eval_report, eval_wrong_merges, eval_missed_merges, code_scheme_report, uom_dirty, uom_dirty_report, approve_preview, near_miss_goldens,
         family_fingerprints, control_characters, price_dirty, merge_preview, simulate_probes, provenance_rows,
     )
@@ -484,6 +512,7 @@ ORACLE = {
       SELECT fl::DOUBLE AS floor, count(*) FILTER (auto) AS auto, count(*) FILTER (NOT auto) review, coalesce(sum(members) FILTER (NOT auto), 0)::BIGINT review_records, round(count(*) FILTER (auto) / count(*), 4) auto_share, count(*) FILTER (auto) auto_judged,
       round(count(*) FILTER (auto AND pure) / nullif(count(*) FILTER (auto), 0), 4) auto_correct, count(*) FILTER (NOT auto AND NOT pure) wrong_caught, count(*) FILTER (auto AND NOT pure) wrong_shipped FROM zz GROUP BY fl""",
     "worst_unit_orders": f"WITH {_ORD}, {_MONEY.format(r='ro')} SELECT * FROM wu",
+    "price_details_orders": f"WITH {_ORD}, {_MONEY.format(r='ro')} SELECT family_no, priced, round(mid, 4) price_median, price_spread, outlier_unit, outlier_ratio, row_number() OVER (PARTITION BY family_no ORDER BY ratio DESC, cpse) place, cpse AS unit, round(med, 2) median, n AS records, round(ratio, 3) ratio FROM um JOIN mo USING (family_no) JOIN (SELECT family_no, mid FROM bl) USING (family_no)",
     "unit_medians_orders": f"WITH {_ORD}, {_MONEY.format(r='ro')} SELECT family_no, cpse, n, round(med, 2) median, round(ratio, 3) ratio FROM um",
     "savings_orders": f"WITH {_ORD}, {_MONEY.format(r='ro')} {_TOTALS.format(r='ro')}",
     "top_savings_orders": f"WITH {_ORD}, {_MONEY.format(r='ro')} SELECT * EXCLUDE (priced) FROM mo ORDER BY excess DESC, family_no LIMIT 25",

@@ -65,6 +65,13 @@ def proposed_codes(spark, d):
     return codes.propose(families(spark, d)[1])
 
 
+def proposed_codes_with_items(spark, d):
+    """Codes where every second family's item is named: by its first label, as a model would."""
+    records, clusters = families(spark, d)
+    items = records.filter("family_no % 2 = 0").groupBy("family_no").agg(F.concat(F.lit(" "), F.min("label"), F.lit(" item")).alias("item"))
+    return codes.propose(clusters, items)
+
+
 def code_summary(spark, d):
     return proposed_codes(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n_families"))
 
@@ -95,7 +102,7 @@ def audit_export(spark, d):
     return coded.select("row_id", "description", "cpse", "family_no", "score", F.coalesce("proposed_code", F.lit("")).alias("proposed_code"), F.lit("unreviewed").alias("review_state"))
 
 
-QUERIES = {f.__name__: f for f in (plan_split, unit_medians, spread_suspicion, eval_scores, eval_examples, proposed_codes, code_summary, simulate_probe, probe_top3, audit_export)}
+QUERIES = {f.__name__: f for f in (plan_split, unit_medians, spread_suspicion, eval_scores, eval_examples, proposed_codes, proposed_codes_with_items, code_summary, simulate_probe, probe_top3, audit_export)}
 
 _WORDS = ", ".join(f"'{w}'" for w in (*C.CODE_STOPWORDS, *C.CODE_MODIFIERS))
 _CODES = f"""{_FAM}, tk AS (SELECT family_no, golden, list_filter(string_split_regex(upper(golden), '[^A-Z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({_WORDS}) AND NOT regexp_matches(w, '^[0-9]|[0-9]{{2,}}|^M[0-9]|X[0-9]')) ws FROM c),
@@ -117,6 +124,7 @@ ORACLE = {
       SELECT round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) f1, round((tp + tn) / nullif(total, 0), 4) rand, round((tp - chance / total) / nullif((2 * tp + fp + fn) / 2 - chance / total, 0), 4) adjusted_rand FROM e1""",
     "eval_examples": f"WITH {_FAM} SELECT family_no, count(DISTINCT label) n_labels, count(*) n_records FROM r GROUP BY 1 HAVING count(DISTINCT label) > 1 ORDER BY n_records DESC, family_no LIMIT 6",
     "proposed_codes": f"WITH {_CODES} SELECT family_no, category, proposed_code FROM cd",
+    "proposed_codes_with_items": "WITH " + _CODES.replace("FROM tk LEFT JOIN pk USING (family_no)", "FROM tk LEFT JOIN (SELECT family_no, coalesce(own, word) word FROM (SELECT family_no FROM c) LEFT JOIN pk USING (family_no) LEFT JOIN (SELECT family_no, upper(string_split(min(label), ' ')[1]) own FROM r WHERE family_no % 2 = 0 GROUP BY 1) USING (family_no)) USING (family_no)") + " SELECT family_no, category, proposed_code FROM cd",
     "code_summary": f"WITH {_CODES} SELECT category, count(*) n_families FROM cd GROUP BY 1",
     "simulate_probe": f"""WITH {_FAM}, pb AS (SELECT gram, count(*) np FROM (SELECT unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3))) gram FROM (SELECT ' RED BOLT ECONOMY ' x)) GROUP BY gram),
       gg AS (SELECT family_no, q.gram, q.n, q.q FROM gd JOIN q ON q.id = gd.gid), dd AS (SELECT family_no, sum(n * np) / sqrt((any_value(gg.q) * (SELECT sum(np * np) FROM pb))::DOUBLE) cos FROM gg JOIN pb USING (gram) GROUP BY family_no)

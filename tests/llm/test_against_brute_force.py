@@ -76,7 +76,7 @@ def plain_profile(text):
     return total / np.linalg.norm(total)
 
 
-def test_op9_whole_table(spark, sf, documents, monkeypatch):
+def test_op9_on_many_texts(spark, sf, documents, monkeypatch):
     """Prototypes and cosines, from every n-gram bound by itself; this table has fewer rows a language than train the model."""
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     texts = dict(documents)

@@ -12,7 +12,10 @@ than the lower bound, a branch-and-bound takes the largest piece left and
 enumerates the undominated fillings around it, of any number of pieces and
 least waste first, one at a time as they are asked for.  It branches on the
 filling and on how many sequences have it, and gives up a branch whose waste
-cannot lead to fewer sequences than the incumbent.
+cannot lead to fewer sequences than the incumbent.  Before that it goes straight
+down a few times, each time with another waste that it tolerates in a sequence:
+of the fillings within it, that of the fewest pieces is taken, as the short
+pieces spared so fill up the sequences that come later.
 
 Null text is empty: the document is its end id.  Repeated rows, and rows with
 a null doc_id, are packed each.  Pieces of one length are alike: which of them
@@ -43,6 +46,12 @@ NODES = 16_000
 NARROW = 3
 #: Levels of the search that keep their enumeration in memory.
 LIVE = 64
+#: Waste that the ways straight down tolerate, as parts of a sequence.
+TOLERATED = (512, 256, 170, 128, 85, 64, 42)
+#: Fillings that a way straight down looks at around a piece.
+LOOKS = 500
+#: They are taken while the incumbent is over the lower bound by more than one sequence in so many.
+CLOSE = 1000
 
 Filling = tuple[int, ...]
 
@@ -181,11 +190,57 @@ def choices(left: np.ndarray, most: int, banned: set[Filling], narrow: bool) ->
             return
 
 
+def thrifty(left: np.ndarray, tolerated: int, most: int) -> Filling | None:
+    """The filling around the largest piece of the fewest pieces, then of the least waste, that wastes no more than is tolerated.
+
+    If none is within that, the one of least waste; none if it wastes more than ``most``.
+    """
+    size = int(left.nonzero()[0][-1])
+    rest, room = left.copy(), len(left) - 1 - size
+    rest[size] -= 1
+    fit = rest[: room + 1].nonzero()[0]
+    fewest = -(-max(room - tolerated, 0) // int(fit[-1])) if len(fit) else 0
+    best: Filling | None = None
+    for others in islice(completions(rest, room, most), LOOKS):
+        if others is None:
+            continue
+        if best is not None and room - sum(others) > tolerated:
+            break
+        if best is None or len(others) < len(best):
+            best = others
+        if len(best) <= fewest:
+            break
+    return None if best is None else (size, *best)
+
+
+def straight(counts: np.ndarray, tolerated: int, bins: int) -> list[tuple[Filling, int]] | None:
+    """One way down the search, each filling in as many sequences as it can be; none as soon as ``bins`` can't be undercut."""
+    c, left, made = len(counts) - 1, counts.copy(), []
+    most = (bins - 1) * c - int((counts * np.arange(c + 1)).sum())
+    while left.any():
+        filling = thrifty(left, tolerated, most)
+        if filling is None:
+            return None
+        times = min(int(left[s]) // filling.count(s) for s in set(filling))
+        most -= times * (c - sum(filling))
+        if most < 0:
+            return None
+        for s in filling:
+            left[s] -= times
+        made.append((filling, times))
+    return made
+
+
 def complete(counts: np.ndarray, incumbent: list[tuple[Filling, int]], bound: int) -> list[tuple[Filling, int]]:
     """Branch-and-bound over completions; the incumbent if none is better.
 
-    A narrow pass comes first, as it goes back to early choices soon; the whole search starts from what it found.
+    The ways straight down come first, then a narrow pass, as it goes back to early choices soon; the whole search
+    starts from what they found.
     """
+    for part in TOLERATED:
+        bins = sum(m for _, m in incumbent)
+        if (bins - bound) * CLOSE > bins:
+            incumbent = straight(counts, (len(counts) - 1) // part, bins) or incumbent
     for narrow in (True, False):
         incumbent = search(counts, incumbent, bound, narrow)
     return incumbent

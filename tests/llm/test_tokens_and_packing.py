@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -220,6 +221,43 @@ def test_small_histograms_reach_the_lower_bound(histogram, least):
     assert sum(t for _, t in packing.solve(histogram, 60)) == least
 
 
+def test_hard_histograms_lose_half_of_what_best_fit_wastes():
+    """Few long pieces of many lengths: best fit stays some two percent above the bound, which needn't be reached."""
+    excess = []
+    for seed in range(4):
+        rng, capacity = np.random.default_rng(seed), 2048
+        counts = np.zeros(capacity + 1, np.int64)
+        counts[rng.choice(np.arange(300, 1201), 400, replace=False)] = rng.integers(1, 10_001, 400) if seed % 2 else 10 ** rng.uniform(0, 4, 400)
+        counts_of = {int(s): int(counts[s]) for s in counts.nonzero()[0]}
+        plan, bound = packing.solve(counts_of, capacity), packing.lower_bound(counts)
+        placed = Counter()
+        for filling, times in plan:
+            assert sum(filling) <= capacity and times > 0
+            for size in filling:
+                placed[size] += times
+        assert placed == counts_of
+        used, best_fit = sum(m for _, m in plan), sum(m for _, m in packing.best_fit(counts))
+        assert bound <= used <= best_fit
+        excess.append((used / bound - 1, best_fit / bound - 1))
+    assert 2 * sum(e[0] for e in excess) <= sum(e[1] for e in excess)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_ways_straight_down_place_every_piece(seed):
+    rng, capacity = np.random.default_rng(seed), 100
+    counts = np.zeros(capacity + 1, np.int64)
+    counts[rng.choice(np.arange(1, 61), int(rng.integers(1, 20)), replace=False)] += rng.integers(1, 50)
+    for tolerated in (0, 1, 3, 10):
+        plan = packing.straight(counts, tolerated, int(counts.sum()) + 1)
+        placed = np.zeros_like(counts)
+        for filling, times in plan:
+            assert sum(filling) <= capacity
+            for size in filling:
+                placed[size] += times
+        assert (placed == counts).all() and sum(m for _, m in plan) >= packing.lower_bound(counts)
+        assert packing.straight(counts, tolerated, packing.lower_bound(counts)) is None
+
+
 def test_fillings_branch_on_the_number_of_sequences():
     counts = np.bincount([6, 6, 6, 4, 4, 4, 3, 3], minlength=11)
     made = [c for c in packing.choices(counts, 100, frozenset(), False) if c is not None]

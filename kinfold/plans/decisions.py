@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import enrich, graph, runs
+from ..operators import dense, enrich, graph, runs
 from ..operators import similarity as S
 from ..sources import roles, sinks
 from ..stage import new_path
 from ..streaming import assign
 from .oracle import _E, _FAM, _M, _STATUS
-from .queries import dense_edges, families, materials, read
+from .queries import DENSE, families, materials, read, vectors
 
 CAP = 8
 
@@ -100,7 +100,7 @@ def graph_legacy(spark, d):
 
 
 def communities_mis(spark, d):
-    return S.numbered(S.communities_mis(dense_edges(spark, d))).select("family_no", "seed", "size")
+    return S.numbered(dense.communities_mis(vectors(spark, d), DENSE)).select("family_no", "seed", "size")
 
 
 def infer_roles(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text as T
+from ..operators import dense
 from ..operators import similarity as S
 from ..operators.medians import medians
 from ..stage import settle
@@ -101,20 +102,20 @@ def profile_columns(spark, d):
     return part.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
-def dense_edges(spark, d):
-    return settle(S.dense_edges(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), DENSE), "edges")
+def vectors(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
 def similarity_edges(spark, d):
-    return dense_edges(spark, d).select("i", "j", F.round("cos", 4).alias("cos"))
+    return S.dense_edges(vectors(spark, d), DENSE).select("i", "j", F.round("cos", 4).alias("cos"))
 
 
 def degrees(spark, d):
-    return S.degrees(dense_edges(spark, d))
+    return dense.degrees(dense.deal(vectors(spark, d), DENSE))
 
 
 def communities(spark, d):
-    return S.numbered(S.communities(dense_edges(spark, d))).select("family_no", "seed", "size")
+    return S.numbered(dense.communities(vectors(spark, d), DENSE)).select("family_no", "seed", "size")
 
 
 def communities_trigram(spark, d):
@@ -249,8 +250,7 @@ def threshold_sweep(spark, d):
 
 def near_miss_pairs(spark, d):
     """The 36 closest pairs of vectors in a band below the threshold."""
-    edges = S.dense_edges(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 0.25)
-    return edges.filter((F.col("i") < F.col("j")) & (F.col("cos") < DENSE)).orderBy(F.desc("cos"), F.desc("i"), F.desc("j")).limit(36).select("i", "j", F.round("cos", 4).alias("cos"))
+    return dense.best_pairs(vectors(spark, d), 0.25, DENSE, 36).select("i", "j", F.round("cos", 4).alias("cos"))
 
 
 QUERIES = {f.__name__: f for f in (clean_unit, normalize_text, normalize_trace, price_parse, uom_normalize, uom_summary, dedupe_first, profile_columns, similarity_edges, degrees, communities, communities_trigram, member_similarity, family_status, status_distribution, threshold_bands, unit_counts, price_stats, skewed_price_medians, savings_totals, list_by_unit, search_families, page_families, provenance_spellings, eval_pairwise, family_purity, threshold_sweep, near_miss_pairs)}

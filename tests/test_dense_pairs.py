@@ -1,5 +1,7 @@
 """Near vectors by blocks: the same pairs as by brute force, and how many pairs of blocks never meet."""
 
+import functools
+
 import numpy as np
 import pytest
 
@@ -73,3 +75,56 @@ def test_random_directions_still_give_all_pairs(spark, monkeypatch):
 def test_no_vectors_and_few(spark):
     assert dense.dense_edges(table(spark, np.zeros((0, 3))), 0.5).collect() == []
     assert [tuple(r) for r in dense.dense_edges(table(spark, np.eye(1, 3)), 0.5).collect()] == [(0, 0, 1.0)]
+
+
+@pytest.fixture
+def clustered(monkeypatch):
+    for name, value in (("BLOCK", 16), ("GRID", 3), ("FIRST", 8)):
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(200, 8)) + 2 * rng.normal(size=(9, 8))[rng.integers(0, 9, 200)]
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[10:24] = rows[9]  # repeated vectors
+    rows[30:33] = 0
+    rows[40:44] *= 0.8  # reach others, but not themselves
+    return rows
+
+
+def test_degrees_and_communities_without_pairs(spark, clustered):
+    near, t = pairs_of(clustered, 0.75)[0], 0.75
+    deg = {i: sum(p == i for p, _ in near) for i, _ in near}
+    order = sorted(deg, key=lambda i: (-deg[i], i))
+    first = {j: next(i for i in order if (i, j) in near) for j in deg}
+    seeds = []
+    for i in order:
+        if not any((i, s) in near for s in seeds):
+            seeds.append(i)
+    apart = {j: next((i for i in seeds if (i, j) in near), None) for j in deg}
+    vectors = table(spark, clustered)
+    assert {r["i"]: r["deg"] for r in dense.degrees(dense.deal(vectors, t)).collect()} == deg
+    found = dense.communities(vectors, t).collect()
+    assert {r["member"]: (r["seed"], r["deg"]) for r in found} == {j: (i, deg[i]) for j, i in first.items()}
+    found = dense.communities_mis(vectors, t).collect()
+    assert {r["member"]: (r["seed"], r["deg"]) for r in found} == {j: (i, deg[i]) for j, i in apart.items() if i is not None}
+
+
+def test_best_pairs_with_ties(spark, clustered):
+    product = lambda x, y: functools.reduce(lambda total, c: total + c, (x * y).tolist(), 0.0)  # noqa: E731  term by term, as SQL
+    pairs = [(product(clustered[i], clustered[j]), i, j) for i in range(200) for j in range(i + 1, 200)]
+    want = sorted((p for p in pairs if 0.5 <= p[0] < 0.7), reverse=True)[:30]
+    assert [(r["cos"], r["i"], r["j"]) for r in dense.best_pairs(table(spark, clustered), 0.5, 0.7, 30).collect()] == want
+
+
+def test_a_vector_is_sent_to_few_tasks_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 10)
+    monkeypatch.setattr(dense, "GRID", 3)
+    rng = np.random.default_rng(12)
+    for n in (200, 600):  # of random directions no block is left out
+        dealt = dense.deal(table(spark, rng.normal(size=(n, 8))), 0.01)
+        count = lambda batches: (dense._batch(n=np.array([sum(b.num_rows - b.column("vec").null_count for b in batches)])) for _ in range(1))
+        assert dealt.met(count, "n long").agg({"n": "sum"}).first()[0] <= 4 * n
+
+
+def test_a_null_vector_takes_no_part(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0])], "id long, vec array<double>")
+    assert sorted(tuple(r)[:2] for r in dense.dense_edges(rows, 0.5).collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]

@@ -13,9 +13,13 @@ goes on to less probable parts until those it visits hold ``k`` candidates
 other than itself, or to all of them: every query gets ``k`` neighbours, or
 all there are.
 
-Parts that hold many vectors are dealt out in chunks, and the queries that
-visit a part in blocks, so a task sees at most about ``CHUNK`` vectors and
-``BLOCK`` queries, whatever share of the rows one part holds.
+Vectors are dealt to ``LANES`` lanes by their id, so each holds a share of
+every part, and queries to groups of about ``QUERIES``.  Each lane meets each
+group in a task that holds the queries and reads the vectors part by part,
+``CHUNK`` at a time, keeping the best ``k`` of each query.  So a query gives
+``k`` rows for each lane, however many parts there are, and a task holds no
+more of the vectors than a chunk, whatever share of the rows one part holds.
+Up to ``QUERIES`` queries a vector is sent once; beyond, once for each group.
 
 Vectors that are null, zero, of another length than most of the sample, or
 that hold a null or non-finite component take no part, and neither do rows
@@ -44,6 +48,8 @@ SAMPLE, MOST_SAMPLE, SAMPLE_SHARE, HELD_OUT = 4096, 16_384, 1 / 64, 8
 PARTS, PART_ROWS, PART_SAMPLE, DEGREE = 16, 2048, 16, 10
 RECALL, SLACK = 0.95, 0.05
 CHUNK, BLOCK = 2048, 2048
+#: Tasks that share the vectors out, queries of a task, and scores summed at once.
+LANES, QUERIES, PIECE = 12, 65_536, 65_536
 STEPS, BATCH = 300, 4096
 
 
@@ -161,28 +167,131 @@ def usable(rows: DataFrame) -> DataFrame:
     return good.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.coalesce("asks", F.lit(False)).alias("asks"))
 
 
-def nearest(asks: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of queries, and ids and scores of their ``k`` best rows of other ids; a row's score is summed on its own."""
-    dots = asks @ x.T
-    dots[own[:, None] == ids[None, :]] = -np.inf
-    rows = k * np.unique(ids, return_counts=True)[1].max()  # hold k ids, however they repeat
-    if rows < len(ids):  # what rounding could bring among the best stays; exact scores decide
-        least = -np.partition(-dots, rows - 1, axis=1)[:, rows - 1]
-        least = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.inf)
-    else:
-        least = np.full(len(asks), -np.inf)
-    i, j = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
-    scores, ids = (x[j] * asks[i]).sum(axis=1), ids[j]
-    order = np.lexsort((-scores, ids, i))  # the best row of each id
-    i, ids, scores = i[order], ids[order], scores[order]
-    first = np.r_[True, (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])] if len(i) else np.zeros(0, bool)
-    i, ids, scores = i[first], ids[first], scores[first]
+def best_of(i: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, repeats: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best rows for each query place ``i``, in order; an id, if any repeats, counts once, with its best score."""
+    if repeats:
+        order = np.lexsort((-scores, ids, i))  # the best row of each id
+        i, ids, scores = i[order], ids[order], scores[order]
+        first = np.r_[True, (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])] if len(i) else np.zeros(0, bool)
+        i, ids, scores = i[first], ids[first], scores[first]
     order = np.lexsort((ids, -scores, i))
     i, ids, scores = i[order], ids[order], scores[order]
     best = np.arange(len(i)) - np.searchsorted(i, i) < k
     return i[best], ids[best], scores[best]
 
 
+def nearest(asks: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, and ids and scores of rows of other ids, among them all of the ``k`` best that reach the query's bar; a row's score is summed on its own."""
+    dots = asks @ x.T
+    dots[own[:, None] == ids[None, :]] = -np.inf
+    least = _loose(bar)
+    rows = k * np.unique(ids, return_counts=True)[1].max()  # hold k ids, however they repeat
+    if rows < len(ids) and np.count_nonzero(dots >= least[:, None]) > k * len(asks):
+        least = np.maximum(least, _loose(-np.partition(-dots, rows - 1, axis=1)[:, rows - 1]))
+    i, j = np.nonzero((dots >= least[:, None]) & (dots > -np.inf))
+    pieces = [(x[j[a : a + PIECE]] * asks[i[a : a + PIECE]]).sum(axis=1) for a in range(0, len(i), PIECE)]
+    return i, ids[j], np.concatenate(pieces) if pieces else np.empty(0)
+
+
+def _loose(scores: np.ndarray) -> np.ndarray:
+    """Scores that a product may be rounded to where the exact one is at least ``scores``."""
+    return np.where(np.isfinite(scores), scores - 1e-9 * np.maximum(1.0, np.abs(scores)), -np.inf)
+
+
+class Asking:
+    """Queries of a task, the parts each visits, the best rows found so far, and found ones that wait to be looked through."""
+
+    def __init__(self, own: np.ndarray, vec: np.ndarray, visits: np.ndarray, k: int, repeats: bool):
+        self.own, self.vec, self.visits, self.k, self.repeats = own, vec, visits, k, repeats
+        self.ids, self.scores = np.zeros((len(own), k), np.int64), np.full((len(own), k), -np.inf)
+        self.wait, self.waiting = [], 0
+
+    def meet(self, part: int, ids: np.ndarray, x: np.ndarray) -> None:
+        """Rows of a part against the queries that visit it."""
+        visitors = np.flatnonzero(self.visits[:, part])
+        for a in range(0, len(visitors), BLOCK):
+            at = visitors[a : a + BLOCK]
+            i, found, scores = nearest(self.vec[at], self.own[at], x, ids, self.k, self.scores[at, -1])
+            self.wait.append((at[i], found, scores))
+            self.waiting += len(i)
+            if self.waiting > self.scores.size:
+                self.look_through()
+
+    def look_through(self) -> None:
+        if not self.waiting:
+            return
+        i, found, scores = (np.concatenate(c) for c in zip(*self.wait))
+        self.wait, self.waiting = [], 0
+        had = np.unique(i)
+        old, rank = np.nonzero(self.scores[had] > -np.inf)
+        i, found, scores = np.r_[i, had[old]], np.r_[found, self.ids[had[old], rank]], np.r_[scores, self.scores[had[old], rank]]
+        i, found, scores = best_of(i, found, scores, self.k, self.repeats)
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        self.ids[i, rank], self.scores[i, rank] = found, scores
+
+    def best(self) -> pa.RecordBatch:
+        self.look_through()
+        i, rank = np.nonzero(self.scores > -np.inf)
+        return pa.RecordBatch.from_pydict({"query_id": pa.array(self.own[i]), "vec_id": pa.array(self.ids[i, rank]), "score": pa.array(self.scores[i, rank])})
+
+
+def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    return batch.column("vec").flatten().to_numpy().reshape(-1, dim)
+
+
+def compared(index: DataFrame, asking: DataFrame, dim: int, parts: int, k: int, repeats: bool) -> DataFrame:
+    """query_id, vec_id, score: of each query (vec_id, vec, visits: a bit for each part) the ``k`` best rows (vec_id, vec, p) of each lane; ``repeats``: ids do."""
+    groups = max(1, -(-asking.count() // QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(LANES)).cast("int").alias("lane"), each(groups).alias("g"), F.lit(1).alias("side"), "p", "vec_id", "vec")
+    queries = asking.select(each(LANES).alias("lane"), F.pmod(F.xxhash64("vec_id", "vec"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("side"), F.lit(-1).alias("p"), "vec_id", "vec", "visits")
+
+    def compare(batches):
+        """The rows of a lane and a group in a row: the queries first, then vectors by part."""
+        key, asked, queue, asks = None, None, [], []
+
+        def drain() -> None:  # vectors of one part
+            if queue:
+                ids, x = (np.concatenate(c) for c in zip(*queue))
+                for a in range(0, len(ids), CHUNK):
+                    asked.meet(key[3], ids[a : a + CHUNK], x[a : a + CHUNK])
+                queue.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = np.stack([batch.column(c).to_numpy() for c in ("lane", "g", "side", "p")])
+            ids, x = batch.column("vec_id").to_numpy(), _matrix(batch, dim)
+            turns = np.flatnonzero((np.diff(of) != 0).any(axis=0)) + 1
+            for lo, hi in zip(np.r_[0, turns], np.r_[turns, len(ids)]):
+                now = tuple(of[:, lo].tolist())
+                if key != now:
+                    drain()
+                    if asked and key[:2] != now[:2]:
+                        yield asked.best()
+                        asked = None
+                    if key and key[:2] != now[:2]:
+                        asks.clear()
+                    key = now
+                if now[2] == 0:
+                    bits = np.frombuffer(b"".join(batch.column("visits").slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1)
+                    asks.append((ids[lo:hi], x[lo:hi], np.unpackbits(bits, axis=1, count=parts).astype(bool)))
+                    continue
+                if asks:
+                    asked = Asking(*(np.concatenate(c) for c in zip(*asks)), k, repeats)
+                    asks.clear()
+                if asked:
+                    queue.append((ids[lo:hi], x[lo:hi]))
+                    if sum(len(q[0]) for q in queue) >= CHUNK:
+                        drain()
+        drain()
+        if asked:
+            yield asked.best()
+
+    met = queries.unionByName(stored, allowMissingColumns=True).repartition("lane", "g").sortWithinPartitions("lane", "g", "side", "p")
+    return met.mapInArrow(compare, "query_id long, vec_id long, score double")
+
+
 def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each query row."""
     spark = rows.sparkSession
@@ -198,44 +307,28 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id
     router = fit(fitted, k, parts or part_count(n_rows, len(fitted)))
     n_parts = router.weights.shape[1]
 
-    def vectors(batch) -> np.ndarray:
-        return batch.column("vec").flatten().to_numpy().reshape(-1, dim)
-
     def place(batches):
         for batch in batches:
             if batch.num_rows:
-                home = pa.array(router.home(vectors(batch)).astype(np.int32))
+                home = pa.array(router.home(_matrix(batch, dim)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*batch.columns, home], names=["vec_id", "vec", "asks", "p"])
 
     index = settle(good.filter(F.size("vec") == dim).mapInArrow(place, "vec_id long, vec array<double>, asks boolean, p int"), "vectors")
     # One row for each part.  An id that stands in several parts counts in one of them.
-    sizes = {r["p"]: r["n"] for r in index.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     distinct = {r["p"]: r["n"] for r in index.groupBy("vec_id").agg(F.min("p").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([distinct.get(p, 0) for p in range(n_parts)])
 
     def send(batches):
         for batch in batches:
             if batch.num_rows:
-                routes = pa.array(router.route(vectors(batch), held, k + 1), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), routes], names=["vec_id", "vec", "route"])
-
-    asking = settle(index.filter("asks").select("vec_id", "vec").mapInArrow(send, "vec_id long, vec array<double>, route array<int>"), "routes")
-    visited = {r["p"]: r["n"] for r in asking.select(F.explode("route").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = lambda counts, each: F.array(*[F.lit(max(1, -(-counts.get(p, 0) // each))) for p in range(n_parts)])
-    chunks, blocks = F.element_at(share(sizes, CHUNK), F.col("p") + 1), F.element_at(share(visited, BLOCK), F.col("p") + 1)
-    stored = index.select(F.col("vec_id").alias("row_id"), F.col("vec").alias("held"), "p").withColumn("c", F.pmod(F.xxhash64("row_id"), chunks).cast("int"))
-    stored = stored.withColumn("b", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    queries = asking.select("vec_id", "vec", F.explode("route").alias("p")).withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).cast("int"))
-    queries = queries.withColumn("c", F.explode(F.sequence(F.lit(0), chunks - 1)))
-
-    def compare(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        i, ids, scores = nearest(np.stack(q["vec"]), q["vec_id"].to_numpy(), np.stack(v["held"]), v["row_id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": q["vec_id"].to_numpy()[i], "vec_id": ids, "score": scores})
-
-    keys = ["p", "c", "b"]
-    found = queries.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
+                visits = np.zeros((batch.num_rows, n_parts), bool)
+                for of, parts_of in zip(visits, router.route(_matrix(batch, dim), held, k + 1)):
+                    of[parts_of] = True
+                bits = pa.array([row.tobytes() for row in np.packbits(visits, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), bits], names=["vec_id", "vec", "visits"])
+
+    asking = settle(index.filter("asks").select("vec_id", "vec").mapInArrow(send, "vec_id long, vec array<double>, visits binary"), "routes")
+    found = compared(index, asking, dim, n_parts, k, bool(index.count() > held.sum()))
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     turn = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(turn)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

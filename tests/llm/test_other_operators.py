@@ -520,3 +520,22 @@ def test_pipeline_stages(spark, sf):
     last = cp.STAGES[-1][1](spark, docs, sf)
     assert last.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
     assert last.select("doc_id").distinct().count() == kept["personal_data"]
+
+
+def test_ann_makes_no_more_rows_for_more_parts(spark, monkeypatch):
+    """A query gives its k best of each lane, into however many parts the table is cut."""
+    made, compared = [], ann.compared
+    monkeypatch.setattr(ann, "compared", lambda *args: (made.append(compared(*args).count()), compared(*args))[1])
+    monkeypatch.setattr(ann, "CHUNK", 16)
+    monkeypatch.setattr(ann, "LANES", 3)
+    monkeypatch.setattr(ann, "QUERIES", 25)  # so that there are several groups
+    rng = np.random.default_rng(6)
+    ids, x = np.arange(1500), rng.normal(size=(1500, 8))
+    asks = ids % 20 == 0
+    want = neighbours_by_all_pairs(ids, x, 10, asks)
+    for parts in (1, 8, 40):
+        got = found_by(spark, ids, x, asks, k=10, parts=parts)
+        assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+        if parts == 1:
+            assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert max(made) <= made[0] == asks.sum() * 10 * 3

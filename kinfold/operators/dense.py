@@ -14,7 +14,7 @@ blocks are, never what is found.
 Blocks that follow each other make a group, and each pair of groups meets in
 one task, which multiplies only the pairs of blocks that may hold something.
 There are ``GRID`` groups, so a vector is sent ``GRID`` times at most however
-many there are, until groups are as large as a task may hold (``GROUP``).
+many there are, until groups are as large as a task may hold (``GROUP_BYTES``).
 Pairs number as the square of the vectors, so only ``dense_edges`` gives them;
 degrees, communities and best pairs are summed up where blocks meet, and no
 pair is written or shuffled for them.
@@ -36,8 +36,8 @@ from .ranking import ranked
 
 #: Vectors of a block, vectors sampled for pivots for each cell, and the most cells.
 BLOCK, SAMPLE, CELLS = 2048, 16, 1024
-#: Groups of blocks, and the most vectors of one (but for its last block).
-GRID, GROUP = 12, 65_536
+#: Groups of blocks, and the most bytes of one's vectors in double precision (but for its last block); a task holds two groups.
+GRID, GROUP_BYTES = 8, 128 << 20
 #: The place of a vector that isn't asked for, and the first so many in order that seeds are sought among.
 NOWHERE, FIRST = 1 << 62, 2048
 #: Bounds are loosened by so much, so that rounding never loses a pair.
@@ -202,8 +202,9 @@ class Block:
 
 def deal(vectors: DataFrame, threshold: float) -> Dealt:
     dealt, pairs = blocks_of(vectors, threshold)
-    n = dealt.count()
-    return Dealt(dealt.withColumn("place", F.lit(0).cast("long")), pairs, min(GROUP, max(BLOCK, -(-n // GRID))), threshold)
+    n, width = dealt.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    most = max(BLOCK, GROUP_BYTES // (8 * max(1, width or 1)))
+    return Dealt(dealt.withColumn("place", F.lit(0).cast("long")), pairs, min(most, max(BLOCK, -(-n // GRID))), threshold)
 
 
 def _block(parts: list) -> Block:

@@ -128,3 +128,16 @@ def test_a_vector_is_sent_to_few_tasks_however_many_there_are(spark, monkeypatch
 def test_a_null_vector_takes_no_part(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0])], "id long, vec array<double>")
     assert sorted(tuple(r)[:2] for r in dense.dense_edges(rows, 0.5).collect()) == [(1, 1), (1, 3), (3, 1), (3, 3)]
+
+
+def test_groups_are_bounded_by_their_bytes(spark, monkeypatch):
+    """Short vectors make few groups however many there are; long ones make as many as it takes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(dense, "GRID", 2)
+    turn = lambda i: F.array(F.cos(i), F.sin(i))
+    dealt = dense.deal(spark.range(140_000).select("id", turn(F.col("id") * 0.37).alias("vec")), 0.9999)
+    assert dealt.span == 70_000  # two groups
+    monkeypatch.setattr(dense, "BLOCK", 20)
+    monkeypatch.setattr(dense, "GROUP_BYTES", 8 * 16 * 50)
+    assert dense.deal(table(spark, np.eye(1, 16).repeat(400, axis=0)), 0.5).span == 50

@@ -109,10 +109,9 @@ def blocks_of(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     blocked = settle(blocked, "dense-blocks")
     found = cells.orderBy("cell").collect()  # a row for each cell
     centre, radius, norm = centres[[r["cell"] for r in found]], np.array([r["radius"] for r in found]), np.array([r["norm"] for r in found])
-    i, j = np.nonzero(np.triu(_reach(centre, radius, norm, centre, radius, norm, threshold)))
-    number = np.array([r["cell"] for r in found])
-    pairs = spark.createDataFrame(pd.DataFrame({"ci": number[i], "cj": number[j]}), "ci long, cj long")  # CELLS squared at most
-    return blocked.drop("cell"), settle(_block_pairs(pairs, summaries(blocked), threshold), "block-pairs")
+    number, near = [r["cell"] for r in found], np.zeros((len(centres), len(centres)), bool)  # CELLS squared at most
+    near[np.ix_(number, number)] = _reach(centre, radius, norm, centre, radius, norm, threshold)
+    return blocked.drop("cell"), settle(_block_pairs(near | near.T, summaries(blocked), threshold), "block-pairs")
 
 
 def _all_pairs(ids: DataFrame) -> DataFrame:
@@ -144,24 +143,29 @@ def summaries(blocked: DataFrame) -> DataFrame:
     return blocked.groupBy("b").applyInPandas(run, "cell long, b long, centre array<double>, radius double, norm double")
 
 
-def _block_pairs(cells: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
-    """bi, bj of the blocks of paired cells that the bound lets through."""
-    known = settle(blocks, "block-centres")
-    left = cells.join(known.withColumnRenamed("cell", "ci"), "ci").select("ci", "cj", "b", "centre", "radius", "norm")
-    right = cells.select(F.col("ci").alias("di"), F.col("cj").alias("dj")).join(known.withColumnRenamed("cell", "dj"), "dj").select("di", "dj", *[F.col(c).alias(f"{c}_") for c in ("b", "centre", "radius", "norm")])  # names of its own: both sides come from one table
+def _block_pairs(near: np.ndarray, blocks: DataFrame, threshold: float) -> DataFrame:
+    """bi <= bj of the blocks of near cells that the bound lets through; cells meet in a grid of groups, so a block's centre is sent GRID + 1 times."""
+    known = settle(blocks, "block-centres").withColumn("g", F.pmod("cell", F.lit(GRID)))
+    each = lambda first, last: F.explode(F.sequence(first, last))
+    left = known.select(F.col("g").alias("gi"), each(F.col("g"), F.lit(GRID - 1).cast("long")).alias("gj"), "cell", "b", "centre", "radius", "norm")
+    right = known.select(each(F.lit(0).cast("long"), F.col("g")).alias("hi"), F.col("g").alias("hj"), *[F.col(c).alias(f"{c}_") for c in ("cell", "b", "centre", "radius", "norm")])  # names of its own: both sides come from one table
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"bi": np.empty(0, np.int64), "bj": np.empty(0, np.int64)})
-        b = b.rename(columns=lambda c: c[:-1] if c.endswith("_") else c)
-        side = lambda f: (np.array(f["centre"].tolist()), f["radius"].to_numpy(), f["norm"].to_numpy())
-        x, y = np.nonzero(_reach(*side(a), *side(b), threshold))
-        bi, bj = a["b"].to_numpy()[x], b["b"].to_numpy()[y]
-        if key[0] == key[1]:
-            bi, bj = bi[bi <= bj], bj[bi <= bj]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        if len(a) and len(b):
+            b = b.rename(columns=lambda c: c[:-1] if c.endswith("_") else c)
+            side = lambda f: (np.array(f["centre"].tolist()), f["radius"].to_numpy(), f["norm"].to_numpy())
+            other = side(b)
+            for k in range(0, len(a), CELLS):
+                some = a.iloc[k : k + CELLS]
+                x, y = np.nonzero(near[np.ix_(some["cell"], b["cell"])] & _reach(*side(some), *other, threshold))
+                bi, bj = some["b"].to_numpy()[x], b["b"].to_numpy()[y]
+                once = bi <= bj if key[0] == key[1] else slice(None)
+                found.append((np.minimum(bi, bj)[once], np.maximum(bi, bj)[once]))
+        bi, bj = map(np.concatenate, zip(*found))
         return pd.DataFrame({"bi": bi, "bj": bj})
 
-    return left.groupBy("ci", "cj").cogroup(right.groupBy("di", "dj")).applyInPandas(meet, "bi long, bj long")
+    return left.groupBy("gi", "gj").cogroup(right.groupBy("hi", "hj")).applyInPandas(meet, "bi long, bj long")
 
 
 @dataclass(frozen=True)

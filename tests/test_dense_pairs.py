@@ -141,3 +141,19 @@ def test_groups_are_bounded_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(dense, "BLOCK", 20)
     monkeypatch.setattr(dense, "GROUP_BYTES", 8 * 16 * 50)
     assert dense.deal(table(spark, np.eye(1, 16).repeat(400, axis=0)), 0.5).span == 50
+
+
+def test_centres_are_sent_to_few_tasks_however_many_cells_there_are(spark, monkeypatch):
+    """No more rows meet than GRID + 1 for each block, though nearly all pairs of cells are near."""
+    monkeypatch.setattr(dense, "GRID", 3)
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(60, 4))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, i, c.tolist(), 1.0, 1.0) for i, c in enumerate(centres)]
+    blocks = spark.createDataFrame(rows, "cell long, b long, centre array<double>, radius double, norm double")
+    found = dense._block_pairs(np.ones((60, 60), bool), blocks, 0.5)
+    got = [(r["bi"], r["bj"]) for r in found.collect()]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    want = dense._reach(centres, np.ones(60), np.ones(60), centres, np.ones(60), np.ones(60), 0.5)
+    assert len(got) == len(set(got)) and set(got) == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(want)))}
+    assert "Join" not in plan and "sequence" in plan
